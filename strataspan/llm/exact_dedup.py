@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -119,11 +120,11 @@ def _filter(hits: DataFrame) -> bytes:
             some = [i for i in range(64) if chunks[i].any()]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
 
-    def merged(key, table: pa.Table) -> pa.Table:
-        both = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([both.tobytes()], pa.binary())})
+    def merged(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        both = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in parts["bits"]])
+        return pd.DataFrame({"part": [key[0]], "bits": [both.tobytes()]})
 
-    parts = hits.select("digest").mapInArrow(partial, "part int, bits binary").groupBy("part").applyInArrow(merged, "part int, bits binary")
+    parts = hits.select("digest").mapInArrow(partial, "part int, bits binary").groupBy("part").applyInPandas(merged, "part int, bits binary")
     whole = np.zeros((64, FILTER_BITS // 8 // 64), dtype=np.uint8)
     for row in parts.toLocalIterator():
         whole[row["part"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
