@@ -169,7 +169,7 @@ _SENTENCES = r"""s0 AS (SELECT conv_id, turn, string_split(regexp_replace(coales
 s1 AS (SELECT conv_id, turn, trim(unnest(ss), ' ') AS sentence, generate_subscripts(ss, 1) AS pos FROM s0)"""
 
 
-@query(rf"""WITH {_SENTENCES}, f AS (SELECT conv_id, turn, sentence, min(pos) AS pos FROM s1 WHERE length(sentence) BETWEEN 15 AND 300 AND NOT ends_with(sentence, '?') AND regexp_matches(sentence, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|des|und|que)(?:$|[^\p{L}\p{N}_])') GROUP BY ALL),
+@query(rf"""WITH {_SENTENCES}, f AS (SELECT conv_id, turn, sentence, min(pos) AS pos FROM s1 WHERE length(sentence) BETWEEN 15 AND 300 AND NOT ends_with(sentence, '?') AND regexp_matches(sentence, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:the|des|und|que)(?:$|[^\p{{L}}\p{{N}}_])') GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS rank FROM f) SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, sentence FROM k WHERE rank <= 5""")
 def decision_candidates(t):
     # the tables hold no English cues: common words stand in for them
