@@ -39,27 +39,38 @@ class PrefixCounter:
         self.inner: dict[str, list[int]] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        """Count of each text alone: many are given at once, told apart by the library."""
+        out = []
+        for i in range(0, len(texts), 1000):
+            part = texts[i : i + 1000]
+            owner = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False).word_ids
+            if None in owner:  # a token that the library assigns to no text
+                out += [len(e.ids) for e in self.tok.encode_batch(part, add_special_tokens=False)]
+            else:
+                out += np.bincount(np.array(owner, dtype=np.int64), minlength=len(part)).tolist()
+        return out
 
-    def learn(self, words: set[str]) -> dict[str, int]:
-        """Counts of the long words among these; the others are remembered."""
+    def learn(self, words: set[str]) -> list[str]:
+        """Puts the counts of these words into the table; returns those too long to be remembered, which forget() takes out again."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         new = [w for w in words if w not in self.words]
-        counts = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        self.words.update((w, n) for w, n in counts.items() if len(w) <= LONG_WORD)
-        return {w: n for w, n in counts.items() if len(w) > LONG_WORD}
-
-    def totals(self, text: str) -> np.ndarray:
-        """Cell i holds the count of the prefix that ends after word i (cell 0: before any word)."""
-        words = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-        try:
-            own = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        except KeyError:
-            long = self.learn(set(words))
-            get = self.words
-            own = np.fromiter((long[w] if w in long else get[w] for w in words), dtype=np.int64, count=len(words))
-        return np.concatenate(([0], np.cumsum(own)))
+        if new:
+            self.words.update(zip(new, self._encode(new), strict=True))
+        return [w for w in new if len(w) > LONG_WORD]
+
+    def forget(self, words: list[str]) -> None:
+        for w in words:
+            self.words.pop(w, None)
+
+    def totals(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, cell i holds the count of the prefix that ends after word i (cell 0: before any word)."""
+        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+        long = self.learn(set().union(*split))
+        get = self.words.__getitem__
+        out = [np.concatenate(([0], np.cumsum(np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))))) for ws in split]
+        self.forget(long)
+        return out
 
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """Character ends of the words, and the counts of the prefixes that end there."""
@@ -67,9 +78,9 @@ class PrefixCounter:
         long = self.learn({text[a:b] for a, b in spans})
         total, counts = 0, []
         for a, b in spans:
-            w = text[a:b]
-            total += long[w] if w in long else self.words[w]
+            total += self.words[text[a:b]]
             counts.append(total)
+        self.forget(long)
         return [b for _, b in spans], counts
 
     def prefix(self, text: str, end: int, table: tuple[list[int], list[int]] | None = None) -> int:
@@ -94,20 +105,45 @@ class PrefixCounter:
         return ends[k - 1] if k else 0
 
 
+def _counter(path: str) -> PrefixCounter:
+    """The counter of this Python worker, so that later tasks find its table of words."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_strataspan_counters", {})
+    if path not in held:
+        held[path] = PrefixCounter(path)
+    return held[path]
+
+
+def _groups(texts: list[str], most_chars: int = 1 << 20) -> Iterator[list[str]]:
+    group, chars = [], 0
+    for t in texts:
+        group.append(t)
+        chars += len(t)
+        if chars > most_chars:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
 def _counted(path: str, limit: int, tables: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = _counter(path)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
             if tables:
                 found = [counter.table(t) for t in texts]
-                cols = [ids, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([c[-1] if c else 0 for _, c in found], pa.int64()),
-                        pa.array([e for e, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))]
+                cols = [ids, n_bytes, pa.array([c[-1] if c else 0 for _, c in found], pa.int64()), pa.array([e for e, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "word_ends", "prefix_tokens"])
             else:
-                totals = [counter.totals(t) for t in texts]
-                within = pa.array([int(np.searchsorted(t, limit, side="right")) - 1 for t in totals], pa.int64())
-                cols = [ids, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([int(t[-1]) for t in totals], pa.int64()), within]
+                total, within = [], []
+                for group in _groups(texts):
+                    for t in counter.totals(group):
+                        total.append(int(t[-1]))
+                        within.append(int(np.searchsorted(t, limit, side="right")) - 1)
+                cols = [ids, n_bytes, pa.array(total, pa.int64()), pa.array(within, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "pieces_within"])
 
     return run
