@@ -84,3 +84,25 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     if comp is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return comp
+
+
+#: Bits of a key filter, whatever the number of keys: its table has FILTER_BITS / 32768 rows of 4 KB, so it may be broadcast.
+FILTER_BITS = 1 << 25
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose column may be among keys (one column of that name): all that are, and few others while keys are few.
+
+    A filter before a join, in DataFrame operations: keys set bits of a bitmap of fixed size.
+    """
+
+    def bit(c: str) -> F.Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    bits = keys.select(bit(column).alias("_bit"))
+    maps = bits.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    at = df.withColumn("_bit", bit(column)).withColumn("_bucket", F.bitmap_bucket_number("_bit")).withColumn("_at", F.bitmap_bit_position("_bit"))
+    met = at.join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.substr("_map", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.get(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col("_at") % 8).cast("int")).bitwiseAND(byte) != 0
+    return met.where(hit).select(*df.columns)
