@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and the columns in carry, a row for each row of docs."""
+    """doc_id, source, size, source_size, target, taken, and carried_x for each column x in carry: a row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "mixing")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("sk"), *[F.col(c).alias(f"carried_{c}") for c in carry])
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     taken = from_pass(0)
     for i in range(1, passes):
         taken = taken + from_pass(i)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry])
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[f"carried_{c}" for c in carry])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -77,11 +77,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = taken.where("taken > 0").withColumn("rest", rest).withColumn("last", (full + F.when(rest > 0, 1).otherwise(0)).cast("int"))
     each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "last")))
-    words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = each.withColumn("text", F.when((F.col("rest") > 0) & (F.col("copy") == F.col("last")), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    text = F.col("carried_text")
+    words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.when((F.col("rest") > 0) & (F.col("copy") == F.col("last")), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), "")).otherwise(text)
+    done = each.withColumn("carried_text", cut)
+    made = {"text": F.col("carried_text"), "n_chars": F.length("carried_text").cast("long"), "doc_id": F.col("doc_id"), "source": F.col("source")}
+    return done.select(*[made.get(c, F.col(f"carried_{c}")).alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,12 +157,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     return fit_rules(list(stats), got[list(stats)].to_numpy(np.float64), (got["y"].to_numpy() > 0.5).astype(np.float64))
 
 
-def score_quality(docs: DataFrame, rules: Rules) -> DataFrame:
-    """docs with a column score."""
+def score_quality(docs: DataFrame, rules: Rules, name: str = "score") -> DataFrame:
+    """docs with a column of this name; one that docs has is replaced."""
     stats = statistics(F.col("text"))
     used = {s for p, _ in rules.rules for s, _, _ in p}
-    cols = docs.columns
-    return docs.select("*", *[stats[s].cast("double").alias(f"stat_{s}") for s in stats if s in used]).select(*cols, rules.column().alias("score"))
+    cols = [c for c in docs.columns if c != name]
+    return docs.select(*cols, *[stats[s].cast("double").alias(f"stat_{s}") for s in stats if s in used]).select(*cols, rules.column().alias(name))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
