@@ -24,13 +24,13 @@ class LocatorError(ValueError):
 
 def sign_locator(secret: bytes, payload: dict) -> str:
     body = base64.urlsafe_b64encode(json.dumps(payload, sort_keys=True).encode()).decode().rstrip("=")
-    return f"cw1.{body}.{hmac.new(secret, body.encode(), hashlib.sha256).hexdigest()}"
+    return f"ev1.{body}.{hmac.new(secret, body.encode(), hashlib.sha256).hexdigest()}"
 
 
 def verify_locator(secret: bytes, locator: str) -> dict:
     try:
         head, body, sig = locator.split(".")
-        if head != "cw1" or not hmac.compare_digest(sig, hmac.new(secret, body.encode(), hashlib.sha256).hexdigest()):
+        if head != "ev1" or not hmac.compare_digest(sig, hmac.new(secret, body.encode(), hashlib.sha256).hexdigest()):
             raise LocatorError(locator)
         return json.loads(base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)))
     except (ValueError, TypeError) as e:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspan.adapters import EPOCH_MS, STEP_MS, Tables
 from strataspan.functions import text as tx
-from strataspan.operators import feedback, lexical, lifecycle, ranking, segments, simhash, structure
+from strataspan.operators import context, feedback, lexical, lifecycle, ranking, segments, simhash, structure
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -372,6 +372,51 @@ def lineitem_pricing(t):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
+_TURNS = r"""g AS (SELECT conv_id, turn, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS turn_group FROM conversations),
+tg AS (SELECT conv_id, CAST(turn_group AS BIGINT) AS turn_group, CAST(sum(ceil(length(coalesce(text, '')) / 4.0)) AS BIGINT) AS tokens FROM g GROUP BY ALL)"""
+
+
+def _turns(t):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = t.conversations.withColumn("turn_group", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    return marked.groupBy("conv_id", "turn_group").agg(F.sum(F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4.0)).alias("tokens"))
+
+
+@query(f"""WITH {_TURNS}, p AS (SELECT *, count(*) OVER w AS k, sum(tokens) OVER w AS s FROM tg WINDOW w AS (PARTITION BY conv_id ORDER BY turn_group DESC ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT conv_id, max(k) AS n, min(turn_group) FILTER (k <= 3 AND s + 100 <= 400) AS first_kept, count(*) FILTER (k <= 3 AND s + 100 <= 400) AS kept FROM p GROUP BY 1)
+SELECT conv_id, first_kept, kept, CASE WHEN kept = 0 THEN 'compaction' WHEN kept = least(n, 3) THEN 'normal' ELSE 'emergency-retention' END AS mode FROM a""")
+def window_rotation(t):
+    return context.rotation(_turns(t), target=400, retain=3, reserve=100)
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT conv_id, turn, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, turn, tokens, n, tokens > 120 AS external, CASE WHEN tokens > 120 THEN 0 ELSE tokens END AS used FROM m WHERE n = 1
+ UNION ALL SELECT m.conv_id, m.turn, m.tokens, m.n, m.tokens > CASE WHEN r.used >= 150 THEN 40 ELSE 120 END, r.used + CASE WHEN m.tokens > CASE WHEN r.used >= 150 THEN 40 ELSE 120 END THEN 0 ELSE m.tokens END FROM r JOIN m ON m.conv_id = r.conv_id AND m.n = r.n + 1)
+SELECT conv_id, turn, tokens, external FROM r""")
+def externalized_results(t):
+    sized = t.conversations.select("conv_id", "turn", F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4.0).alias("tokens"))
+    return context.externalized(sized, each=120, floor=40, share=150)
+
+
+@query(f"""WITH {_EV}, tg AS (SELECT document_id AS target_id, created_at AS t FROM ev WHERE document_id % 40 = 0),
+f AS (SELECT document_id AS target_id, document_id + 1 AS d FROM ev WHERE document_id % 40 = 0 UNION SELECT a.document_id, b.document_id FROM ev a JOIN ev b ON a.session_id = b.session_id AND a.project = b.project WHERE a.document_id % 40 = 0),
+x AS (SELECT f.target_id, e.document_id, e.created_at FROM f JOIN ev e ON e.document_id = f.d JOIN tg ON tg.target_id = f.target_id AND e.created_at > t)
+SELECT target_id, count(*) AS n, min(document_id) AS first_id FROM x GROUP BY 1""")
+def dependent_documents(t):
+    docs = t.evidence()
+    targets = docs.where("document_id % 40 = 0").select("document_id")
+    sources = docs.select("document_id", F.concat_ws("/", "project", "session_id").alias("source_key"))
+    cites = docs.select((F.col("document_id") + 1).alias("document_id"), F.col("document_id").alias("cited_id"))
+    links = docs.select((F.col("document_id") + 1).alias("id"), F.col("document_id").alias("supersedes"))
+    return context.dependents(targets, docs, sources, cites, links).select("target_id", "n", F.get("first", F.lit(0)).alias("first_id"))
+
+
+@query(_BM25.rstrip() + """, b AS (SELECT query_id, document_id AS id, CASE WHEN document_id % 3 = 0 THEN least(1.0, round(normalized * 1.12::DOUBLE, 6)) ELSE normalized END AS norm FROM best) SELECT * FROM b""")
+def working_set_boost(t):
+    pool = lexical.search(t.evidence(), _asked(t)).select("query_id", F.col("document_id").alias("id"), F.col("normalized").alias("norm"))
+    return context.boosted(pool, pool.where("id % 3 = 0"), context.WORKING_SET_BOOST)
+
+
 @query()
 def anchors_extracted(t):
     """Typed anchors of page URLs and markup; the families use lookarounds, which DuckDB's patterns lack."""

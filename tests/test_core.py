@@ -147,3 +147,15 @@ def test_catalogue_against_duckdb(spark):
         got = catalogue.QUERIES[name](spark, sf).toPandas()
         ref = con.execute(catalogue.ORACLES[name]).fetchdf()[list(got.columns)]
         assert sorted(map(str, got.values.tolist())) == sorted(map(str, ref.values.tolist())), name
+
+
+def test_context(spark):
+    from strataspan.operators import context
+
+    turns = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["a", "c", "c"]), (1, 2, ["a"])], "conv_id int, turn_group int, terms array<string>")
+    assert [r["term"] for r in context.context_terms(turns, last=2, most=2).orderBy("rank").collect()] == ["c", "a"]
+    d = spark.createDataFrame([("s", 1, 5), ("s", 2, 9), ("p", 3, 1), ("x", 4, 1)], "session_id string, document_id int, sequence int")
+    line = spark.createDataFrame([("s", "s", 0), ("s", "p", 1)], "root string, session_id string, depth int")
+    assert [r["document_id"] for r in context.lineage_decisions(d, line, 3).orderBy("depth", "document_id").collect()] == [1, 2, 3]
+    r = spark.createDataFrame([(1, 0, 50), (1, 1, 60), (1, 2, 30), (1, 3, 5)], "conv_id int, turn int, tokens int")
+    assert [x["external"] for x in context.externalized(r, each=100, floor=10, share=100).orderBy("turn").collect()] == [False, False, True, False]
