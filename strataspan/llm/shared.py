@@ -86,6 +86,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return comp
 
 
+def more_components(known: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (node, comp) of the edges of known components and further ones, at the cost of the further ones."""
+
+    def named(side: str) -> DataFrame:
+        return known.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+
+    between = edges.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = connected_components(between, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+    old = known.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp"))
+    new = up.select(F.col("comp").alias("node"), F.col("_up").alias("comp")).join(known.select("node"), "node", "left_anti")
+    return scratch.put(old.unionByName(new), "comp")
+
+
 #: Bits of a key filter, whatever the number of keys: its table has FILTER_BITS / 32768 rows of 4 KB, so it may be broadcast.
 FILTER_BITS = 1 << 25
 

@@ -332,3 +332,39 @@ def test_secret_scan(spark, docs):
     truth = np.array([y for *_, y in hit], dtype=bool)
     assert np.mean(np.array(found)[truth]) >= 0.9 and np.mean(np.array(found)[~truth]) <= 0.1
     assert secret_scan.scan_secrets(docs).count() == docs.count() and secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_rare_pairs_lose_no_link(spark):
+    """Lines of one bucket in many components: every pair at the threshold is among the candidates, and few others are."""
+    rng = random.Random(12)
+    lines = []
+    for _ in range(25):
+        w = words(rng, 9).split(" ")
+        for _ in range(4):
+            v = list(w)
+            v[rng.randrange(9)] = words(rng, 1)
+            lines.append("a frame that all lines share " + " ".join(v))
+    lines = sorted(set(lines))
+    texts = spark.createDataFrame([(i, hashlib.md5(t.encode()).digest(), t) for i, t in enumerate(lines)], "k long, key binary, line string")
+    members = texts.select(F.lit(7).cast("long").alias("bucket"), "k", F.col("key").alias("comp"))
+    got = {(r["a"], r["b"]) for r in line_dedup.rare_pairs(members, texts, 0.8).collect()}
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(near) > 10 and near <= got
+    assert len(got) < len(lines) * (len(lines) - 1) / 4
+    one = members.withColumn("comp", F.lit(b"x"))
+    assert line_dedup.rare_pairs(one, texts, 0.8).isEmpty() and line_dedup.rare_pairs(members.limit(0), texts, 0.8).isEmpty()
+    assert line_dedup.rare_pairs(members, texts, 0.8).exceptAll(line_dedup.rare_pairs(members.unionByName(members.withColumn("bucket", F.lit(8).cast("long"))), texts, 0.8)).isEmpty()
+
+
+def test_more_components(spark):
+    scratch = Scratch(spark, "more")
+    edges = [("a", "b"), ("c", "d"), ("e", "f")]
+    known = connected_components(spark.createDataFrame(edges, "a string, b string"), scratch)
+    from strataspan.llm.shared import more_components
+
+    more = [("b", "c"), ("x", "y"), ("y", "f")]
+    got = more_components(known, spark.createDataFrame(more, "a string, b string"), scratch).collect()
+    want = components("abcdefxy", edges + more)
+    assert sorted(r["node"] for r in got) == list("abcdefxy")
+    assert {(m["node"], n["node"]) for m in got for n in got if m["comp"] == n["comp"]} == {(m, n) for m in "abcdefxy" for n in "abcdefxy" if want[m] == want[n]}
