@@ -334,27 +334,26 @@ def test_secret_scan(spark, docs):
     assert secret_scan.scan_secrets(docs).count() == docs.count() and secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
-def test_rare_pairs_lose_no_link(spark):
-    """Lines of one bucket in many components: every pair at the threshold is among the candidates, and few others are."""
+def test_finer_pairs(spark):
+    """Lines of one frame in many families: the families' components are found from few pairs."""
     rng = random.Random(12)
-    lines = []
+    lines = set()
     for _ in range(25):
-        w = words(rng, 9).split(" ")
-        for _ in range(4):
-            v = list(w)
-            v[rng.randrange(9)] = words(rng, 1)
-            lines.append("a frame that all lines share " + " ".join(v))
-    lines = sorted(set(lines))
+        w = words(rng, 14).split(" ")
+        lines |= {"a frame that all share " + " ".join(w[:-1] + [f"{w[-1]}{i}"]) for i in range(4)}
+    lines = sorted(lines)
     texts = spark.createDataFrame([(i, hashlib.md5(t.encode()).digest(), t) for i, t in enumerate(lines)], "k long, key binary, line string")
-    members = texts.select(F.lit(7).cast("long").alias("bucket"), "k", F.col("key").alias("comp"))
-    got = {(r["a"], r["b"]) for r in line_dedup.rare_pairs(members, texts, 0.8).collect()}
+    members = texts.select("k", F.col("key").alias("comp"))
+    got = {(r["a"], r["b"]) for r in line_dedup.finer_pairs(members, texts).collect()}
     sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
     near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert len(near) > 10 and near <= got
+    every = range(len(lines))
+    want, found = components(every, near), components(every, got & near)
+    assert len(near) > 100
+    assert all((want[i] == want[j]) == (found[i] == found[j]) for i in every for j in every)
     assert len(got) < len(lines) * (len(lines) - 1) / 4
-    one = members.withColumn("comp", F.lit(b"x"))
-    assert line_dedup.rare_pairs(one, texts, 0.8).isEmpty() and line_dedup.rare_pairs(members.limit(0), texts, 0.8).isEmpty()
-    assert line_dedup.rare_pairs(members, texts, 0.8).exceptAll(line_dedup.rare_pairs(members.unionByName(members.withColumn("bucket", F.lit(8).cast("long"))), texts, 0.8)).isEmpty()
+    same = members.withColumn("comp", F.lit(b"x"))
+    assert line_dedup.finer_pairs(same, texts).isEmpty() and line_dedup.finer_pairs(members.limit(0), texts).isEmpty()
 
 
 def test_more_components(spark):
