@@ -305,6 +305,18 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.without_repeated_lines(docs).count() == docs.count()
 
 
+def test_line_dedup_short_words(spark):
+    """Lines without a word of four characters, indented or not: copies go, and so do lines with one edit."""
+    lines = ["    if a is b: do x; y = z + 1; go", " 12 34 56 78 90 12 34 56 78", " | 1 | 2 | 3 | 4 | 5 | 6 | 7", " " * 30, "  \uac00\ub098 \ub2e4\ub77c \ub9c8\ubc14 \uc0ac\uc544 \uc790\ucc28 \uce74\ud0c0 \ud30c\ud558 \uac00\ub2e4 \ub098\ub77c"]
+    text = "\n".join(lines)
+    base = " ".join(str(100 + 7 * i) for i in range(20))
+    docs = [(i, text) for i in range(3)] + [(10, base), (11, "9" + base[1:])]
+    got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == text and got[0]["n_dropped"] == 0
+    assert all(got[i]["text"] == "" and got[i]["n_dropped"] == len(lines) for i in (1, 2))
+    assert (got[10]["n_dropped"], got[11]["n_dropped"]) == (0, 1)
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
