@@ -317,6 +317,22 @@ def test_line_dedup_short_words(spark):
     assert (got[10]["n_dropped"], got[11]["n_dropped"]) == (0, 1)
 
 
+def test_line_dedup_one_edit(spark):
+    """Short lines with one character changed, of 5-gram similarity 0.8 or a little more, against brute force."""
+    rng = random.Random(21)
+    docs, near = [], 0
+    while near < 150:
+        line = words(rng, 10)
+        i = rng.randrange(len(line))
+        other = line[:i] + "z" + line[i + 1 :]
+        a, b = ({x[j : j + 5] for j in range(len(x) - 4)} for x in (line, other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.87:
+            docs += [(2 * near, line), (2 * near + 1, other)]
+            near += 1
+    dropped = line_dedup.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0]
+    assert 0.97 * near <= dropped <= near
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
