@@ -384,6 +384,22 @@ def test_finer_pairs(spark):
     assert line_dedup.finer_pairs(same, texts).isEmpty() and line_dedup.finer_pairs(members.limit(0), texts).isEmpty()
 
 
+def test_finer_pairs_meet_every_pair(spark, monkeypatch):
+    """Every link between the lines of a bucket is among the pairs, over several blocks too."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    rng = random.Random(13)
+    lines = []
+    for i in range(30):
+        w = words(rng, 12)
+        lines += ["one frame that all the lines share, then " + w, "one frame that all the lines share, then " + w[:-1] + "zz"]
+    texts = spark.createDataFrame([(i, t.encode(), t) for i, t in enumerate(lines)], "k long, key binary, line string")
+    members = texts.select("k", F.col("key").alias("comp"), F.lit(1).alias("lo"), F.lit(2).alias("hi"))
+    got = {(r["a"], r["b"]) for r in line_dedup.finer_pairs(members, texts).collect()}
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(near) >= 30 and near <= got
+
+
 def test_more_components(spark):
     scratch = Scratch(spark, "more")
     edges = [("a", "b"), ("c", "d"), ("e", "f")]
