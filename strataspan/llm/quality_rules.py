@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.shared import n_words
+from strataspan.llm.shared import free_name, n_words
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -56,9 +56,14 @@ class Rules:
     intercept: float
     rules: tuple[tuple[tuple[tuple[str, bool, float], ...], float], ...]  # ((statistic, above, cut), ...), weight
 
-    def column(self) -> Column:
+    def used(self) -> set[str]:
+        return {s for p, _ in self.rules for s, _, _ in p}
+
+    def column(self, names: dict[str, str]) -> Column:
+        """The score, from columns that hold the statistics; names says which."""
+
         def holds(path) -> Column:
-            return reduce(lambda a, b: a & b, [(F.col(f"stat_{s}") > cut) if above else (F.col(f"stat_{s}") <= cut) for s, above, cut in path])
+            return reduce(lambda a, b: a & b, [(F.col(names[s]) > cut) if above else (F.col(names[s]) <= cut) for s, above, cut in path])
 
         z = reduce(lambda a, b: a + b, [F.when(holds(p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in self.rules], F.lit(self.intercept))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -159,10 +164,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 def score_quality(docs: DataFrame, rules: Rules, name: str = "score") -> DataFrame:
     """docs with a column of this name; one that docs has is replaced."""
-    stats = statistics(F.col("text"))
-    used = {s for p, _ in rules.rules for s, _, _ in p}
-    cols = [c for c in docs.columns if c != name]
-    return docs.select(*cols, *[stats[s].cast("double").alias(f"stat_{s}") for s in stats if s in used]).select(*cols, rules.column().alias(name))
+    stats, used = statistics(F.col("text")), rules.used()
+    names = {s: free_name(f"stat_{s}", docs) for s in stats if s in used}
+    cols = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    return docs.select(*cols, *[stats[s].cast("double").alias(c) for s, c in names.items()]).select(*cols, rules.column(names).alias(name))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Scratch tables in the cluster's shared folder, distributed connected components, and the word rule that several operators share."""
+"""Scratch tables in the cluster's shared folder, distributed connected components, joins that survive hot keys, names that don't clash, and the
+word rule that several operators share."""
 
 from __future__ import annotations
 
@@ -17,10 +18,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary folder of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary folder of our own only where that is unset and all runs in one process (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="strataspan-")
@@ -99,23 +103,51 @@ def more_components(known: DataFrame, edges: DataFrame, scratch: Scratch) -> Dat
     return scratch.put(old.unionByName(new), "comp")
 
 
-#: Bits of a key filter, whatever the number of keys: its table has FILTER_BITS / 32768 rows of 4 KB, so it may be broadcast.
-FILTER_BITS = 1 << 25
+def free_name(base: str, *frames: DataFrame) -> str:
+    """base, or base with underscores behind it, so that it is no column of these frames in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+#: A key of more than this share of a table's rows is hot, so there are fewer than HOT_KEYS hot keys: their rows may be broadcast.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str, n_rows: int) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key; its column count (dropped) says how many of the n_rows rows have that key.
+
+    The table's rows of hot keys are broadcast: their counts exceed n_rows / HOT_KEYS, so they are fewer than HOT_KEYS. All others are joined
+    by a shuffle, in which no key has more than that many rows.
+    """
+    least = max(HOT_ROWS, n_rows // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(count) > least).drop(count))
+    cold = table.where(F.col(count) <= least).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+#: Bits of a key filter: 16 a key, within these bounds. A row of the broadcast table holds 32768 bits, so it has 32 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def maybe_in(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose column may be among keys (one column of that name): all that are, and few others while keys are few.
+    """Rows of df whose column may be among keys (one column of that name): all that are, and few others while keys are below MOST_BITS / 16.
 
-    A filter before a join, in DataFrame operations: keys set bits of a bitmap of fixed size.
+    A filter before a join, in DataFrame operations: keys set bits of a bitmap of bounded size.
     """
+    n_bits, wanted = LEAST_BITS, 16 * keys.count()
+    while n_bits < min(wanted, MOST_BITS):
+        n_bits *= 2
 
     def bit(c: str) -> F.Column:
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(c), F.lit(n_bits))
 
+    names = {c: free_name(f"_{c}", df) for c in ("bit", "bucket", "at", "map")}
     bits = keys.select(bit(column).alias("_bit"))
-    maps = bits.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
-    at = df.withColumn("_bit", bit(column)).withColumn("_bucket", F.bitmap_bucket_number("_bit")).withColumn("_at", F.bitmap_bit_position("_bit"))
-    met = at.join(F.broadcast(maps), "_bucket")
-    byte = F.conv(F.hex(F.substr("_map", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.get(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col("_at") % 8).cast("int")).bitwiseAND(byte) != 0
+    maps = bits.groupBy(F.bitmap_bucket_number("_bit").alias(names["bucket"])).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias(names["map"]))
+    at = df.withColumn(names["bit"], bit(column)).withColumns({names["bucket"]: F.bitmap_bucket_number(names["bit"]), names["at"]: F.bitmap_bit_position(names["bit"])})
+    met = at.join(F.broadcast(maps), names["bucket"])
+    byte = F.conv(F.hex(F.substr(names["map"], (F.floor(F.col(names["at"]) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.get(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col(names["at"]) % 8).cast("int")).bitwiseAND(byte) != 0
     return met.where(hit).select(*df.columns)

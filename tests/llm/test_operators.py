@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspan.llm import (
-    chat_format, exact_dedup, line_dedup, mixing, ngram_jaccard, packing, quality_rules, secret_scan, token_counts, topk_search,
+    chat_format, exact_dedup, line_dedup, mixing, ngram_jaccard, packing, quality_rules, secret_scan, similar, token_counts, topk_search,
 )
 from strataspan.llm.shared import Scratch, connected_components
 
@@ -288,9 +288,9 @@ def test_line_dedup(spark, docs, empty):
     got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(df).collect()}
 
     def chars(line):
-        return {line[i : i + 5] for i in range(len(line) - 4)}
+        return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
 
-    occurrences = sorted(((d is not None, d or 0), i, d, line) for d, t in texts for i, line in enumerate((t or "").split("\n")) if len(line) >= 24)
+    occurrences = sorted(((d is not None, d or 0), i, d, line) for d, t in texts for i, line in enumerate((t or "").split("\n")) if line)
     lines = list({o[3] for o in occurrences})
     links = [(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if len(chars(a) & chars(b)) >= 0.8 * len(chars(a) | chars(b))]
     comp, seen, drop = components(lines, links), set(), defaultdict(set)
@@ -362,42 +362,75 @@ def test_secret_scan(spark, docs):
     assert secret_scan.scan_secrets(docs).count() == docs.count() and secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
-def test_finer_pairs(spark):
-    """Lines of one frame in many families: the families' components are found from few pairs."""
+def test_cells_meet_every_similar_pair():
+    """Prefix and length filters lose no similar pair, within one block and between two."""
+    rng = random.Random(13)
+    lines = [words(rng, 12) for _ in range(40)] + ["a frame that all the lines share, then " + words(rng, 3) for _ in range(40)] + ["", "x", "x"]
+    for i in range(120):
+        line = rng.choice(lines[:80])
+        at = rng.randrange(len(line))
+        lines.append(line[:at] + rng.choice(["", "z", "zz"]) + line[at + rng.randrange(3) :])
+    of = line_dedup.line_grams()
+    sets = [of(t) if t else of(t)[:0] for t in lines]
+    real = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} if t else set() for t in lines]
+    near = {(i, j) for i in range(len(lines)) for j in range(i) if real[i] & real[j] and len(real[i] & real[j]) >= 0.8 * len(real[i] | real[j])}
+    assert len(near) > 50
+    for left in (None, 70):
+        got = [(max(i, int(j)), min(i, int(j))) for i, own in similar.similar_in_cell(sets, 0.8, left) for j in own]
+        assert sorted(got) == sorted((i, j) for i, j in near if left is None or j < left <= i)
+
+
+@pytest.mark.parametrize("block", [7, 400])
+def test_cell_links(spark, block):
+    """Links of a group, over several cells: counts are those of brute force, and links join what is similar."""
     rng = random.Random(12)
     lines = set()
     for _ in range(25):
         w = words(rng, 14).split(" ")
         lines |= {"a frame that all share " + " ".join(w[:-1] + [f"{w[-1]}{i}"]) for i in range(4)}
     lines = sorted(lines)
-    texts = spark.createDataFrame([(i, hashlib.md5(t.encode()).digest(), t) for i, t in enumerate(lines)], "k long, key binary, line string")
-    members = texts.select("k", F.col("key").alias("comp"))
-    got = {(r["a"], r["b"]) for r in line_dedup.finer_pairs(members, texts).collect()}
-    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
-    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    every = range(len(lines))
-    want, found = components(every, near), components(every, got & near)
-    assert len(near) > 100
-    assert all((want[i] == want[j]) == (found[i] == found[j]) for i in every for j in every)
-    assert len(got) < len(lines) * (len(lines) - 1) / 4
-    same = members.withColumn("comp", F.lit(b"x"))
-    assert line_dedup.finer_pairs(same, texts).isEmpty() and line_dedup.finer_pairs(members.limit(0), texts).isEmpty()
-
-
-def test_finer_pairs_meet_every_pair(spark, monkeypatch):
-    """Every link between the lines of a bucket is among the pairs, over several blocks too."""
-    monkeypatch.setattr(line_dedup, "BLOCK", 7)
-    rng = random.Random(13)
-    lines = []
-    for i in range(30):
-        w = words(rng, 12)
-        lines += ["one frame that all the lines share, then " + w, "one frame that all the lines share, then " + w[:-1] + "zz"]
-    texts = spark.createDataFrame([(i, t.encode(), t) for i, t in enumerate(lines)], "k long, key binary, line string")
-    members = texts.select("k", F.col("key").alias("comp"), F.lit(1).alias("lo"), F.lit(2).alias("hi"))
-    got = {(r["a"], r["b"]) for r in line_dedup.finer_pairs(members, texts).collect()}
     sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
     near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert len(near) >= 30 and near <= got
+    texts = spark.createDataFrame([(i.to_bytes(2), t) for i, t in enumerate(lines)], "key binary, text string")
+    members = texts.select(F.lit(5).alias("group"), "key", F.col("key").alias("comp"), F.lit(len(lines)).alias("m"))
+    cells = similar.in_cells(members, texts, "key", block).select("group", "ci", "cj", "block", "key", "comp", "text")
+    n = Counter(x for e in near for x in e)
+    counts = Counter()
+    for r in cells.mapInArrow(similar.cell_links(line_dedup.line_grams, 0.8, True), "key binary, links long").collect():
+        counts[int.from_bytes(r["key"])] += r["links"]
+    assert counts == n and len(near) > 100
+    got = {(int.from_bytes(r["a"]), int.from_bytes(r["b"])) for r in cells.mapInArrow(similar.cell_links(line_dedup.line_grams, 0.8, False), "a binary, b binary").collect()}
+    assert {(min(e), max(e)) for e in got} <= near
+    want, found = components(range(len(lines)), near), components(range(len(lines)), got)
+    assert all((want[i] == want[j]) == (found[i] == found[j]) for i in range(len(lines)) for j in range(i))
+    assert cells.limit(0).mapInArrow(similar.cell_links(line_dedup.line_grams, 0.8, False), "a binary, b binary").isEmpty()
+
+
+def test_line_dedup_probe(spark):
+    """Lines of words of up to three characters whose first words differ (similarity 0.87) are linked; equal short lines too; blank lines stay."""
+    a = "on we go now to it as we do and so on it is up to us or to me if we can do it all at one go or two, " + " ".join(str(i) for i in range(40))
+    b = "by me so far" + a[12:]
+    docs = spark.createDataFrame([(1, a + "\nok\n\n"), (2, b + "\nok\n\n"), (2, "ok")], "doc_id long, text string")
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b)]
+    assert 0.8 * len(sets[0] | sets[1]) <= len(sets[0] & sets[1]) <= 0.9 * len(sets[0] | sets[1])
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.without_repeated_lines(docs).collect())
+    assert got == [(1, a + "\nok\n\n", 4, 0), (2, "", 1, 1), (2, "\n", 4, 2)]
+
+
+def test_clashing_names(spark):
+    """Columns with the names that operators use inside are carried unchanged."""
+    own = {c: F.lit(c) for c in ("_row", "_drop", "_parts", "row", "key", "k", "band", "n", "_tid", "_id", "_key", "class", "tid", "stat_words", "stat_upper", "_score", "_quality", "sk", "cell", "before")}
+    base = [(i, "s", f"line one is {i % 3}\nThis is a longer line of text. It ends here {i}.") for i in range(12)] + [(3, None, None)]
+    df = spark.createDataFrame(base, "doc_id long, source string, text string").withColumns(own)
+    lines = line_dedup.without_repeated_lines(df)
+    near = ngram_jaccard.one_of_each_class(df)
+    rules = quality_rules.Rules(0.1, (((("words", True, 3.0),), 0.5),))
+    scored = quality_rules.score_quality(df, rules)
+    mixed = mixing.mixed_documents(df)
+    for out, more in ((lines, ["n_lines", "n_dropped"]), (near, []), (scored, ["score"]), (mixed, [])):
+        assert out.columns == df.columns + more
+        assert all(r[c] == c for r in out.collect() for c in own)
+    assert lines.count() == scored.count() == df.count() and near.count() == df.select("text").distinct().count()
 
 
 def test_more_components(spark):
