@@ -38,10 +38,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, name: str = "t", options: dict[str, str] | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -1,33 +1,96 @@
 """Token counts by prefix dynamic programming.
 
-The vocabulary's pre-tokenizer drops white space and never joins across it, so the count of a prefix that ends after word i is the count
-of the prefix that ends after word i - 1 plus the word's own count: one table lookup a word, the library being asked once for each
-distinct word. The table of prefixes answers truncation and budget questions without encoding again; inside a word, counts of the
-word's own prefixes are added.
-
-Null texts count as empty: no tokens. Texts of any length are read whole. Extra columns are not read; repeated rows are counted each.
+The table of a text holds the exact token count of every prefix that ends with a word: the count of the prefix before the word plus the word's own count, the
+library being asked once for each distinct word of a batch that isn't remembered. Tables are stored; counts, limits, truncation and budgets are read from
+them without encoding again. Prefixes that end inside a word add a second table, of the word's characters: the encoding of a prefix of a word is
+the encoding of a shorter one and one more token, the one whose join with the last token before it the merges leave as it is, so counts follow
+by dynamic programming over the word's ends. (Only words with letters beyond ASCII, an apostrophe or a special string are left to the library there,
+since their normal forms and pieces may change with the end.)
+
+Counting word by word needs a file whose normalizer and pre-tokenizer keep words apart at spaces, tabs and line ends; that is tried out when a file is
+loaded, and a file that doesn't raises ValueError.
+
+Null texts count as empty: no tokens, an empty table. Texts of any length are read whole. An empty table gives an empty one. Extra columns are not read; repeated
+rows are counted each.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspan.llm.shared import Scratch
+
 #: Only these separate words here: a subset of what the vocabulary drops, so that any other white space is left to the library.
+SEPARATORS = " \t\n\r"
 _SPLIT = re.compile(r"[^ \t\n\r]+")
 
 #: Words longer than this are encoded each time; so many words are remembered at most.
 LONG_WORD, CACHE_WORDS = 64, 1_000_000
 
 
+class WordPrefixes:
+    """Counts of the prefixes of a word under a BPE of merges, by dynamic programming over the ends."""
+
+    def __init__(self, model: dict):
+        self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.longest = max(map(len, self.vocab), default=1)
+        self.joins: dict[tuple[str, str], bool] = {}
+
+    def _symbols(self, token: str) -> list[str]:
+        if self.suffix and token.endswith(self.suffix):
+            bare = token[: -len(self.suffix)]
+            return [*bare[:-1], bare[-1] + self.suffix] if bare else [token]
+        return list(token)
+
+    def _merged(self, symbols: list[str]) -> list[str]:
+        while len(symbols) > 1:
+            best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 60))
+            if (symbols[best], symbols[best + 1]) not in self.rank:
+                break
+            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
+        return symbols
+
+    def _follows(self, before: str | None, token: str) -> bool:
+        """Whether the merges leave these two tokens as they are beside each other."""
+        key = (before or "", token)
+        if key not in self.joins:
+            if len(self.joins) > 1_000_000:
+                self.joins.clear()
+            own = [token] if before is None else [before, token]
+            self.joins[key] = self._merged([s for t in own for s in self._symbols(t)]) == own
+        return self.joins[key]
+
+    def counts(self, piece: str) -> list[int]:
+        """Tokens of piece[:1], piece[:2], ..., each as a piece of its own."""
+        n = len(piece)
+        last: list[str | None] = [None] * (n + 1)  # the last token of piece[:i] without a word's end
+        open_count, out = [0] * (n + 1), []
+        for i in range(1, n + 1):
+            for ended in (False, True):
+                tail = self.suffix if ended else ""
+                for j in range(max(0, i - self.longest), i):
+                    token = piece[j:i] + tail
+                    if token in self.vocab and (j == 0 or last[j] is not None) and self._follows(last[j], token):
+                        if ended:
+                            out.append(open_count[j] + 1)
+                        else:
+                            last[i], open_count[i] = token, open_count[j] + 1
+                        break
+        return out
+
+
 class PrefixCounter:
-    """Token counts of prefixes under one tokenizers file. The file's normalizer and pre-tokenizer must treat words apart (checked on use in tests)."""
+    """Token counts of prefixes under one tokenizers file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -35,8 +98,20 @@ class PrefixCounter:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words: dict[str, int] = {}
+        self.words: dict[str, int] = {"": 0}
         self.inner: dict[str, list[int]] = {}
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        self.within = WordPrefixes(whole["model"]) if whole["model"].get("type") == "BPE" else None
+        self.special = [t["content"] for t in whole.get("added_tokens") or ()]
+        self._try_out()
+
+    def _try_out(self) -> None:
+        words = ["it's", "Word", "12ab", "--x", "ſé", "日本", "a'", "'ll", "\x0b!", *self.special, "z"]
+        alone = self._encode(words)
+        for gap in [*SEPARATORS, "  ", " \n\t"]:
+            if len(self.tok.encode(gap + gap.join(words) + gap, add_special_tokens=False).ids) != sum(alone):
+                raise ValueError("this vocabulary doesn't keep words apart at white space: their counts don't add up")
 
     def _encode(self, texts: list[str]) -> list[int]:
         """Count of each text alone: many are given at once, told apart by the library."""
@@ -50,53 +125,66 @@ class PrefixCounter:
                 out += np.bincount(np.array(owner, dtype=np.int64), minlength=len(part)).tolist()
         return out
 
-    def learn(self, words: set[str]) -> list[str]:
-        """Puts the counts of these words into the table; returns those too long to be remembered, which forget() takes out again."""
+    def counts_of(self, words: list[str]) -> np.ndarray:
+        """Counts of distinct words; those not too long are remembered."""
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words = {"": 0}
         new = [w for w in words if w not in self.words]
-        if new:
-            self.words.update(zip(new, self._encode(new), strict=True))
-        return [w for w in new if len(w) > LONG_WORD]
-
-    def forget(self, words: list[str]) -> None:
-        for w in words:
-            self.words.pop(w, None)
-
-    def totals(self, texts: list[str]) -> list[np.ndarray]:
-        """Of each text, cell i holds the count of the prefix that ends after word i (cell 0: before any word)."""
-        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
-        long = self.learn(set().union(*split))
-        get = self.words.__getitem__
-        out = [np.concatenate(([0], np.cumsum(np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))))) for ws in split]
-        self.forget(long)
-        return out
+        found = dict(zip(new, self._encode(new), strict=True)) if new else {}
+        self.words.update((w, n) for w, n in found.items() if len(w) <= LONG_WORD)
+        return np.fromiter((found[w] if w in found else self.words[w] for w in words), dtype=np.int64, count=len(words))
+
+    def tables(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, word_ends, prefix_tokens) of a string array without nulls: text i has the entries offsets[i] to offsets[i + 1] - 1, one for each piece
+        between single separators, which may be empty."""
+        texts = texts.cast(pa.large_string())
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8).copy()
+        raw[(raw == 9) | (raw == 10) | (raw == 13)] = 32
+        flat = pa.LargeStringArray.from_buffers(len(texts), texts.buffers()[1], pa.py_buffer(raw), None, 0, texts.offset)
+        split = pc.split_pattern(flat, " ")
+        offsets = split.offsets.to_numpy()
+        words = split.values[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        named = words.dictionary_encode()
+        count = self.counts_of(named.dictionary.to_pylist())[named.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        chars = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
+
+        def along(x: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(x)))
+            return total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+
+        return offsets, along(chars) - 1, along(count)
 
     def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Character ends of the words, and the counts of the prefixes that end there."""
-        spans = [m.span() for m in _SPLIT.finditer(text)]
-        long = self.learn({text[a:b] for a, b in spans})
-        total, counts = 0, []
-        for a, b in spans:
-            total += self.words[text[a:b]]
-            counts.append(total)
-        self.forget(long)
-        return [b for _, b in spans], counts
+        """Character ends of the pieces of one text, and the counts of the prefixes that end there."""
+        _, ends, counts = self.tables(pa.array([text]))
+        return ends.tolist(), counts.tolist()
+
+    def inside(self, word: str) -> list[int]:
+        """Counts of all prefixes of a word, the empty one included."""
+        if word not in self.inner:
+            if len(self.inner) > 10_000:
+                self.inner.clear()
+            if self.within is None or not word.isascii() or "'" in word or any(s[:1] in word for s in self.special):
+                self.inner[word] = [0, *self._encode([word[:i] for i in range(1, len(word) + 1)])]
+            else:
+                out, total = [0], 0
+                for piece in re.findall(r"[a-z]+|[0-9]|[^a-z0-9\s]+|\s", word.lower()):
+                    own = [0] if piece.isspace() else self.within.counts(piece)
+                    out += [total + n for n in own]
+                    total += own[-1]
+                self.inner[word] = out
+        return self.inner[word]
 
     def prefix(self, text: str, end: int, table: tuple[list[int], list[int]] | None = None) -> int:
         """Count of text[:end] for any end, from the table and the prefixes of the one word that it cuts."""
         ends, counts = table or self.table(text)
         k = bisect_right(ends, end)
         before = counts[k - 1] if k else 0
-        part = re.search(r"[^ \t\n\r]*\Z", text[:end]).group()
-        if not part or k and ends[k - 1] == end:
+        start = ends[k - 1] + 1 if k else 0
+        if end <= start:
             return before
-        word = _SPLIT.match(text, end - len(part)).group()
-        if word not in self.inner:
-            if len(self.inner) > 10_000:
-                self.inner.clear()
-            self.inner[word] = [0, *self._encode([word[:i] for i in range(1, len(word) + 1)])]
-        return before + self.inner[word][len(part)]
+        return before + self.inside(_SPLIT.match(text, start).group())[end - start]
 
     def fit(self, text: str, budget: int, table: tuple[list[int], list[int]] | None = None) -> int:
         """Characters of the longest prefix of whole words with at most budget tokens."""
@@ -115,52 +203,58 @@ def _counter(path: str) -> PrefixCounter:
     return held[path]
 
 
-def _groups(texts: list[str], most_chars: int = 1 << 20) -> Iterator[list[str]]:
-    group, chars = [], 0
-    for t in texts:
-        group.append(t)
-        chars += len(t)
-        if chars > most_chars:
-            yield group
-            group, chars = [], 0
-    if group:
-        yield group
+def _groups(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes together."""
+    group = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
-def _counted(path: str, limit: int, tables: bool):
+def _tabled(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
-            if tables:
-                found = [counter.table(t) for t in texts]
-                cols = [ids, n_bytes, pa.array([c[-1] if c else 0 for _, c in found], pa.int64()), pa.array([e for e, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "word_ends", "prefix_tokens"])
-            else:
-                total, within = [], []
-                for group in _groups(texts):
-                    for t in counter.totals(group):
-                        total.append(int(t[-1]))
-                        within.append(int(np.searchsorted(t, limit, side="right")) - 1)
-                cols = [ids, n_bytes, pa.array(total, pa.int64()), pa.array(within, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "pieces_within"])
+            texts = pc.fill_null(batch.column(1), "")
+            n_bytes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            for a, b in _groups(n_bytes):
+                offsets, ends, tokens = counter.tables(texts[a:b])
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ends, tokens)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_bytes[a:b]), *lists], names=["doc_id", "n_bytes", "word_ends", "prefix_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, tables: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens of each row; with tables also the prefix tables word_ends (characters) and prefix_tokens.
-
-    Without tables, pieces_within says how many pieces between single separators fit in limit tokens.
-    """
+def prefix_tables(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_bytes, word_ends (characters) and prefix_tokens of each row of docs (doc_id, text): a cell for each piece between single separators, which
+    says where it ends and how many tokens the text has up to there."""
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    extra = "word_ends array<int>, prefix_tokens array<int>" if tables else "pieces_within long"
-    return slim.mapInArrow(_counted(tokenizer_path, limit, tables), f"doc_id long, n_bytes long, n_tokens long, {extra}")
+    return slim.mapInArrow(_tabled(tokenizer_path), "doc_id long, n_bytes long, word_ends array<int>, prefix_tokens array<int>")
+
+
+def stored_tables(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """prefix_tables(), written once; cells are stored as differences."""
+    return Scratch(docs.sparkSession, "token_counts").put(prefix_tables(docs, tokenizer_path), "tables", {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"})
+
+
+def n_tokens() -> Column:
+    """Tokens of the whole text, from a table's columns."""
+    return F.element_at("prefix_tokens", -1).cast("long")
+
+
+def words_within(budget: Column | int) -> Column:
+    """Pieces of the longest prefix with at most budget tokens, from a table's columns."""
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    return F.when(n_tokens() <= limit, F.size("prefix_tokens")).otherwise(F.size(F.filter("prefix_tokens", lambda n: n <= limit)))
+
+
+def chars_within(budget: Column | int) -> Column:
+    """Characters of the longest prefix of whole words with at most budget tokens, from a table's columns: where to truncate."""
+    k = words_within(budget)
+    return F.when(k > 0, F.get("word_ends", k - 1)).otherwise(0).cast("long")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_counts(docs, public_tokenizers.path(tokenizer), limit).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    tables = stored_tables(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(tokenizer))
+    return tables.select("doc_id", "n_bytes", n_tokens().alias("n_tokens"), (n_tokens() > limit).alias("over_limit"), chars_within(limit).alias("chars_within"))

@@ -170,19 +170,41 @@ def test_token_counts(spark, docs, rows):
     tok = Tokenizer.from_file(path)
     texts = [t or "" for _, _, t in rows] + ["a<|endoftext|>b <|startoftext|>", "ΑΣ ΣΑΣ it's 'S", "é ́x\x85q", "日本語 " + "x" * 300, "\t\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in token_counts.token_counts(df, path).collect()}
+    got = {r["doc_id"]: r for r in token_counts.stored_tables(df, path).withColumns({"n_tokens": token_counts.n_tokens(), "cut": token_counts.chars_within(7), "words": token_counts.words_within(7)}).collect()}
+    counter = token_counts.PrefixCounter(path)
     for i, t in enumerate(texts):
         assert (got[i]["n_tokens"], got[i]["n_bytes"]) == (len(tok.encode(t, add_special_tokens=False).ids), len(t.encode()))
-    tables = {r["doc_id"]: r for r in token_counts.token_counts(df, path, tables=True).collect()}
-    counter = token_counts.PrefixCounter(path)
+        ends = [m.start() for m in re.finditer(r"[ \t\n\r]|\Z", t)]
+        assert got[i]["word_ends"] == ends and len(got[i]["prefix_tokens"]) == len(ends)
+        assert got[i]["cut"] == counter.fit(t, 7) and len(tok.encode(t[: got[i]["cut"]], add_special_tokens=False).ids) <= 7
+        assert got[i]["words"] == len(ends) or got[i]["prefix_tokens"][got[i]["words"]] > 7
     for i in (0, *range(len(rows), len(texts))):
-        t, table = texts[i][:200], None
+        t = texts[i][:200]
         table = counter.table(t)
         assert [counter.prefix(t, k, table) for k in range(len(t) + 1)] == [len(tok.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
-        assert tables[i]["n_tokens"] == got[i]["n_tokens"]
-        end = counter.fit(t, 7, table)
-        assert len(tok.encode(t[:end], add_special_tokens=False).ids) <= 7
-    assert token_counts.token_counts(df.limit(0), path).count() == 0
+    assert token_counts.stored_tables(df.limit(0), path).count() == 0
+
+
+def test_word_prefixes_without_encoding(monkeypatch):
+    """Counts within words follow from the merges alone: the library isn't asked."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, counter, rng = Tokenizer.from_file(path), token_counts.PrefixCounter(path), random.Random(3)
+    some = sorted(w for w in tok.get_vocab() if w.isascii() and w.endswith("</w>") and len(w) > 9)
+    monkeypatch.setattr(counter, "_encode", None)
+    for _ in range(150):
+        word = "".join(rng.choice([rng.choice(some)[:-4], rng.choice("aeiouxyzqTHE0179.,-=/")]) for _ in range(rng.randrange(1, 5)))
+        if "'" not in word and "<" not in word:
+            assert counter.inside(word) == [0, *(len(tok.encode(word[:k], add_special_tokens=False).ids) for k in range(1, len(word) + 1))]
+
+
+def test_vocabulary_that_joins_words_is_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_chat_round_trip(spark):
