@@ -1,58 +1,85 @@
 """Best-fit packing into bins of several permitted sequence lengths.
 
-Every task packs its own rows in bounded batches. A batch's pieces go in decreasing length to the open bin with the least room that still
-holds them; if none does, a bin of the permitted length with the least cost for each token that it can still get is opened. At the end of
-a batch every bin is downsized to the least permitted length that holds its contents. No row is moved between tasks, so a frequent id, source
-or text weighs on no task more than its rows do.
-
-The length of a document is its number of words (null: 0). A document longer than the largest length is cut into pieces of that length
-and one remainder. Documents of length 0 take no room: they keep a row, with a null bin. Repeated rows are packed one by one. Extra columns are
-not read. Batches follow the partitions of the input: a rerun over the same files gives the same bins.
+Every task packs its own rows in bounded batches. A batch's pieces go in decreasing length to the open bin with the least room that still holds them; if none
+does, a bin of the length with the least cost for each token that it can still get is opened: of the pieces left, only those that would fit beside this one
+count. A batch is packed under every choice of lengths that may be opened, and the plan of the least total cost stays, so the lengths are optimised jointly.
+At the end every bin is downsized to the least permitted length that holds its contents. The cost of a bin is an overhead, its length, and a
+part that grows with the square of its length, as attention does. No row is moved between tasks, so a frequent id, source or text weighs on no task more
+than its rows do.
+
+Lengths are token counts. A document longer than the largest length is cut into pieces of that length and one remainder. Documents of length 0 (null or empty
+texts) take no room: they keep a row, with a null bin. Ties go by the order of the input. Repeated rows are packed one by one. An empty table gives an empty one.
+Extra columns are not read. Batches follow the partitions of the input: a rerun over the same files gives the same bins.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.shared import n_words
+from strataspan.llm.token_counts import whole_counts
 
 SIZES = (512, 1024, 2048, 4096)
-#: Cost of a bin besides its tokens; pieces in a batch.
-OVERHEAD, BATCH = 64, 50_000
+#: Cost of a bin besides its length: an overhead, and length * length / SPAN. Pieces in a batch.
+OVERHEAD, SPAN, BATCH = 64, 16_384, 50_000
 
 
-def best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD) -> tuple[list[tuple[int, int]], list[int]]:
-    """(bin, offset) of each length, none above the largest size, and the sizes of the bins."""
-    sizes = sorted(sizes)
+def cost(size: int) -> float:
+    return OVERHEAD + size + size * size / SPAN
+
+
+def _packed_under(lengths: Sequence[int], order: list[int], sizes: Sequence[int], may_open: Sequence[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """(bin, offset) of each length and the fillings of the bins; may_open holds the largest size."""
     place: list[tuple[int, int]] = [(-1, 0)] * len(lengths)
     room: list[tuple[int, int]] = []  # of open bins, sorted
     filled: list[int] = []
-    left = sum(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    ascending = [lengths[i] for i in reversed(order)]
+    total = [0]
+    for n in ascending:
+        total.append(total[-1] + n)
+    for done, i in enumerate(order):
         need = lengths[i]
         k = bisect_left(room, (need, -1))
         if k < len(room):
             free, b = room.pop(k)
         else:
-            # what is left to pack bounds what a bin can get
-            free = min((s for s in sizes if s >= need), key=lambda s: ((s + overhead) / min(s, left), s))
-            b = len(filled)
+            left = len(order) - done - 1  # pieces left, the shortest ones of all
+
+            def each_token(s: int) -> tuple[float, int]:
+                beside = bisect_left(ascending, s - need + 1, 0, left)
+                return cost(s) / min(s, need + total[beside]), s
+
+            free, b = min((s for s in may_open if s >= need), key=each_token), len(filled)
             filled.append(0)
         place[i] = (b, filled[b])
         filled[b] += need
-        left -= need
         if free > need:
             insort(room, (free - need, b))
-    return place, [sizes[bisect_left(sizes, f)] for f in filled]
+    return place, filled
 
 
-def _packed(sizes: Sequence[int], overhead: int, batch: int):
+def best_fit(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[list[tuple[int, int]], list[int]]:
+    """(bin, offset) of each length, none above the largest size, and the sizes of the bins: the cheapest plan over all choices of sizes to open."""
+    sizes = sorted(sizes)
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    best = None
+    for n in range(len(sizes)):
+        for some in combinations(sizes[:-1], n):
+            place, filled = _packed_under(lengths, order, sizes, [*some, sizes[-1]])
+            bins = [sizes[bisect_left(sizes, f)] for f in filled]
+            of = sum(map(cost, bins))
+            if best is None or of < best[0]:
+                best = of, place, bins
+    return best[1], best[2]
+
+
+def _packed(sizes: Sequence[int], batch: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("bin_id", pa.int64()), ("bin_size", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +89,7 @@ def _packed(sizes: Sequence[int], overhead: int, batch: int):
         def flushed() -> pa.RecordBatch:
             nonlocal first
             at = [i for i, n in enumerate(lengths) if n]
-            place, bins = best_fit([lengths[i] for i in at], sizes, overhead)
+            place, bins = best_fit([lengths[i] for i in at], sizes)
             own = dict(zip(at, place, strict=True))
             cols = [ids, pieces, [first + own[i][0] if i in own else None for i in range(len(ids))], [bins[own[i][0]] if i in own else None for i in range(len(ids))],
                     [own[i][1] if i in own else None for i in range(len(ids))], lengths]
@@ -84,11 +111,13 @@ def _packed(sizes: Sequence[int], overhead: int, batch: int):
     return run
 
 
-def pack(docs: DataFrame, sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD, batch: int = BATCH) -> DataFrame:
-    """doc_id, piece, bin_id, bin_size, start, length (tokens, here words): a row for each piece of docs (doc_id, text)."""
-    measured = docs.select(F.col("doc_id").cast("long"), n_words(F.col("text")).alias("size"))
-    return measured.mapInArrow(_packed(tuple(sizes), overhead, batch), "doc_id long, piece int, bin_id long, bin_size int, start int, length int")
+def pack(measured: DataFrame, sizes: Sequence[int] = SIZES, batch: int = BATCH) -> DataFrame:
+    """doc_id, piece, bin_id, bin_size, start, length (tokens): a row for each piece of the documents (doc_id, n_tokens)."""
+    slim = measured.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long"))
+    return slim.mapInArrow(_packed(tuple(sizes), batch), "doc_id long, piece int, bin_id long, bin_size int, start int, length int")
+
 
+def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
 
-def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pack(whole_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(tokenizer)))

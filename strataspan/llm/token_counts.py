@@ -210,7 +210,7 @@ def _groups(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
-def _tabled(path: str):
+def _tabled(path: str, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:
@@ -218,6 +218,10 @@ def _tabled(path: str):
             n_bytes = pc.binary_length(texts).to_numpy().astype(np.int64)
             for a, b in _groups(n_bytes):
                 offsets, ends, tokens = counter.tables(texts[a:b])
+                if whole:
+                    n = np.concatenate((tokens, [0]))[offsets[1:] - 1]  # a text has at least one cell
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_bytes[a:b]), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+                    continue
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ends, tokens)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_bytes[a:b]), *lists], names=["doc_id", "n_bytes", "word_ends", "prefix_tokens"])
 
@@ -228,7 +232,12 @@ def prefix_tables(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_bytes, word_ends (characters) and prefix_tokens of each row of docs (doc_id, text): a cell for each piece between single separators, which
     says where it ends and how many tokens the text has up to there."""
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInArrow(_tabled(tokenizer_path), "doc_id long, n_bytes long, word_ends array<int>, prefix_tokens array<int>")
+    return slim.mapInArrow(_tabled(tokenizer_path, False), "doc_id long, n_bytes long, word_ends array<int>, prefix_tokens array<int>")
+
+
+def whole_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_bytes and n_tokens of each row of docs (doc_id, text): the last cells of the tables alone."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tabled(tokenizer_path, True), "doc_id long, n_bytes long, n_tokens long")
 
 
 def stored_tables(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -266,8 +266,12 @@ def test_quality(spark, docs, empty):
     assert {r["doc_id"] for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
-def test_packing(docs, empty, rows):
-    got = packing.pack(docs.repartition(3), sizes=(64, 128, 256)).collect()
+def test_packing(spark, docs, empty, rows):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    measured = token_counts.whole_counts(docs, path).withColumn("bin_id", F.lit("x"))
+    got = packing.pack(measured.repartition(3), sizes=(64, 128, 256)).collect()
     need = Counter()
     bins = defaultdict(list)
     for r in got:
@@ -276,23 +280,68 @@ def test_packing(docs, empty, rows):
             bins[r["bin_id"]].append(r)
         else:
             assert r["bin_id"] is None
-    exp = Counter()
+    exp, counter = Counter(), token_counts.PrefixCounter(path)
     for d, _, t in rows:
-        exp[d] += len(WORD.findall(t or ""))
-    assert need == exp
+        exp[d] += counter.table(t or "")[1][-1]
+    assert need == exp and exp[47] > 256
     for own in bins.values():
         own.sort(key=lambda r: r["start"])
         assert own[0]["start"] == 0 and all(a["start"] + a["length"] == b["start"] for a, b in zip(own, own[1:]))
         filled = sum(r["length"] for r in own)
         assert {r["bin_size"] for r in own} == {min(s for s in (64, 128, 256) if s >= filled)}
-    assert packing.pack(empty).count() == 0
+    assert packing.pack(token_counts.whole_counts(empty, path)).count() == 0
+    nothing = spark.createDataFrame([(1, None), (None, 0), (2, 5), (2, 5)], "doc_id long, n_tokens long")
+    assert sorted(r["length"] for r in packing.pack(nothing).collect()) == [0, 0, 5, 5]
+
 
+def least_cost(lengths, sizes):
+    """Over all partitions of the pieces into bins."""
+    best = [float("inf")]
 
-def test_best_fit_is_tight():
+    def place(i, bins, _):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(packing.cost(min(s for s in sizes if s >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(sizes):
+                bins[k] += lengths[i]
+                place(i + 1, bins, None)
+                bins[k] -= lengths[i]
+        bins.append(lengths[i])
+        place(i + 1, bins, None)
+        bins.pop()
+
+    place(0, [], None)
+    return best[0]
+
+
+def test_best_fit_against_all_partitions():
+    rng = random.Random(2)
+    got = exp = 0
+    for _ in range(60):
+        lengths = [min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(rng.randint(1, 7))]
+        place, bins = packing.best_fit(lengths)
+        assert all(sum(n for n, (b, _) in zip(lengths, place) if b == i) <= size for i, size in enumerate(bins))
+        own, least = sum(map(packing.cost, bins)), least_cost(lengths, packing.SIZES)
+        assert least - 1e-6 <= own <= 1.25 * least
+        got, exp = got + own, exp + least
+    assert got <= 1.02 * exp
+    assert packing.best_fit([]) == ([], [])
+
+
+def test_best_fit_uses_several_sizes():
     rng = random.Random(2)
-    lengths = [rng.randint(1, 4096) for _ in range(4000)]
+    lengths = [rng.randint(1, 700) for _ in range(20000)]
     _, bins = packing.best_fit(lengths)
+    of = sum(map(packing.cost, bins))
     assert sum(lengths) >= 0.97 * sum(bins)
+    for only in packing.SIZES:  # no single size is as cheap, though bins are downsized
+        if only >= 1024:
+            order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+            filled = packing._packed_under(lengths, order, packing.SIZES, [only])[1]
+            assert of <= sum(packing.cost(min(s for s in packing.SIZES if s >= f)) for f in filled)
+    opened = Counter(packing.best_fit([min(4096, int(rng.lognormvariate(6, 1.3)) + 1) for _ in range(5000)])[1])
+    assert all(opened[s] > 20 for s in (1024, 2048, 4096))  # 1024 costs least a token, longer ones hold what doesn't fit
 
 
 def test_line_dedup(spark, docs, empty):
