@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.shared import free_name, n_words
+from strataspan.llm.shared import bounded_sample, free_name, n_words
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -155,7 +155,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Rules fitted on at most sample_rows labelled rows that aren't held out, chosen by a hash of doc_id."""
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y"))
     one = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a bounded table, so it may be broadcast
+    chosen = bounded_sample(one, "doc_id", sample_rows)  # a bounded table, so it may be broadcast
     stats = statistics(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", *[c.cast("double").alias(s) for s, c in stats.items()])
     got = rows.groupBy("doc_id").agg(F.min("y").alias("y"), *[F.min(s).alias(s) for s in stats]).orderBy("doc_id").toPandas()

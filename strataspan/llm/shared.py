@@ -111,6 +111,18 @@ def free_name(base: str, *frames: DataFrame) -> str:
     return base
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most this many rows of df whose key isn't null, chosen by a hash of the key, the same ones in every run.
+
+    A threshold on the hash, from the number of rows, leaves about 1.5 times as many before they are put in order in one task.
+    """
+    some = df.where(F.col(key).isNotNull())
+    span = 1 << 31
+    share = min(1.0, (1.5 * most + 100) / max(1, some.count()))
+    mark = F.xxhash64(F.lit("sample"), F.col(key).cast("string"))
+    return some.where(F.pmod(mark, F.lit(span)) < int(share * span)).orderBy(mark, key).limit(most)
+
+
 #: A key of more than this share of a table's rows is hot, so there are fewer than HOT_KEYS hot keys: their rows may be broadcast.
 HOT_KEYS, HOT_ROWS = 10_000, 1_000
 

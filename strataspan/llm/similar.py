@@ -85,15 +85,24 @@ def in_cells(members: DataFrame, texts: DataFrame, key: str, block: int = BLOCK)
     return cells.repartition("group", "ci", "cj").sortWithinPartitions("group", "ci", "cj", "block")
 
 
-def cell_links(grams: Callable, threshold: float, count: bool):
+def cell_links(grams: Callable, threshold: float, count: bool, likely: Callable | None = None):
     """For mapInArrow over in_cells() as (group, ci, cj, block, key, comp, text), comp being null with count. Yields (key, links): how many texts of the
-    cell are similar to a text, or (a, b): links that join all similar texts of different components. grams makes a function from text to set."""
+    cell are similar to a text, or (a, b): links that join all similar texts of different components. grams makes a function from text to set. likely,
+    if any, says from a further column sketch, components and the first block's size which rows of a cell need to be compared."""
 
     def judged(cell: list[tuple], of_text: Callable) -> Iterator[tuple]:
-        (_, i, j, *_), keys = cell[0], [r[4] for r in cell]
+        i, j = cell[0][1:3]
         left = sum(1 for r in cell if r[3] == i)
         if i != j and left in (0, len(cell)):
             return
+        if likely is not None:
+            comps = {c: k for k, c in enumerate(dict.fromkeys(r[5] for r in cell))}
+            keep = likely([r[7] for r in cell], np.array([comps[r[5]] for r in cell]), left if i != j else None)
+            cell = [r for r, fine in zip(cell, keep, strict=True) if fine]
+            left = sum(1 for r in cell if r[3] == i)
+            if len(cell) < 2:
+                return
+        keys = [r[4] for r in cell]
         sets = [of_text(r[6]) for r in cell]
         pairs = similar_in_cell(sets, threshold, left if i != j else None)
         if count:
