@@ -79,18 +79,21 @@ def test_topk(spark):
     rng = np.random.default_rng(2)
     vecs = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(220)]
     vecs += [(300, None), (400, [1.0, None]), (500, [1.0, float("nan")]), (600, []), (700, [float("inf")]), (None, [1.0]), (200, vecs[200][1]), (20, [1.0, 2.0])]
+    vecs += [(100, [3.0, -1.0, 2.0, 0.0, 1.0, 1.0]), (77, vecs[77][1]), (77, vecs[77][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in vecs], "vec_id long, embedding array<float>, id string")
     q = topk_search.quantized(df)
-    got = sorted(tuple(r) for r in topk_search.topk(q, q.where("id % 100 = 0"), 10).where("query_id != 200").collect())
-    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    got = sorted(tuple(r) for r in topk_search.topk(q, q.where("id % 100 = 0"), 10).collect())
+    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vecs if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     exp = []
-    for qid, qv in ok:
-        if qid % 100 == 0 and qid != 200:
-            best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ok if i != qid)[:10]
-            exp += [(qid, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert got == sorted(exp)
+    for qid, qv in {(i, tuple(v)) for i, v in ok if i % 100 == 0}:  # one result for each vector of an id
+        best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ok if i != qid)[:10]
+        exp += [(qid, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(exp) and {r[0] for r in got} == {0, 100, 200, 600} and len(got) == 50
     none = topk_search.quantized(df.limit(0))
     assert topk_search.topk(none, none).count() == 0
+    large = spark.createDataFrame([(0, [1e15, 1e15]), (1, [1e15, 1e15]), (2, [-1e15, 1.0])], "vec_id long, embedding array<double>")
+    q = topk_search.quantized(large)
+    assert [(r["vec_id"], r["score"]) for r in topk_search.topk(q, q.where("id = 0")).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
 
 
 def test_mixing(docs, empty, rows):
