@@ -1,38 +1,66 @@
 """Exact dedup by a log-structured merge index.
 
-Tasks fill bounded memtables of digests; full memtables flush as sorted runs with one entry (digest, largest or smallest row, count) for
-each digest; compaction merges the runs by digest. Equal digests are compared byte by byte: within a memtable at once, across runs by
-one text for each run. A filter of the digests that several runs hold, of bounded size, keeps all other texts from being moved.
+Tasks fill bounded memtables of digests; full memtables flush as runs, sorted by digest, with one entry (digest, largest row, count) for each text. Compaction
+deals the runs' entries out by ranges of digests, merges them in order and writes one run a range, with one entry for each digest and a filter of the digests
+that several runs hold. Hits are verified byte by byte: within a memtable at once, across runs by one text for each task, which is moved only if the filter of
+the digest's run may hold it.
 
-Null texts count as empty; an empty text is a text like any other. Repeated rows, also with one doc_id, form a group of which one row
-stays. A null doc_id is below all others. Extra columns are not read.
+Null texts count as empty; an empty text is a text like any other. Repeated rows, also with one doc_id, form a group of which exactly one row stays, whether
+digests collide or not. A null doc_id is below all others. An empty table gives an empty one. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.shared import Scratch
+from strataspan.llm.shared import Scratch, looked_up
 
-#: Bits of the filter over digests that occur in several runs. Fixed; beyond its capacity it lets more texts pass, never fewer.
-FILTER_BITS = 1 << 25
-FILTER_PROBES = 4
+#: Bits of all runs' filters together, at most, and for each hit; beyond that filters let more texts pass, never fewer.
+MOST_BITS, HIT_BITS, FILTER_PROBES = 1 << 28, 16, 4
 
 
-def _probes(digests: list[bytes]) -> np.ndarray:
+def _probes(digests: list[bytes], n_bits: int) -> np.ndarray:
     """Filter positions, a row for each digest. Digests are spread by a second hash, so short ones work as well."""
     full = b"".join(hashlib.blake2b(d, digest_size=4 * FILTER_PROBES).digest() for d in digests)
-    return np.frombuffer(full, dtype="<u4").reshape(len(digests), FILTER_PROBES) & np.uint32(FILTER_BITS - 1)
+    return np.frombuffer(full, dtype="<u4").reshape(len(digests), FILTER_PROBES) % np.uint32(n_bits)
 
 
+def made_filter(digests: list[bytes], most_bits: int) -> bytes:
+    """A filter that holds all of these digests."""
+    table = np.zeros(max(64, min(most_bits, HIT_BITS * len(digests))), dtype=bool)
+    table[_probes(digests, len(table)).ravel()] = True
+    return len(table).to_bytes(4) + np.packbits(table, bitorder="little").tobytes()
+
+
+class RunFilters:
+    """The filters of the compacted runs, each with the first and last digest of its run."""
+
+    def __init__(self, runs: list[tuple[bytes, bytes, bytes]]):
+        self.runs = sorted(runs)
+        self.firsts = [r[0] for r in self.runs]
+        self.tables = [(int.from_bytes(bits[:4]), np.frombuffer(bits, dtype=np.uint8, offset=4)) for *_, bits in self.runs]
+
+    def may_hold(self, digests: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(digests), dtype=bool)
+        by: dict[int, list[int]] = {}
+        for i, d in enumerate(digests):
+            k = bisect_right(self.firsts, d) - 1
+            if k >= 0 and d <= self.runs[k][1]:
+                by.setdefault(k, []).append(i)
+        for k, own in by.items():
+            n_bits, table = self.tables[k]
+            at = _probes([digests[i] for i in own], n_bits)
+            out[own] = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+        return out
 
 
 def build_runs(digest_bytes: int = 32, memtable_bytes: int = 64 << 20):
@@ -80,21 +108,53 @@ def build_runs(digest_bytes: int = 32, memtable_bytes: int = 64 << 20):
     return run
 
 
-def hit_texts(bits: bytes, digest_bytes: int = 32):
-    """For mapInArrow over (doc_id, text): each text, once a task and memtable, whose digest the filter may hold."""
+def merged_runs(most_bits: int):
+    """For mapInArrow over entries (digest, task, seq, doc_id, n), in order of digest: kind 0, one entry for each digest, its largest row and how many entries it
+    had; kind 1, the filter of the digests with several entries, with the first and last digest of the range."""
+    schema = pa.schema([("kind", pa.int32()), ("digest", pa.binary()), ("task", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("entries", pa.int64()), ("last", pa.binary()), ("bits", pa.binary())])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, now, rows, hits = None, None, [], []
+        for batch in batches:
+            for digest, task, seq, doc_id, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                row = (doc_id is not None, doc_id or 0, task, seq)
+                if now is None or digest != now[0]:
+                    if now is not None:
+                        rows.append(now)
+                    first = digest if first is None else first
+                    now = [digest, row, n, 1]
+                else:
+                    now[1], now[2], now[3] = max(now[1], row), now[2] + n, now[3] + 1
+                    if now[3] == 2:
+                        hits.append(digest)
+            if len(rows) > 50_000:
+                yield out([(0, d, t, s, i if known else None, n, m, None, None) for d, (known, i, t, s), n, m in rows])
+                rows = []
+        if now is not None:
+            rows.append(now)
+            yield out([(0, d, t, s, i if known else None, n, m, None, None) for d, (known, i, t, s), n, m in rows])
+            if hits:
+                yield out([(1, first, None, None, None, None, None, now[0], made_filter(hits, most_bits))])
+
+    return run
+
+
+def hit_texts(filters: RunFilters, digest_bytes: int = 32):
+    """For mapInArrow over (doc_id, text): each text, once a task and memtable, whose digest the filter of its run may hold."""
     schema = pa.schema([("digest", pa.binary()), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, held = np.frombuffer(bits, dtype=np.uint8), {}, 0
+        seen, held = {}, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             digests = [hashlib.sha256(t).digest()[:digest_bytes] for t in texts]
-            at = _probes(digests)
-            maybe = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
             new = []
-            for i in np.flatnonzero(maybe):
+            for i in np.flatnonzero(filters.may_hold(digests)):
                 if seen.get(digests[i]) != texts[i]:
                     seen[digests[i]] = texts[i]
                     held += len(texts[i])
@@ -107,30 +167,6 @@ def hit_texts(bits: bytes, digest_bytes: int = 32):
     return run
 
 
-def _filter(hits: DataFrame) -> bytes:
-    """A filter over the column digest: partial bitmaps by task, merged in a tree on the executors; FILTER_BITS / 8 bytes come back."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(FILTER_BITS, dtype=bool)
-        for batch in batches:
-            if batch.num_rows:
-                table[_probes(batch.column(0).to_pylist()).ravel()] = True
-        if table.any():
-            chunks = np.packbits(table, bitorder="little").reshape(64, -1)
-            some = [i for i in range(64) if chunks[i].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
-
-    def merged(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        both = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in parts["bits"]])
-        return pd.DataFrame({"part": [key[0]], "bits": [both.tobytes()]})
-
-    parts = hits.select("digest").mapInArrow(partial, "part int, bits binary").groupBy("part").applyInPandas(merged, "part int, bits binary")
-    whole = np.zeros((64, FILTER_BITS // 8 // 64), dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        whole[row["part"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return whole.tobytes()
-
-
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 64 << 20) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, keep_id, group_size, kept, digest (binary).
 
@@ -144,30 +180,31 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 6
     out.write.partitionBy("kind").parquet(path)
     both = spark.read.schema(out.schema).parquet(path)
     rows = both.where("kind = 0").drop("kind", "n")
-    entries = both.where("kind = 1")
-    # Digests with several entries: their texts are compared across runs.
-    hits = scratch.put(entries.groupBy("digest").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("digest"), "hits")
-    variants = None
-    if not hits.isEmpty():
-        texts = slim.mapInArrow(hit_texts(_filter(hits), digest_bytes), "digest binary, text binary")
+    entries = both.where("kind = 1").select("digest", "task", "seq", "doc_id", "n")
+    # Compaction. An entry stands for a text of a memtable, so a digest has few entries however many rows it has.
+    dealt = entries.repartitionByRange("digest").sortWithinPartitions("digest", "task", "seq")
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    merged = scratch.put(dealt.mapInArrow(merged_runs(MOST_BITS // ranges), "kind int, digest binary, task int, seq long, doc_id long, n long, entries long, last binary, bits binary"), "compacted")
+    index = merged.where("kind = 0").select("digest", F.col("task").alias("keep_task"), F.col("seq").alias("keep_seq"), F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    filters = RunFilters([(bytes(r["digest"]), bytes(r["last"]), bytes(r["bits"])) for r in merged.where("kind = 1").select("digest", "last", "bits").toLocalIterator()])  # MOST_BITS / 8 bytes at most
+    n_rows, done, clash = rows.count(), [], None
+    if filters.runs:
+        texts = slim.mapInArrow(hit_texts(filters, digest_bytes), "digest binary, text binary")
         clash = scratch.put(texts.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo != hi").select("digest"), "clash")
-        if not clash.isEmpty():
-            # Unequal texts under one digest: such rows are told apart by the text itself.
-            sha = F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes) if digest_bytes < 32 else F.unhex(F.sha2("text", 256))
-            own = slim.withColumn("digest", sha).join(clash, "digest")
-            variants = scratch.put(own.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "variants")
-    keep = F.max(F.struct("doc_id", "task", "seq")).alias("keep")
-    index = entries.groupBy("digest").agg(keep, F.sum("n").alias("group_size"))
-    if variants is not None:
+    if clash is not None and not clash.isEmpty():
+        # Unequal texts under one digest: such rows are told apart by the text itself, equal rows by counting them.
+        own = slim.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes)).join(clash, "digest")
+        each = own.groupBy("digest", "text", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+        each = scratch.put(each, "each")
+        groups = each.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).withColumnsRenamed({"digest": "d2", "text": "t2"})
+        sized = each.join(groups, (F.col("digest") == F.col("d2")) & (F.col("text") == F.col("t2"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        done = [sized.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest")]
         rows, index = rows.join(clash, "digest", "left_anti"), index.join(clash, "digest", "left_anti")
-    index = scratch.put(index, "index")
-    done = rows.join(index, "digest").select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", ((F.col("task") == F.col("keep.task")) & (F.col("seq") == F.col("keep.seq"))).alias("kept"), "digest"
-    )
-    if variants is None:
-        return done
-    sized = own.join(variants.withColumnRenamed("digest", "d2").withColumnRenamed("text", "t2"), (F.col("digest") == F.col("d2")) & (F.col("text") == F.col("t2")))
-    return done.unionByName(sized.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
+    # a text may be that of a large share of all rows
+    index = index.withColumn("rows", F.col("group_size"))
+    found = looked_up(rows, index, "digest", "rows", n_rows)
+    kept = (F.col("task") == F.col("keep_task")) & (F.col("seq") == F.col("keep_seq"))
+    return reduce(DataFrame.unionByName, done, found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

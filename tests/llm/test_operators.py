@@ -233,6 +233,8 @@ def test_chat_round_trip(spark):
 @pytest.mark.parametrize("digest_bytes,memtable", [(32, 1 << 26), (1, 1 << 26), (1, 500)])
 def test_exact_dedup(docs, empty, rows, digest_bytes, memtable):
     """One-byte digests collide, so that only the comparison of bytes tells texts apart."""
+    docs = docs.union(docs.where("doc_id = 40 OR doc_id = 45"))  # rows that repeat doc_id and text
+    rows = rows + [r for r in rows if r[0] in (40, 45)]
     got = exact_dedup.exact_dedup(docs.repartition(5), digest_bytes, memtable).collect()
     by = defaultdict(list)
     for d, _, t in rows:
@@ -242,11 +244,25 @@ def test_exact_dedup(docs, empty, rows, digest_bytes, memtable):
 
     exp = sorted((none(d), max([none(x) for x in by[t or ""]]), len(by[t or ""])) for d, _, t in rows)
     assert sorted((none(r["doc_id"]), none(r["keep_id"]), r["group_size"]) for r in got) == exp
-    if digest_bytes == 32:
-        assert sum(r["kept"] for r in got) == len(by)
+    # one row of each group stays, and it is one with the id that is kept
+    assert sorted((none(r["doc_id"]), r["group_size"]) for r in got if r["kept"]) == sorted((max(none(x) for x in own), len(own)) for own in by.values())
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_run_filters():
+    rng = random.Random(2)
+    digests = sorted(rng.randbytes(8) for _ in range(3000))
+    runs = [digests[:1000], digests[1000:2000], digests[2000:]]
+    hits = [own[::5] for own in runs]
+    filters = exact_dedup.RunFilters([(own[0], own[-1], exact_dedup.made_filter(h, 1 << 20)) for own, h in zip(runs, hits)])
+    held = filters.may_hold(digests)
+    assert all(h for d, h in zip(digests, held) if d in {x for h in hits for x in h})
+    assert sum(held) < 600 + 0.02 * 2400
+    small = exact_dedup.RunFilters([(own[0], own[-1], exact_dedup.made_filter(h, 64)) for own, h in zip(runs, hits)])
+    assert small.may_hold(digests).sum() > 600 and not small.may_hold([b""]).any()
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(8)
     data = []
