@@ -7,15 +7,29 @@ import hashlib
 import hmac
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strataspan.functions import columns as cx
 from strataspan.functions import text as tx
-from strataspan.operators import analysis, lexical, lifecycle, ranking, segments, simhash
+from strataspan.operators import anchors as anchors_
+from strataspan.operators import bm25f, context, exact, feedback, hints, lexical, lifecycle, protection, ranking, segments, session, simhash
 from strataspan.sources.tables import TableStore
 
+
+def _windowed(docs: DataFrame) -> DataFrame:
+    """Windows of stemmed and weighted tokens of documents that keep within the limits of the index."""
+    tokens = bm25f.field_tokens(docs).join(docs.select("document_id", "version", "project", "created_at"), ["document_id", "version"])
+    wins = bm25f.windows(tokens)
+    return wins.join(bm25f.index_status(wins).where("status = 'complete'").select("document_id", "version"), ["document_id", "version"], "left_semi")
+
+
 #: Index handlers that admission runs by default: name and DataFrame transform.
-HANDLERS = {"chunks": segments.physical_chunks, "windows": segments.byte_windows, "signatures": simhash.signatures}
+HANDLERS = {
+    "chunks": segments.physical_chunks, "windows": segments.byte_windows, "signatures": lambda docs: simhash.signatures(docs, "version"),
+    "postings": lambda docs: bm25f.postings(_windowed(docs)), "lengths": lambda docs: bm25f.lengths(_windowed(docs)), "anchors": lambda docs: exact.postings(anchors_.extracted(docs)),
+}
 
 
 class LocatorError(ValueError):
@@ -37,37 +51,80 @@ def verify_locator(secret: bytes, locator: str) -> dict:
         raise LocatorError(str(e)) from e
 
 
+DOCUMENT_SCHEMA = "document_id long, project string, session_id string, kind string, created_at long, text string, subject_key string, supersedes long, protect boolean, tool string, messages array<struct<role:string,score:int,text:string>>"
+#: Defaults of a packet by intent: documents before and after an anchor.
+PRESETS = {"state": (0, 0), "workflow": (1, 8), "auto": (1, 3)}
+#: A lexical result below this score or coverage asks for other ways to search.
+WEAK_SCORE, WEAK_COVERAGE = 0.55, 0.5
+
+
 class Engine:
-    """Documents are (document_id, version, project, session_id, kind, created_at, text, subject_key). Nothing is updated in place: retirement appends rows."""
+    """Documents are (document_id, version, project, session_id, kind, created_at, text, subject_key, supersedes, protect, tool, messages). Nothing is updated in place: versions,
+    retirements, pins, protections, leases and renewals are rows, of which the newest holds. Every index table carries document and version."""
+
+    def __init__(self, spark: SparkSession, path: str, secret: bytes = b"local", own_tools: tuple[str, ...] = ()):
+        self.spark, self.store, self.secret, self.own_tools = spark, TableStore(spark, path), secret, own_tools
+
+    # Admission
 
-    def __init__(self, spark: SparkSession, path: str, secret: bytes = b"local"):
-        self.spark, self.store, self.secret = spark, TableStore(spark, path), secret
+    def _whole(self, docs: DataFrame) -> DataFrame:
+        """docs with all columns of a document; those that are missing are null."""
+        schema = T.StructType.fromDDL(DOCUMENT_SCHEMA)
+        return docs.select(*[F.col(f.name).cast(f.dataType) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], *(["version"] if "version" in docs.columns else []))
+
+    def _appended(self, name: str, rows: DataFrame) -> int:
+        generation = self.store.published() + 1
+        self.store.append(name, rows, generation)
+        self.store.publish(generation)
+        return generation
 
     def admit(self, docs: DataFrame, handlers: dict | None = None) -> int:
-        """Appends documents that aren't there with equal content, as version 1 or the next one, builds their index tables and publishes the generation."""
+        """Appends documents whose content isn't the newest one of their id, as the next versions, builds their index tables and publishes the generation.
+
+        Several contents of one id in a batch become versions in order of source time, then of content. Output of the archive's own tools is stored, but not indexed.
+        """
         generation = self.store.published() + 1
-        fresh = docs.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["document_id", "content_hash"])
-        if generation:
-            old = self.store.read("documents").groupBy("document_id").agg(F.max(F.struct("version", "content_hash")).alias("last"))
-            fresh = fresh.drop("version").join(old, "document_id", "left").where("last IS NULL OR last.content_hash != content_hash")
-            fresh = fresh.withColumn("version", F.coalesce(F.col("last.version") + 1, F.lit(1))).drop("last")
+        fresh = self._whole(docs.drop("version")).withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["document_id", "content_hash"])
+        old = self._optional("documents")
+        if old is not None:
+            last = old.groupBy("document_id").agg(F.max(F.struct("version", "content_hash")).alias("last"))
+            fresh = fresh.join(last, "document_id", "left").where("last IS NULL OR last.content_hash != content_hash").withColumn("base", F.coalesce("last.version", F.lit(0))).drop("last")
         else:
-            fresh = fresh.withColumn("version", F.lit(1))
+            fresh = fresh.withColumn("base", F.lit(0))
+        order = Window.partitionBy("document_id").orderBy("created_at", "content_hash")
+        fresh = fresh.withColumn("version", (F.col("base") + F.row_number().over(order)).cast("int")).drop("base")
         self.store.append("documents", fresh, generation)
         written = self.spark.read.parquet(f"{self.store.path}/documents/generation={generation}")
+        visible = written.where(~cx.echo_of(F.col("kind"), F.col("tool"), self.own_tools)) if self.own_tools else written
         for name, build in (HANDLERS if handlers is None else handlers).items():
-            self.store.append(name, build(written), generation)
+            self.store.append(name, build(visible), generation)
+        explicit = written.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("document_id"), "project", "created_at", F.col("document_id").alias("by"))
+        if old is not None and not explicit.isEmpty():
+            known = lifecycle.newest_versions(old).select("document_id", "version", F.col("project").alias("_p"), F.col("created_at").alias("_t"))
+            gone = explicit.join(known, "document_id").where("project = _p AND created_at > _t AND by != document_id")
+            self.store.append("retired", gone.select("document_id", "version", F.lit("superseded").alias("status")), generation)
         self.store.publish(generation)
         return generation
 
-    def documents(self, live: bool = True) -> DataFrame:
-        docs = self.store.read("documents")
-        if live:
-            docs = lifecycle.newest_versions(docs)
-            retired = self._optional("retired")
-            if retired is not None:
-                docs = lifecycle.live(docs, retired)
-        return docs
+    def commit(self, name: str, records: DataFrame, request_id: str, must_be_absent: DataFrame | None = None, keys: tuple[str, ...] = ("document_id",)) -> str:
+        """Appends records to a table as one generation: committed, or duplicate if this request was committed before, or conflict if a key that must be absent is there."""
+        done = self._optional("requests")
+        if done is not None and not done.where(F.col("request_id") == request_id).isEmpty():
+            return "duplicate"
+        there = self._optional(name)
+        if must_be_absent is not None and there is not None and not there.join(must_be_absent.select(*keys).distinct(), list(keys), "left_semi").isEmpty():
+            return "conflict"
+        generation = self.store.published() + 1
+        self.store.append(name, records, generation)
+        self.store.append("requests", self.spark.range(1).select(F.lit(request_id).alias("request_id")), generation)
+        self.store.publish(generation)
+        return "committed"
+
+    def checkpoint(self, path: str) -> list[str]:
+        """Copies every table, as published, to another folder; returns their names."""
+        return self.store.copy(path)
+
+    # Reading
 
     def _optional(self, name: str) -> DataFrame | None:
         try:
@@ -77,48 +134,139 @@ class Engine:
                 return None
             raise
 
+    def _rows(self, name: str, schema: str) -> DataFrame:
+        """A table's rows, or none of them."""
+        found = self._optional(name)
+        return self.spark.createDataFrame([], schema) if found is None else found.select(*T.StructType.fromDDL(schema).names)
+
+    def retired(self) -> DataFrame:
+        """(document_id, version, status) of all versions that aren't live: retired ones, and those before the newest."""
+        return self._rows("retired", "document_id long, version int, status string").distinct()
+
+    def documents(self, live: bool = True) -> DataFrame:
+        docs = self.store.read("documents")
+        return lifecycle.live(lifecycle.newest_versions(docs), self.retired()) if live else docs
+
+    def _live(self, index: DataFrame) -> DataFrame:
+        return index.join(self.documents().select("document_id", "version"), ["document_id", "version"], "left_semi")
+
+    def _scoped(self, docs: DataFrame, project: str | None, sessions: list[str] | None, without: list[int] | None = None) -> DataFrame:
+        docs = docs if project is None else docs.where(F.col("project") == project)
+        docs = docs if sessions is None else docs.where(F.col("session_id").isin(sessions))
+        return docs if not without else docs.where(~F.col("document_id").isin(without))
+
     def retire(self, documents: DataFrame, status: str) -> int:
         """Appends tombstones for (document_id, version): superseded, expired or deleted."""
-        generation = self.store.published() + 1
-        self.store.append("retired", documents.select("document_id", "version", F.lit(status).alias("status")), generation)
-        self.store.publish(generation)
-        return generation
+        return self._appended("retired", documents.select("document_id", "version", F.lit(status).alias("status")))
+
+    def status(self, asked: DataFrame) -> DataFrame:
+        """(document_id, version, status) of asked versions: resolved, superseded (also by a newer version), expired, deleted or missing."""
+        there = self.store.read("documents").select("document_id", "version").distinct()
+        newest = there.groupBy("document_id").agg(F.max("version").alias("newest"))
+        gone = self.retired().groupBy("document_id", "version").agg(F.max("status").alias("gone"))
+        met = asked.select("document_id", "version").distinct().join(there.withColumn("there", F.lit(True)), ["document_id", "version"], "left").join(newest, "document_id", "left").join(gone, ["document_id", "version"], "left")
+        status = F.when(F.col("there").isNull(), "missing").when(F.col("gone").isNotNull(), F.col("gone")).when(F.col("version") < F.col("newest"), "superseded").otherwise("resolved")
+        return met.select("document_id", "version", status.alias("status"))
 
     def get(self, document_id: int, version: int | None = None) -> DataFrame:
+        """One row: the asked version, or the newest one, with its status. Content is shown of resolved versions, and of superseded ones that are asked for by version."""
         own = self.store.read("documents").where(F.col("document_id") == document_id)
-        return own.where(F.col("version") == version) if version else lifecycle.newest_versions(own)
+        own = own.where(F.col("version") == version) if version else lifecycle.newest_versions(own)
+        ask = own.select("document_id", "version")
+        if ask.isEmpty():
+            return self.spark.createDataFrame([(document_id, version, None, "missing")], "document_id long, version int, text string, status string")
+        shown = F.col("status").isin("resolved", "superseded") if version else F.col("status") == "resolved"
+        return own.join(self.status(ask), ["document_id", "version"]).withColumn("text", F.when(shown, F.col("text")))
 
-    def count(self, project: str | None = None) -> int:
-        docs = self.documents()
-        return (docs if project is None else docs.where(F.col("project") == project)).count()
+    def count(self, project: str | None = None, sessions: list[str] | None = None) -> int:
+        return self._scoped(self.documents(), project, sessions).count()
 
-    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None) -> DataFrame:
-        """Exact anchors first; without any, stemmed BM25 with recency decay. Scope and liveness are applied before the limit."""
-        docs = self.documents()
-        docs = docs if project is None else docs.where(F.col("project") == project)
-        values = [v for kind, v, *_ in tx.anchors(query) if kind != "value"]
-        if values:
-            has = F.array(*[F.contains("text", F.lit(v)) for v in values])
-            hit = docs.withColumn("matched", F.size(F.filter(has, lambda x: x))).where("matched > 0")
-            exact = hit.select("document_id", ranking.exact_score(F.lit(True), F.col("matched") / len(values), F.lit(0.94)).alias("score"), F.lit("exact").alias("mode"), "created_at")
-            exact = exact.orderBy(F.desc("score"), F.desc("created_at"), "document_id").limit(limit)
-            if not exact.isEmpty():
-                return exact.drop("created_at")
-        asked = self.spark.createDataFrame([(0, query)], "query_id int, text string")
-        best = analysis.search(docs, asked, limit)
-        if now is None:
-            return best.select("document_id", F.col("normalized").alias("score"), F.lit("lexical").alias("mode"))
-        aged = best.join(lifecycle.retention(docs).select("document_id", "created_at", "retention_class"), "document_id")
-        score = F.round(F.col("normalized") * ranking.decay(F.lit(now) - F.col("created_at"), F.col("retention_class")), 6)
-        return aged.select("document_id", score.alias("score"), F.lit("lexical").alias("mode")).orderBy(F.desc("score"), "document_id")
-
-    def gather(self, query: str, before: int = 1, after: int = 3, anchors: int = 5, most: int = 24, **options) -> DataFrame:
-        """Best documents and their neighbours in time, each once, in order of time."""
+    # Search
+
+    def candidates(self, query: str, project: str | None = None, limit: int = 10, sessions: list[str] | None = None, without: list[int] | None = None) -> DataFrame:
+        """(id, mode, norm, version, coverage, max_idf, margin) of the stored indexes: exact anchors first; without any, stemmed BM25F. Only live documents in scope take part."""
+        docs = self._scoped(self.documents(), project, sessions, without).select("document_id", "version")
+        plan = exact.plan(self.spark, [(0, query)])
+        wanted = F.pmod(F.xxhash64("folded"), F.lit(bm25f.BUCKETS)).cast("int")
+        if not plan.isEmpty():
+            buckets = [r[0] for r in plan.select(wanted).distinct().collect()]  # at most 32 anchors
+            post = self.store.read("anchors").where(F.col("bucket").isin(buckets)).join(docs, ["document_id", "version"], "left_semi")
+            hits = exact.lookup(post, plan, k=limit)
+            if not hits.isEmpty():
+                return hits.select(F.col("document_id").alias("id"), F.lit("exact").alias("mode"), F.col("score").alias("norm"), "version", "coverage", F.lit(1.0).alias("max_idf"), F.lit(1.0).alias("margin"))
+        terms = tx.query_terms(query)
+        asked = self.spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")
+        post = self.store.read("postings").where(F.col("bucket").isin([r[0] for r in asked.select(bm25f.bucket(F.col("term"))).distinct().collect()] or [-1]))
+        lens = self.store.read("lengths")
+        if project is not None:
+            post, lens = post.where(F.col("project") == project), lens.where(F.col("project") == project)
+        hidden = self.store.read("documents").select("document_id", "version").join(docs, ["document_id", "version"], "left_anti")
+        best = bm25f.search(post, lens, asked, limit, hidden)
+        order = best.orderBy(F.desc("score"), "document_id").limit(limit)
+        return order.select(F.col("document_id").alias("id"), F.lit("lexical").alias("mode"), F.col("normalized").alias("norm"), "version", "coverage", "max_idf", "margin")
+
+    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None, sessions: list[str] | None = None, without: list[int] | None = None, working_set: list[str] | None = None, context_terms: list[str] | None = None, expand: bool = False) -> DataFrame:
+        """(document_id, version, score, mode, ranking_score, rank): the pool of candidates, with expansion of weak results, decay, importance and bounded boosts, fused and cut to the limit.
+
+        score is what the mode says, decayed by age if now is given; ranking_score is the fused one after all boosts, by which rows are ordered.
+        """
+        pool = self.candidates(query, project, cx.pool_size(limit), sessions, without).withColumn("query_id", F.lit(0))
+        weak = pool.agg(F.max("norm").alias("n"), F.max("coverage").alias("c"), F.max("mode").alias("m")).first()
+        lexical_only = weak["m"] in (None, "lexical")
+        if lexical_only and (expand or weak["n"] is not None and (weak["n"] < WEAK_SCORE or weak["c"] < WEAK_COVERAGE)):
+            more = self.expansion(query, pool, project)
+            if more:
+                again = self.candidates(" ".join(more), project, cx.pool_size(limit), sessions, without).withColumn("query_id", F.lit(0))
+                pool = pool.unionByName(again.where("mode = 'lexical'").join(pool.select("id"), "id", "left_anti"))
+        docs = lifecycle.retention(self.documents()).select(F.col("document_id").alias("id"), "created_at", "retention_class", "kind", "session_id")
+        met = pool.join(docs, "id")
+        if now is not None:
+            met = met.withColumn("norm", F.when(F.col("mode") == "lexical", F.round(F.col("norm") * ranking.decay(F.lit(now) - F.col("created_at"), F.col("retention_class")), 6)).otherwise(F.col("norm")))
+        pins = protection.pinned(self._rows("pins", "pin_id string, document_id long, seq long, active boolean")).select(F.col("document_id").alias("id"), F.lit(True).alias("pin"))
+        met = met.join(pins, "id", "left")
+        factor = ranking.importance(F.col("kind") == "decision-candidate", F.coalesce("pin", F.lit(False)), F.lit(0), F.lit(0))
+        boost = met.select("query_id", "mode", "id", F.least(F.lit(1.0), F.round(F.col("norm") * factor, 6)).alias("norm"))
+        if context_terms:
+            own = self.store.read("postings").where(F.col("term").isin([t for w in context_terms for t, _ in tx.analysed(w)])).select(F.col("document_id").alias("id")).distinct()
+            boost = context.boosted(boost, own.withColumn("query_id", F.lit(0)), context.CONTEXT_BOOST)
+        if working_set:
+            entries = self.spark.createDataFrame([(0, k, v) for k, v in tx.working_set(working_set)], "query_id int, type string, normalized string")
+            boost = context.boosted(boost, exact.working_set_matches(self._live(self.store.read("anchors")), entries).select("query_id", "id"), context.WORKING_SET_BOOST)
+        tiers = ranking.tiered(boost.where("mode = 'exact'").select("query_id", "id", F.col("norm").alias("score")), boost.limit(0).select("query_id", "id", F.col("norm").alias("score")), boost.where("mode != 'exact'").select("query_id", "mode", "id", "norm"), limit)
+        shown = met.groupBy("id").agg(F.max(F.struct("norm", "mode", "version")).alias("b"))
+        out = tiers.join(shown, "id").select(F.col("id").alias("document_id"), "b.version", F.col("b.norm").alias("score"), "b.mode", F.col("fusion_score").alias("ranking_score"), "rank")
+        return out.orderBy("rank")
+
+    def expansion(self, query: str, pool: DataFrame, project: str | None = None, feedback_docs: int = 3, most: int = 8) -> list[str]:
+        """The rarest terms of the best documents that the query doesn't have."""
+        top = pool.orderBy(F.desc("norm"), "id").limit(feedback_docs).select(F.col("id").alias("document_id"), "version")
+        post = self.store.read("postings")
+        post = post if project is None else post.where(F.col("project") == project)
+        own = post.join(F.broadcast(top), ["document_id", "version"], "left_semi").select("term").distinct().where(~F.col("term").isin(tx.query_terms(query) or [""]) & (F.length("term") > 3))
+        df = post.join(F.broadcast(own), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return [r["term"] for r in df.orderBy("df", "term").limit(most).collect()]
+
+    def gather(self, query: str, intent: str = "auto", before: int | None = None, after: int | None = None, anchors: int = 5, most: int = 24, max_tokens: int | None = None, **options) -> DataFrame:
+        """Best documents and their neighbours in time, each once by its best priority, as far as they fit the tokens, in order of time; with conflicts, an array of ids."""
+        a, b = PRESETS[intent]
+        before, after = a if before is None else before, b if after is None else after
         docs = self.documents()
-        best = self.search(query, limit=anchors, **options)
-        near = lifecycle.neighbours(docs, best.select("document_id"), before, after)
-        once = near.groupBy("document_id").agg(F.min(F.abs("distance")).alias("distance")).orderBy("distance", "document_id").limit(most)
-        return once.join(docs, "document_id").select("document_id", "distance", "created_at", "text").orderBy("created_at", "document_id")
+        best = self.search(query, limit=anchors, **options).select(F.col("document_id").alias("anchor_id"), F.col("rank").alias("anchor_rank"))
+        near = lifecycle.neighbours(docs, best.select(F.col("anchor_id").alias("document_id")), before, after).join(best, "anchor_id")
+        relation = F.when(F.col("distance") == 0, "anchor").when(F.col("distance") > 0, "after").otherwise("before")
+        placed = near.withColumn("relation", relation).withColumn("priority", cx.gather_priority(relation, F.col("anchor_rank"), F.abs("distance"), intent == "workflow"))
+        once = placed.groupBy("document_id").agg(F.min(F.struct("priority", "relation", "distance")).alias("p")).orderBy("p.priority", "document_id").limit(most)
+        rows = once.select("document_id", "p.priority", "p.relation", "p.distance").join(docs, "document_id")
+        if max_tokens is not None:
+            sized = rows.select(F.lit(0).alias("packet_id"), F.row_number().over(Window.orderBy("priority", "document_id")).alias("place"), cx.estimated_tokens(F.col("text")).alias("tokens"), "document_id")
+            rows = rows.join(sized.join(session.filled(sized, max_tokens), ["packet_id", "place"]).select("document_id"), "document_id", "left_semi")
+        strong = anchors_.extracted(rows.select("document_id", "version", "text")).where("type != 'value'").groupBy("document_id").agg(F.collect_set("folded").alias("anchors"))
+        items = rows.join(strong, "document_id", "left").select(F.lit(0).alias("packet_id"), F.col("document_id").alias("item_id"), F.col("subject_key").alias("subject"), "text", "anchors")
+        links = docs.where("supersedes IS NOT NULL").select(F.col("document_id").alias("id"), "supersedes")
+        pairs = feedback.possible_conflicts(items, links)
+        both = pairs.select(F.col("left_id").alias("document_id"), F.col("right_id").alias("o")).union(pairs.select("right_id", "left_id"))
+        out = rows.join(both.groupBy("document_id").agg(F.array_sort(F.collect_set("o")).alias("conflicts")), "document_id", "left")
+        return out.select("document_id", "version", "relation", "distance", "created_at", "text", F.coalesce("conflicts", F.array().cast("array<bigint>")).alias("conflicts")).orderBy("created_at", "document_id")
 
     def traverse(self, document_id: int, direction: str = "after", limit: int = 16) -> DataFrame:
         """Documents of the same project next to one in order of (created_at, document_id)."""
@@ -130,34 +278,139 @@ class Engine:
         order = [F.asc("created_at"), F.asc("document_id")] if ahead else [F.desc("created_at"), F.desc("document_id")]
         return met.orderBy(*order).limit(limit).select("document_id", "created_at", F.substring("text", 1, 512).alias("snippet"))
 
-    def locate(self, document_id: int, start: int, end: int) -> str:
-        return sign_locator(self.secret, {"document_id": document_id, "start": start, "end": end})
+    # Recall
+
+    def locate(self, document_id: int, start: int, end: int, version: int | None = None, now: int | None = None, lease_ms: int = protection.LEASE_MS) -> str:
+        """A signed locator of bytes of a version (the newest one if none is named). With now, a lease keeps the version until it runs out, and the locator asks for it."""
+        if version is None:
+            version = self.store.read("documents").where(F.col("document_id") == document_id).agg(F.max("version")).first()[0]
+        lease = None
+        if now is not None:
+            lease = f"{document_id}:{version}:{now}"
+            until = now + min(lease_ms, protection.MOST_LEASE_MS)
+            self._appended("leases", self.spark.createDataFrame([(lease, document_id, version, now, until, True)], "owner_id string, document_id long, version int, seq long, until long, active boolean"))
+        return sign_locator(self.secret, {"document_id": document_id, "version": version, "start": start, "end": end, "lease": lease})
+
+    def release(self, locator: str, now: int) -> None:
+        p = verify_locator(self.secret, locator)
+        if p["lease"]:
+            self._appended("leases", self.spark.createDataFrame([(p["lease"], p["document_id"], p["version"], now, now, False)], "owner_id string, document_id long, version int, seq long, until long, active boolean"))
+
+    def recall(self, locator: str, now: int | None = None, neighbors: int | None = None, max_tokens: int = 4_000) -> DataFrame:
+        """One row (document_id, version, start, end, content, status): the bytes that a signed locator names, or with neighbors the stored windows around them that fit the budget.
 
-    def recall(self, locator: str) -> DataFrame:
-        """The bytes that a signed locator names; status resolved, or missing."""
+        status: superseded, expired, deleted, lease-expired, missing, locator-invalid (no such bytes) or resolved. Content is only given when resolved.
+        """
         p = verify_locator(self.secret, locator)
-        ask = self.spark.createDataFrame([(p["document_id"], p["start"], p["end"])], "document_id long, start long, end long")
-        got = segments.read_range(self.store.read("chunks").where(F.col("document_id") == p["document_id"]), ask)
-        return ask.join(got, ["document_id", "start", "end"], "left").withColumn("status", F.when(F.col("content").isNull(), "missing").otherwise("resolved"))
-
-    def expire(self, now: int, protected: DataFrame | None = None) -> int:
-        """Retires what is due at now and not protected; returns how many."""
-        none = self.spark.createDataFrame([], "document_id long")
-        due = lifecycle.due(self.documents(), now, none if protected is None else protected).select("document_id", "version")
+        ask = self.spark.createDataFrame([(p["document_id"], p["version"], p["start"], p["end"])], "document_id long, version int, start long, end long")
+        own = (F.col("document_id") == p["document_id"]) & (F.col("version") == p["version"])
+        if neighbors is not None:
+            wins = self.store.read("windows").where(own)
+            at = segments.window_for_range(wins, ask).withColumn("neighbors", F.lit(neighbors)).withColumn("max_bytes", F.lit(4 * max_tokens))
+            ask = segments.recall_windows(wins, at).select("document_id", "version", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
+        got = segments.read_range(self.store.read("chunks").where(own), ask)
+        state = self.status(ask)
+        lease = F.lit(None).cast("string")
+        if p["lease"] and now is not None:
+            rows = self._rows("leases", "owner_id string, document_id long, version int, seq long, until long, active boolean")
+            found = protection.lease_status(rows, self.spark.createDataFrame([(p["lease"],)], "owner_id string"), now).first()["status"]
+            lease = F.lit(None if found == "active" else "lease-expired").cast("string")
+        met = ask.join(state, ["document_id", "version"], "left").join(got, ["document_id", "version", "start", "end"], "left")
+        status = F.when(F.col("status").isin("superseded", "expired", "deleted"), F.col("status")).when(lease.isNotNull(), lease).when(F.col("status") != "resolved", F.col("status")).when(F.col("content").isNull(), "locator-invalid").otherwise("resolved")
+        return met.withColumn("status", status).withColumn("content", F.when(F.col("status") == "resolved", F.col("content")))
+
+    def evidence(self, locator: str, fenced: bool = False, **options) -> DataFrame:
+        """recall() with rendered: the content within an envelope that marks it as quoted data."""
+        got = self.recall(locator, **options).join(self.store.read("documents").select("document_id", "version", "created_at"), ["document_id", "version"], "left")
+        render = cx.rendered_fenced if fenced else cx.rendered_json
+        return got.withColumn("rendered", F.when(F.col("status") == "resolved", render(F.col("document_id"), F.col("created_at"), F.col("content"))))
+
+    # Protection and retention
+
+    def pin(self, pin_id: str, document_id: int, seq: int, active: bool = True) -> str:
+        """pinned, already-pinned, unpinned or not-found."""
+        asked = self.spark.createDataFrame([(pin_id, document_id, seq, active)], "pin_id string, document_id long, seq long, active boolean")
+        status = protection.pin_status(self._rows("pins", "pin_id string, document_id long, seq long, active boolean"), asked).first()["status"]
+        if status in ("pinned", "unpinned"):
+            self._appended("pins", asked)
+        return status
+
+    def protect(self, owner_id: str, seq: int, document_id: int | None = None, session_id: str | None = None, until: int | None = None, active: bool = True) -> int:
+        """Keeps a document or a session's documents for an owner until a time, or with active false lets go of them."""
+        return self._appended("protections", self.spark.createDataFrame([(owner_id, document_id, session_id, seq, until, active)], "owner_id string, document_id long, session_id string, seq long, until long, active boolean"))
+
+    def protected(self, now: int) -> DataFrame:
+        return protection.protected(
+            self.documents().withColumn("protect", F.coalesce("protect", F.lit(False))), now, self._rows("pins", "pin_id string, document_id long, seq long, active boolean"),
+            self._rows("protections", "owner_id string, document_id long, session_id string, seq long, until long, active boolean"), self._rows("leases", "owner_id string, document_id long, version int, seq long, until long, active boolean"),
+        )
+
+    def renew(self, document_id: int, version: int, expires_at: int | None, generation: int) -> int:
+        return self._appended("renewals", self.spark.createDataFrame([(document_id, version, generation, expires_at)], "document_id long, version int, generation int, expires_at long"))
+
+    def expire(self, now: int, protected: DataFrame | None = None, batch: int = 100_000, forced: bool = False) -> int:
+        """Retires up to batch documents that are due at now and that nothing keeps; returns how many."""
+        kept = self.protected(now).select("document_id")
+        kept = kept if protected is None else kept.union(protected.select("document_id"))
+        renewals = self._rows("renewals", "document_id long, version int, generation int, expires_at long")
+        due = protection.due(self.documents(), now, kept, renewals, forced).orderBy("expires_at", "document_id").limit(batch).select("document_id", "version")
         n = due.count()
         if n:
             self.retire(due, "expired")
         return n
 
-    def redact(self, project: str) -> int:
-        docs = self.documents().where(F.col("project") == project).select("document_id", "version")
+    def redact(self, project: str, batch: int | None = None) -> int:
+        """Retires a project's documents for good, kept or not; returns how many."""
+        docs = self._scoped(self.store.read("documents"), project, None).select("document_id", "version").join(self.retired().where("status = 'deleted'"), ["document_id", "version"], "left_anti")
+        docs = docs if batch is None else docs.orderBy("document_id", "version").limit(batch)
         n = docs.count()
         if n:
             self.retire(docs, "deleted")
         return n
 
+    def collectable(self) -> DataFrame:
+        """(chunk_id, bytes) of stored chunks that no version refers to that is still to be read: all but expired and deleted ones."""
+        gone = self.retired().where("status IN ('expired', 'deleted')")
+        kept = self.store.read("documents").select("document_id", "version").join(gone, ["document_id", "version"], "left_anti")
+        return protection.unreferenced_chunks(self.store.read("chunks"), kept)
+
     def resolve_subject(self, project: str, subject_key: str) -> DataFrame:
         return lifecycle.live_subjects(self.documents()).where((F.col("project") == project) & (F.col("subject_key") == subject_key))
 
+    # Hints
+
+    def preflight(self, messages: DataFrame, now: int, project: str, days: dict[str, int], budget_tokens: int = 120) -> DataFrame:
+        """(session_id, message_id, message_hash, outcome, reason, document_id, text, tokens) for user messages (session_id, message_id, text) that have no decision yet; the decisions are
+        stored, and with them what was shown. Messages are few: one search each."""
+        asked = messages.withColumn("message_hash", F.sha2("text", 256))
+        stored = self._rows("hints", "session_id string, message_id long, message_hash string, outcome string, reason string, document_id long, text string, tokens long, at_ms long")
+        fresh, conflicts = hints.frozen(asked, stored)
+        if not conflicts.isEmpty():
+            raise ValueError("a message with a stored decision was asked for again with another text")
+        found = []
+        for row in fresh.collect():  # user messages of one call
+            best = self.candidates(row["text"], project, 2).orderBy(F.desc("norm"), "id").limit(2).collect()
+            if best:
+                top, plan = best[0], [v for _, v, _ in tx.planned(row["text"])]
+                margin = top["norm"] - (best[1]["norm"] if len(best) > 1 else 0.0)
+                n_words = round(top["coverage"] * len(tx.query_terms(row["text"])))
+                found.append((row["message_id"], row["session_id"], top["id"], top["version"], top["mode"], n_words, top["coverage"], top["max_idf"], margin, plan or tx.query_terms(row["text"])[:n_words], now))
+        schema = "message_id long, lineage string, document_id long, version int, mode string, words int, coverage double, max_idf double, margin double, anchors array<string>, at_ms long"
+        pool = self.spark.createDataFrame(found, schema)
+        judged = hints.eligible(pool, self.store.read("documents"), self.retired(), now, days)
+        judged = hints.surfaced(judged, self._rows("exposures", "lineage string, document_id long, shown_ms long"))
+        texts = self.documents().select("document_id", "version", "kind", "created_at", F.substring("text", 1, 280).alias("excerpt"))
+        made = hints.decided(fresh, judged.join(texts, ["document_id", "version"], "left"), budget_tokens)
+        out = fresh.select("session_id", "message_id", "message_hash").join(made, "message_id").withColumn("at_ms", F.lit(now)).select(*stored.columns)
+        generation = self.store.published() + 1
+        self.store.append("hints", out, generation)
+        done = self.spark.read.parquet(f"{self.store.path}/hints/generation={generation}")
+        self.store.append("exposures", done.where("document_id IS NOT NULL").select(F.col("session_id").alias("lineage"), "document_id", F.col("at_ms").alias("shown_ms")), generation)
+        self.store.publish(generation)
+        return done
+
     def statistics(self) -> DataFrame:
         return lexical.corpus_statistics(self.documents())
+
+    def inventory(self) -> DataFrame:
+        return protection.inventory({n: t for n in self.store.names() if (t := self._optional(n)) is not None})

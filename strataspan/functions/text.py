@@ -21,6 +21,7 @@ STOP_WORDS = frozenset(
 
 #: Cues of decisions, of reversed decisions, of facts, of questions, requests and corrections (matched in either case).
 DECISION_CUES = ["decided?", "agreed?", "settl(?:ed?|ing) on", "let'?s go with", "we(?:'ll| will) (?:use|go with|keep|skip)", "going with", "opt(?:ed)? for", "chose", "chosen", "instead of", "rather than", "reject(?:ed|ing)?", "rul(?:ed?|ing) out", "won'?t (?:use|do|support|need)", "will not", "out of scope", "deferr?(?:ed|ing)?"]
+REVERSAL_CUES = ["instead of", "rather than", "reject(?:ed|ing)?", "rul(?:ed?|ing) out", "won'?t (?:use|do|support|need)", "will not", "out of scope", "deferr?(?:ed|ing)?", "revert(?:ed|ing)?"]
 FACT_CUES = ["is", "uses?", "set to", "defaults? to", "lives? in", "named"]
 QUESTION_PREFIX = r"^(?:who|what|when|where|why|how|which|whose|can|could|would|should|do|does|did|is|are|was|were|will|have|has)\b"
 REQUEST_PREFIX = r"^(?:please\b|can you\b|could you\b|would you\b|will you\b|i (?:want|need) you to\b|go ahead\b|add\b|answer\b|check\b|continue\b|create\b|delete\b|explain\b|find\b|fix\b|give\b|implement\b|look\b|make\b|read\b|remove\b|run\b|show\b|start\b|stop\b|tell\b|update\b|use\b|write\b)"
@@ -58,10 +59,10 @@ def _short_end(word: str) -> bool:
     return len(word) >= 3 and _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
 
 
-#: Suffix tables of the 1980 stemmer (steps 2, 3 and 4), longest first where one ends another.
+#: Suffix tables of the 1980 stemmer (steps 2, 3 and 4), in the published order.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
 STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic", "ou"]
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def stem(word: str) -> str:
@@ -95,7 +96,7 @@ def stem(word: str) -> str:
                 if _measure(w[: -len(suffix)]) > 0:
                     w = w[: -len(suffix)] + new
                 break
-    for suffix in STEP4:
+    for suffix in sorted(STEP4, key=lambda x: -len(x)):
         if w.endswith(suffix):
             rest = w[: -len(suffix)]
             if _measure(rest) > 1 and (suffix != "ion" or rest.endswith(("s", "t"))):
@@ -182,44 +183,201 @@ def chunks(text: str, most: int = 65_536, least_line: int = 16_384) -> list[tupl
     return out
 
 
-#: Anchor families, in order of extraction, with their specificity.
-ANCHORS = [
-    ("quoted", 0.96, regex.compile(r"\"[^\"\n]{1,256}\"|'[^'\n]{1,256}'|`[^`\n]{1,256}`")),
-    ("url", 0.91, regex.compile(r"https?://[^\s<>\"'`]+")),
-    ("path", 0.99, regex.compile(r"(?<![\w/\\])(?:[A-Za-z]:[\\/]|~/|\.{0,2}/)?(?:[\w.-]+[\\/])+[\w.-]+")),
-    ("dotted", 0.92, regex.compile(r"(?<![\w.])[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+")),
-    ("snake", 0.94, regex.compile(r"(?<!\w)[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+(?!\w)")),
-    ("camel", 0.94, regex.compile(r"(?<!\w)(?:[a-z]+(?:[A-Z][a-z0-9]*)+|[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)(?!\w)")),
-    ("commit", 0.98, regex.compile(r"(?<!\w)[0-9a-fA-F]{7,40}(?!\w)")),
-    ("value", 0.88, regex.compile(r"(?<!\w)(?:[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+|v?\d+(?:\.\d+)+|0x[0-9a-fA-F]+|\w+=\w+)(?!\w)")),
+#: Types of anchors with their specificity, and the cue of names that are errors.
+SPECIFICITY = {"error": 1.0, "path": 0.99, "commit": 0.98, "quoted-value": 0.96, "symbol": 0.94, "dotted-name": 0.92, "url": 0.91, "value": 0.88}
+ERROR_NAME = regex.compile(r"(?:^|_)(?:ERR(?:OR)?|FAIL(?:ED|URE)?|EXCEPTION|CLOSED|TIMEOUT|DENIED|INVALID|NOT_FOUND|UNAVAILABLE)(?:_|$)")
+ERROR_CLASS = regex.compile(r"[A-Z][A-Za-z0-9]*(?:Error|Exception)")
+_PATH = r"(?:(?:(?:\.{1,2}|~)?[\\/]|[A-Za-z]:[\\/])?)(?:[\p{L}\p{N}_@.+-]+[\\/])+[\p{L}\p{N}_@.+-]+"
+_VALUE = r"v?[0-9]+\.[0-9]+(?:\.[0-9]+){0,2}(?:-[0-9A-Za-z.-]+)?|0x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9_]*=[^\s,;]+"
+_DOTTED, _SNAKE, _HYPHENS = r"(?:[$A-Za-z_][$A-Za-z0-9_]*\.)+[$A-Za-z_][$A-Za-z0-9_]*", r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+", r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+"
+#: Words here are of ASCII letters, digits and underscores: where one begins and where it ends.
+_FROM, _TO = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: Families in order of extraction; the value is the group named v, or all of the match.
+FAMILIES = [
+    ("quoted-value", regex.compile(r"(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\r\n]){1,256})(?P=q)")),
+    ("url", regex.compile(_FROM + r"https?://[^\s<>\"'`]+", regex.IGNORECASE)),
+    ("path", regex.compile(r"(?:^|(?<=[\s(\"'`=]))(?P<v>" + _PATH + r")(?=$|[\s)\"'`,:;!?])", regex.MULTILINE)),
+    ("dotted-name", regex.compile(_FROM + _DOTTED + _TO)),
+    ("snake", regex.compile(_FROM + _SNAKE + _TO)),
+    ("camel", regex.compile(_FROM + r"[A-Za-z][A-Za-z0-9_]*" + _TO)),
+    ("commit", regex.compile(_FROM + r"[0-9a-fA-F]{7,40}" + _TO)),
+    ("value", regex.compile(_FROM + f"(?:{_HYPHENS}|{_VALUE})" + _TO)),
 ]
+_CAMEL = regex.compile(r"[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9][a-z0-9]*[A-Z][A-Za-z0-9]*")
+
+
+def _named_type(family: str, value: str) -> str | None:
+    """Type of a match of a family, or none if it is no anchor after all."""
+    if family == "snake":
+        return "error" if value == value.upper() and ERROR_NAME.search(value) else "symbol"
+    if family == "camel":
+        if not _CAMEL.fullmatch(value):
+            return None
+        return "error" if ERROR_CLASS.fullmatch(value) else "symbol"
+    if family == "commit" and not (any(c.isdigit() for c in value) or len(value) >= 12):
+        return None
+    return family
 
 
 def anchors(text: str) -> list[tuple[str, str, float, int, int]]:
-    """(type, value, specificity, start, end) in characters: distinct anchors by start, then the longest, then type."""
+    """(type, value, specificity, start, end) in characters: distinct anchors by start, then the longest, then type and value."""
     found = set()
-    for kind, weight, pattern in ANCHORS:
+    for family, pattern in FAMILIES:
+        own = "v" if "v" in pattern.groupindex else 0
         for m in pattern.finditer(text):
-            value, a, b = m.group(), m.start(), m.end()
-            if kind == "quoted":
-                value, a, b = value[1:-1], a + 1, b - 1
-            own, w = kind, weight
-            if kind == "commit" and not (any(c.isdigit() for c in value) or len(value) >= 12):
-                continue
-            if kind in ("snake", "camel"):
-                error = value.isupper() and regex.search(r"ERR|FAIL|EXCEPTION", value) if kind == "snake" else value.endswith(("Error", "Exception"))
-                own, w = ("error", 1.0) if error else ("symbol", 0.94)
-            found.add((own, value, w, a, b))
+            if (kind := _named_type(family, m.group(own))) is not None:
+                found.add((kind, m.group(own), SPECIFICITY[kind], m.start(own), m.end(own)))
     return sorted(found, key=lambda x: (x[3], -x[4], x[0], x[1]))
 
 
-_UNITS = regex.compile(r"(?P<word>[A-Za-z0-9_]+)|(?P<space>\s+)|(?P<other>[^\sA-Za-z0-9_])")
+_WHOLE = [
+    ("url", regex.compile(r"https?://[^\s<>\"'`]+", regex.IGNORECASE)), ("path", regex.compile(_PATH)), ("commit", regex.compile(r"[0-9a-fA-F]{7,40}")), ("snake", regex.compile(_SNAKE)),
+    ("error", ERROR_CLASS), ("dotted-name", regex.compile(_DOTTED)), ("camel", _CAMEL), ("value", regex.compile(f"{_HYPHENS}|{_VALUE}")),
+]
+
+
+def classified(value: str) -> tuple[str, str] | None:
+    """(type, value) of a string that is one anchor as a whole, by the first type that fits, or none."""
+    v = value.strip()
+    if len(v) > 2 and v[0] == v[-1] and v[0] in "\"'`":
+        return "quoted-value", v[1:-1]
+    for family, pattern in _WHOLE:
+        if pattern.fullmatch(v) and (kind := _named_type(family, v)) is not None:
+            return kind, v
+    return None
+
+
+def normal_value(value: str, fold: bool = False) -> str:
+    v = unicodedata.normalize("NFKC", value)
+    return v.lower() if fold else v
+
+
+def planned(query: str, most: int = 32) -> list[tuple[str, str, float]]:
+    """(type, normal value, specificity) that a query asks for: the whole query if it is one anchor, else the anchors in it; distinct, the most specific first."""
+    whole = classified(query)
+    own = [whole] if whole else [(kind, v) for kind, v, *_ in anchors(query)[:most]]
+    out = {(kind, normal_value(v)): SPECIFICITY[kind] for kind, v in own}
+    return sorted(((kind, v, w) for (kind, v), w in out.items()), key=lambda x: (-x[2], x[1]))
+
+
+def working_set(entries: list[str], most: int = 16) -> list[tuple[str, str]]:
+    """(type, normal value) of the entries that are one anchor as a whole; others are passed over."""
+    found = (classified(e) for e in entries[:most])
+    return list(dict.fromkeys((kind, normal_value(v)) for kind, v in filter(None, found)))
+
+
+#: Patterns of salient terms, the most precise first.
+SALIENT = [regex.compile(p) for p in (r"`([^`\n]{2,60})`", r"(?<![\w./-])[\w.-]+/[\w./-]+(?![\w./-])", r"\b[a-zA-Z_$][\w$]*(?:\.[a-zA-Z_$][\w$]*)+\b", r"\b[a-z][a-z0-9]*(?:[A-Z]\w*)+\b", r"\b[a-zA-Z]\w*_\w+\b")]
+
+
+def salient_terms(text: str, most: int = 8) -> list[str]:
+    """Distinct terms of 3 to 60 characters, by pattern and place; none that lies within an earlier one."""
+    out: list[str] = []
+    for pattern in SALIENT:
+        for m in pattern.finditer(text):
+            term = (m.group(1) if m.re.groups else m.group()).strip()
+            if 3 <= len(term) <= 60 and not any(term.lower() in t.lower() for t in out):
+                out.append(term)
+                if len(out) == most:
+                    return out
+    return out
+
+
+def sentences(text: str, cue: str, least: int = 15, most: int = 300) -> list[str]:
+    """Distinct sentences with a cue that are no questions."""
+    parts = (s.strip() for s in regex.split(r"(?<=[.!?])\s+|\n+", text))
+    return list(dict.fromkeys(s for s in parts if least <= len(s) <= most and not s.endswith("?") and regex.search(cue, s)))
+
+
+def facts(text: str, most: int = 5) -> list[tuple[str, str, str]]:
+    """(sentence, type, value) of sentences that state a value, path or URL: those with a cue and such an anchor."""
+    out = []
+    for s in sentences(text, any_of(FACT_CUES)):
+        found = next(((kind, v) for kind, v, *_ in anchors(s)[:8] if kind in ("value", "path", "url")), None)
+        if found:
+            out.append((s, *found))
+    return out[:most]
+
+
+def excerpt(text: str, start: int, end: int, most: int = 280) -> str:
+    """Up to most characters around text[start:end], which is put in brackets; what is left out shows as an ellipsis."""
+    room = max(1, most - 4)
+    hit = text[start:end][:room]
+    spare = room - len(hit)
+    a = max(0, start - spare // 2)
+    b = min(len(text), end + spare - (start - a))
+    before, after = text[a:start], text[end:b]
+
+    def shown() -> str:
+        return ("…" if a > 0 else "") + before + "[" + hit + "]" + after + ("…" if b < len(text) or len(hit) < end - start else "")
+
+    while len(shown()) > most and (after or before or len(hit) > 1):
+        if after:
+            after = after[:-1]
+        elif before:
+            before = before[1:]
+        else:
+            hit = hit[:-1]
+    return shown()[:most]
+
+
+def byte_excerpt(text: str, start: int, end: int, most: int = 320) -> str:
+    """Up to most UTF-8 bytes around the bytes start to end, cut at characters, with ellipses."""
+    raw = text.encode()
+    if len(raw) <= most:
+        return text
+    room = max(1, most - 6)
+    spare = room - min(end - start, room)
+    a, b = max(0, start - spare // 2), min(len(raw), max(end, start + min(end - start, room)) + -(-spare // 2))
+    b = min(b, a + room)
+    a = max(0, b - room)
+    while a < start and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return ("…" if a else "") + raw[a:b].decode() + ("…" if b < len(raw) else "")
+
+
+def centred(tokens: list[str], at: int, fits) -> tuple[int, int]:
+    """The widest range of tokens around one of them, alike on both sides, that fits."""
+    low, high = 0, len(tokens)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if fits(tokens[max(0, at - mid) : at + mid + 1]):
+            low = mid
+        else:
+            high = mid - 1
+    return max(0, at - low), min(len(tokens), at + low + 1)
+
+
+_UNITS = regex.compile(r"[\p{L}\p{M}\p{N}_]+|\s+|[^\s\p{L}\p{M}\p{N}_]")
+_WORDLIKE = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
+_DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+
+
+#: Shapes of words that models split into many tokens.
+_OPAQUE = regex.compile(r".{12,}|.*_.*|(?=.*\p{L})(?=.*\p{N}).*|(?=.*\p{Ll})(?=.*\p{Lu}).*|[a-fA-F0-9]{6,}")
 
 
 def visible_tokens(text: str) -> int:
-    """Estimate of model tokens: a quarter of the bytes of words and white space, rounded up, and every byte of all else."""
+    """Estimate of model tokens: a quarter of the bytes of words and white space, rounded up; every byte of dense scripts, opaque words and all else."""
     total = 0
     for m in _UNITS.finditer(text):
         n = len(m.group().encode())
-        total += n if m.lastgroup == "other" else -(-n // 4)
+        dear = _WORDLIKE.fullmatch(m.group()) and (_DENSE.search(m.group()) or _OPAQUE.fullmatch(m.group()))
+        total += n if dear or not (m.group().isspace() or _WORDLIKE.fullmatch(m.group())) else -(-n // 4)
     return total
+
+
+def visible_prefix(text: str, budget: int, suffix: str = "") -> str:
+    """The longest prefix that fits the budget together with the suffix."""
+    if visible_tokens(suffix) > budget:
+        return ""
+    low, high = 0, len(text)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if visible_tokens(text[:mid] + suffix) <= budget:
+            low = mid
+        else:
+            high = mid - 1
+    return text[:low]

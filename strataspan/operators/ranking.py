@@ -37,11 +37,13 @@ def exact_lookup(anchors: DataFrame, asked: DataFrame) -> DataFrame:
     return both.select("query_id", "document_id", "value", "exact", exact_score(F.col("exact"), F.lit(1.0), F.col("specificity")).alias("score")).distinct()
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
-    """Exact cosine neighbours (query_id, rank, vec_id, score) of each query (id, v) among rows (id, v), itself excluded.
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0, own: bool = False) -> DataFrame:
+    """Exact cosine neighbours (query_id, rank, vec_id, score) of each query (id, v) among rows (id, v), the row of its own id excluded unless own.
 
-    Rows are dealt into blocks by hash and each block meets each block of queries once, as a matrix product; every block hands on k rows a query.
+    Vectors that are null, empty or all 0, or that hold a null, NaN or infinity, take no part; nor do rows without an id. Rows are dealt into blocks by hash and each block meets each block of queries once, as a matrix product; every block hands on k rows a query.
     """
+    whole = F.col("id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows, queries = (d.select("id", "v").where(F.coalesce(whole, F.lit(False))) for d in (rows, queries))
     blocks, parts = max(8, -(-rows.count() // 65_536)), max(1, -(-queries.count() // 4_096))
     left = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -52,12 +54,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.
         m, q = np.stack(a["v"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
         s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 9)
         ids, out = a["id"].to_numpy(), []
-        for qid, own in zip(b["id"], s, strict=True):
-            other = np.flatnonzero((ids != qid) & (own >= least))
+        for qid, near in zip(b["id"], s, strict=True):
+            other = np.flatnonzero((own | (ids != qid)) & (near >= least))
             if len(other) > k:
-                other = other[own[other] >= np.partition(own[other], len(other) - k)[len(other) - k]]
-            other = other[np.lexsort((ids[other], -own[other]))][:k]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other], "score": own[other]}))
+                other = other[near[other] >= np.partition(near[other], len(other) - k)[len(other) - k]]
+            other = other[np.lexsort((ids[other], -near[other]))][:k]
+            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[other], "score": near[other]}))
         return pd.concat(out)
 
     some = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
@@ -94,5 +96,41 @@ def importance(decision: Column, pinned: Column, refs: Column, recalls: Column)
     return F.round(1 + F.least(F.lit(0.15), total), 6)
 
 
+def demoted(pool: DataFrame, factors: DataFrame) -> DataFrame:
+    """pool (query_id, mode, id, norm) with the norms multiplied by factors (id, factor), never above 1; then fused() ranks it anew."""
+    met = pool.join(factors, "id", "left")
+    return met.withColumn("norm", F.least(F.lit(1.0), F.round(F.col("norm") * F.coalesce("factor", F.lit(1.0)), 6))).drop("factor")
+
+
+def tiered(exact: DataFrame, structural: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, tier, score, fusion_score): exact matches (query_id, id, score) come first, then structural ones, then the fused modes; of a document its best
+    tier stays. score is what its mode says, fusion_score what puts it in order."""
+    own = pool.groupBy("query_id", "id").agg(F.max("norm").alias("score"))
+    parts = [
+        exact.select("query_id", "id", F.lit(3).alias("tier"), "score", F.col("score").alias("fusion_score")),
+        structural.select("query_id", "id", F.lit(2).alias("tier"), "score", F.col("score").alias("fusion_score")),
+        fused(pool).join(own, ["query_id", "id"]).select("query_id", "id", F.lit(1).alias("tier"), "score", "fusion_score"),
+    ]
+    one = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("query_id", "id").agg(F.max(F.struct("tier", "fusion_score", "score")).alias("b"))
+    flat = one.select("query_id", "id", "b.tier", "b.score", "b.fusion_score")
+    w = Window.partitionBy("query_id").orderBy(F.desc("tier"), F.desc("fusion_score"), "id")
+    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "tier", "score", "fusion_score")
+
+
+def margins(results: DataFrame) -> DataFrame:
+    """results (query_id, mode, id, norm) with margin, to the next one of the mode, or to nothing."""
+    w = Window.partitionBy("query_id", "mode").orderBy(F.desc("norm"), "id")
+    return results.withColumn("margin", F.round(F.col("norm") - F.lead("norm", 1, 0.0).over(w), 6))
+
+
+def evidence_margins(results: DataFrame) -> DataFrame:
+    """results (query_id, mode, rank, id, root, norm) with evidence_margin, to the next one of the mode that has another root of evidence."""
+    w = Window.partitionBy("query_id", "mode").orderBy("rank")
+    run = results.withColumn("_new", F.coalesce((F.lag("root").over(w) != F.col("root")).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    firsts = run.groupBy("query_id", "mode", "_run").agg(F.min_by("norm", "rank").alias("_norm"))
+    nxt = firsts.select("query_id", "mode", (F.col("_run") - 1).alias("_run"), "_norm")
+    return run.join(nxt, ["query_id", "mode", "_run"], "left").withColumn("evidence_margin", F.round(F.col("norm") - F.coalesce("_norm", F.lit(0.0)), 6)).drop("_new", "_run", "_norm")
+
+
 def relevance_band(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.5, "moderate").when(score >= 0.2, "some").otherwise("low")

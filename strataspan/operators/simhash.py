@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from strataspan.functions.text import terms
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(document_id, token_count, simhash, status). Each bit is the sign of the sum of term frequencies over the terms' fingerprints.
+def signatures(docs: DataFrame, *keys: str) -> DataFrame:
+    """(document_id, keys, token_count, simhash, status); keys may name further columns, as the version. Each bit is the sign of the sum of term frequencies over the terms' fingerprints.
 
     The 64 sums are aggregated as columns in one hash aggregation, map-side first: a row for each document and task is shuffled.
     """
-    tokens = docs.select("document_id", F.explode_outer(terms("text")).alias("term"))
+    tokens = docs.select("document_id", *keys, F.explode_outer(terms("text")).alias("term"))
     print_ = F.conv(F.substring(F.sha1(F.col("term").cast("binary")), 1, 16), 16, -10).cast("long")
-    votes = tokens.select("document_id", "term", print_.alias("fp"))
-    sums = votes.groupBy("document_id").agg(F.count("term").alias("token_count"), *[F.sum(F.when(F.col("fp").isNull(), 0).when(F.getbit("fp", F.lit(b)) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)])
+    votes = tokens.select("document_id", *keys, "term", print_.alias("fp"))
+    sums = votes.groupBy("document_id", *keys).agg(F.count("term").alias("token_count"), *[F.sum(F.when(F.col("fp").isNull(), 0).when(F.getbit("fp", F.lit(b)) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)])
     bits = [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b in range(64)]
     out = bits[0]
     for x in bits[1:]:
         out = out.bitwiseOR(x)
-    return sums.select("document_id", "token_count", out.alias("simhash"), F.when(F.col("token_count") == 0, "empty").otherwise("complete").alias("status"))
+    return sums.select("document_id", *keys, "token_count", out.alias("simhash"), F.when(F.col("token_count") == 0, "empty").otherwise("complete").alias("status"))
 
 
 def similar_pairs(sigs: DataFrame, most: int = 3) -> DataFrame:

@@ -34,10 +34,11 @@ def _asked(t: Tables) -> DataFrame:
     return lexical.first_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
 
 
-_ASKED = rf"""q0 AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '{tx.TERM_TOKEN}'), lambda x: length(x) > 3) AS ts FROM benchmark),
+_STOPS = ", ".join(f"'{w}'" for w in sorted(tx.STOP_WORDS))
+_ASKED = rf"""q0 AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(lower(text), '{tx.TERM_TOKEN}'), lambda x: x NOT IN ({_STOPS})) AS ts FROM benchmark),
 q1 AS (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM q0),
 q2 AS (SELECT query_id, term, min(pos) AS pos FROM q1 GROUP BY ALL),
-asked AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM q2) WHERE n <= 8)"""
+asked AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS n FROM q2) WHERE n <= 20)"""
 _BM25 = f"""WITH {_EV}, {_TOK}, {_POST}, {_ASKED},
 st AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM tok), ln AS (SELECT document_id, len(ts) AS len FROM tok),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), qn AS (SELECT query_id, count(*) AS n_terms FROM asked GROUP BY 1),
@@ -71,12 +72,12 @@ def corpus_stats(t):
 
 @query(f"""WITH {_EV}, {_TOK}, w AS (SELECT document_id, ts, unnest(range(CAST(greatest(0, ceil((len(ts) - 900) / 765.0)) AS BIGINT) + 1)) AS ordinal FROM tok),
 x AS (SELECT document_id, ordinal, unnest(ts[ordinal * 765 + 1 : ordinal * 765 + 900]) AS term FROM w)
-SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, term, count(*) AS tf FROM x GROUP BY ALL HAVING count(*) >= 5""")
+SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, term, count(*) AS tf FROM x GROUP BY ALL""")
 def window_term_tf(t):
     tok = t.evidence().select("document_id", tx.terms(F.col("text")).alias("ts"))
     last = F.greatest(F.lit(0), F.ceil((F.size("ts") - 900) / 765)).cast("int")
     each = tok.withColumn("ordinal", F.explode(F.sequence(F.lit(0), last))).select("document_id", "ordinal", F.explode(F.slice("ts", F.col("ordinal") * 765 + 1, F.lit(900))).alias("term"))
-    return each.groupBy("document_id", "ordinal", "term").agg(F.count(F.lit(1)).alias("tf")).where("tf >= 5")
+    return each.groupBy("document_id", "ordinal", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _windows_sql(size: int, step: int) -> str:
@@ -126,7 +127,7 @@ def near_dup_pairs(t):
     return simhash.similar_pairs(simhash.signatures(t.evidence()))
 
 
-_URLS = """anchors AS (SELECT page_id AS document_id, url AS value FROM pages), asked AS (SELECT page_id AS query_id, CASE WHEN page_id % 2 = 0 THEN url ELSE upper(url) END AS value FROM pages WHERE page_id % 10 < 2)"""
+_URLS = """anchors AS (SELECT page_id AS document_id, url AS value FROM pages), asked AS (SELECT page_id AS query_id, CASE WHEN page_id % 2 = 0 THEN url ELSE upper(url) END AS value FROM pages)"""
 
 
 @query(f"""WITH {_URLS}, x AS (SELECT query_id, document_id, a.value, TRUE AS exact FROM asked q JOIN anchors a ON q.value = a.value),
@@ -134,7 +135,7 @@ y AS (SELECT query_id, document_id, a.value, FALSE AS exact FROM asked q JOIN an
 SELECT DISTINCT *, round(least(1.0, 0.55::DOUBLE + 0.25::DOUBLE * CASE WHEN exact THEN 1.0 ELSE 0.72 END + 0.12::DOUBLE + 0.08::DOUBLE * 0.91), 6) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y)""")
 def exact_url_lookup(t):
     anchors = t.pages.select(F.col("page_id").alias("document_id"), F.col("url").alias("value"), F.lit(0.91).alias("specificity"))
-    asked = t.pages.where("page_id % 10 < 2").select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.upper("url")).alias("value"))
+    asked = t.pages.select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.upper("url")).alias("value"))
     return ranking.exact_lookup(anchors, asked)
 
 
@@ -177,14 +178,14 @@ def decision_candidates(t):
 
 
 _KNN = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label = q.label AS same, round(list_cosine_similarity(q.e, c.e), 9) AS s FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id != c.vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label = q.label AS same, round(list_cosine_similarity(q.e, c.e), 9) AS s FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id != c.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s)
 """
 
 
 def _knn(t):
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return ranking.nearest(rows, rows.where("id % 100 = 0"))
+    return ranking.nearest(rows, rows.where("id % 20 = 0"))
 
 
 @query(_KNN + "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM k WHERE rank <= 10")
@@ -219,7 +220,7 @@ def rrf_fusion(t):
     return ranking.fused(_pool(t))
 
 
-@query(_BM25.rstrip() + """, vocab AS (SELECT DISTINCT document_id, term FROM post WHERE length(term) > 3), vdf AS (SELECT term, count(*) AS vdf FROM vocab GROUP BY 1),
+@query(_BM25.rstrip() + """, vocab AS (SELECT DISTINCT document_id, term FROM post WHERE TRUE), vdf AS (SELECT term, count(*) AS vdf FROM vocab GROUP BY 1),
 fd AS (SELECT DISTINCT b.query_id, v.term FROM best b JOIN vocab v USING (document_id) WHERE b.rank <= 3 AND NOT EXISTS (SELECT 1 FROM asked a WHERE a.query_id = b.query_id AND a.term = v.term)),
 sc AS (SELECT query_id, term, round(ln(1 + (n - vdf + 0.5::DOUBLE) / (vdf + 0.5::DOUBLE)), 6) AS idf FROM fd JOIN vdf USING (term), st),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, term) AS rank FROM sc) SELECT query_id, CAST(rank AS INTEGER) AS rank, term, idf FROM k WHERE rank <= 8""")
@@ -278,10 +279,10 @@ def subject_live(t):
 
 
 @query(f"""WITH {_EV}, p AS (SELECT project, document_id, row_number() OVER (PARTITION BY project ORDER BY created_at, document_id) AS n FROM ev)
-SELECT a.document_id AS anchor_id, b.document_id, CAST(b.n - a.n AS BIGINT) AS distance FROM p a JOIN p b ON a.project = b.project AND b.n BETWEEN a.n - 1 AND a.n + 3 WHERE a.document_id % 50 = 0""")
+SELECT a.document_id AS anchor_id, b.document_id, CAST(b.n - a.n AS BIGINT) AS distance FROM p a JOIN p b ON a.project = b.project AND b.n BETWEEN a.n - 1 AND a.n + 3""")
 def gather_neighbours(t):
     docs = t.evidence()
-    return lifecycle.neighbours(docs, docs.where("document_id % 50 = 0"))
+    return lifecycle.neighbours(docs, docs)
 
 
 @query(f"""WITH {_EV} SELECT document_id, lag(document_id) OVER w AS before_id, lead(document_id) OVER w AS after_id FROM ev WINDOW w AS (PARTITION BY project, session_id ORDER BY created_at, document_id)""")
@@ -317,14 +318,6 @@ def feedback_by_mode_rank(t):
     return feedback.feedback_statistics(e)
 
 
-@query("""WITH e AS (SELECT user_id, event_id AS seq, event_type AS query_key, event_type IN ('purchase', 'signup') AS hit FROM events WHERE event_type != 'error'),
-h AS (SELECT m.user_id, m.seq, m.query_key, min(h.seq) AS hit_id FROM e m JOIN e h ON m.user_id = h.user_id AND h.hit AND h.seq > m.seq WHERE NOT m.hit GROUP BY ALL)
-SELECT h.user_id, h.seq AS miss_id, hit_id FROM h JOIN e x ON x.seq = hit_id WHERE x.query_key != h.query_key""")
-def reformulation_chains(t):
-    e = t.events.where("event_type != 'error'").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("query_key"), F.col("event_type").isin("purchase", "signup").alias("hit"))
-    return feedback.reformulations(e)
-
-
 @query("SELECT CAST(floor(epoch_ms(ts) / 3600000) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def hour_buckets(t):
     return t.events.groupBy(F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000).alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
