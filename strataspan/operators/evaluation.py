@@ -49,7 +49,7 @@ def documents_for_timing(spark: SparkSession, n: int) -> DataFrame:
     """(document_id, project, session_id, kind, created_at, text): n made-up documents; the text has 160 characters, each 1,000th 10 KiB, each 10,000th 1 MiB. Word w of
     document i is a hash of both, so any row can be made by itself."""
     size = F.when(F.col("id") % 10_000 == 9_999, 1 << 20).when(F.col("id") % 1_000 == 999, 10 << 10).otherwise(160)
-    words = F.transform(F.sequence(F.lit(1), F.ceil(size / 8).cast("int")), lambda w: F.concat(F.lit("w"), F.lpad(F.conv(F.pmod(F.xxhash64("id", w), F.lit(50_000)).cast("string"), 10, 36), 6, "0")))
+    words = F.transform(F.sequence(F.lit(1), F.ceil(size / 7).cast("int")), lambda w: F.concat(F.lit("w"), F.lpad(F.conv(F.pmod(F.xxhash64("id", w), F.lit(50_000)).cast("string"), 10, 36), 6, "0")))
     text = F.expr("substring(array_join(words, ' '), 1, size)")
     made = spark.range(n).withColumn("size", size).withColumn("words", words)
     return made.select(F.col("id").alias("document_id"), F.lit("timing").alias("project"), F.concat(F.lit("s"), F.col("id") % 100).alias("session_id"), F.lit("turn").alias("kind"), (F.lit(1_700_000_000_000) + F.col("id") * 1_000).alias("created_at"), text.alias("text"))
