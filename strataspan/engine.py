@@ -127,12 +127,7 @@ class Engine:
     # Reading
 
     def _optional(self, name: str) -> DataFrame | None:
-        try:
-            return self.store.read(name)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        return self.store.read(name) if self.store.has(name) else None
 
     def _rows(self, name: str, schema: str) -> DataFrame:
         """A table's rows, or none of them."""
@@ -183,6 +178,10 @@ class Engine:
 
     # Search
 
+    def _page(self, rows: DataFrame) -> DataFrame:
+        """The rows of one page, which a limit bounds, by value: what follows doesn't search again for every use."""
+        return self.spark.createDataFrame(rows.collect(), rows.schema)
+
     def candidates(self, query: str, project: str | None = None, limit: int = 10, sessions: list[str] | None = None, without: list[int] | None = None) -> DataFrame:
         """(id, mode, norm, version, coverage, max_idf, margin) of the stored indexes: exact anchors first; without any, stemmed BM25F. Only live documents in scope take part."""
         docs = self._scoped(self.documents(), project, sessions, without).select("document_id", "version")
@@ -211,19 +210,20 @@ class Engine:
         score is what the mode says, decayed by age if now is given; ranking_score is the fused one after all boosts, by which rows are ordered.
         """
         pool = self.candidates(query, project, cx.pool_size(limit), sessions, without).withColumn("query_id", F.lit(0))
-        weak = pool.agg(F.max("norm").alias("n"), F.max("coverage").alias("c"), F.max("mode").alias("m")).first()
-        lexical_only = weak["m"] in (None, "lexical")
-        if lexical_only and (expand or weak["n"] is not None and (weak["n"] < WEAK_SCORE or weak["c"] < WEAK_COVERAGE)):
+        pool = self._page(pool)
+        found = pool.collect()
+        lexical_only = all(r["mode"] == "lexical" for r in found)
+        if lexical_only and (expand or found and (max(r["norm"] for r in found) < WEAK_SCORE or max(r["coverage"] for r in found) < WEAK_COVERAGE)):
             more = self.expansion(query, pool, project)
             if more:
                 again = self.candidates(" ".join(more), project, cx.pool_size(limit), sessions, without).withColumn("query_id", F.lit(0))
-                pool = pool.unionByName(again.where("mode = 'lexical'").join(pool.select("id"), "id", "left_anti"))
-        docs = lifecycle.retention(self.documents()).select(F.col("document_id").alias("id"), "created_at", "retention_class", "kind", "session_id")
+                pool = self._page(pool.unionByName(again.where("mode = 'lexical'").join(pool.select("id"), "id", "left_anti")))
+        docs = lifecycle.retention(self.documents().where(F.col("document_id").isin([r[0] for r in pool.select("id").collect()]))).select(F.col("document_id").alias("id"), "created_at", "retention_class", "kind", "session_id")
         met = pool.join(docs, "id")
         if now is not None:
             met = met.withColumn("norm", F.when(F.col("mode") == "lexical", F.round(F.col("norm") * ranking.decay(F.lit(now) - F.col("created_at"), F.col("retention_class")), 6)).otherwise(F.col("norm")))
         pins = protection.pinned(self._rows("pins", "pin_id string, document_id long, seq long, active boolean")).select(F.col("document_id").alias("id"), F.lit(True).alias("pin"))
-        met = met.join(pins, "id", "left")
+        met = self._page(met.join(pins, "id", "left"))
         factor = ranking.importance(F.col("kind") == "decision-candidate", F.coalesce("pin", F.lit(False)), F.lit(0), F.lit(0))
         boost = met.select("query_id", "mode", "id", F.least(F.lit(1.0), F.round(F.col("norm") * factor, 6)).alias("norm"))
         if context_terms:
@@ -251,19 +251,19 @@ class Engine:
         a, b = PRESETS[intent]
         before, after = a if before is None else before, b if after is None else after
         docs = self.documents()
-        best = self.search(query, limit=anchors, **options).select(F.col("document_id").alias("anchor_id"), F.col("rank").alias("anchor_rank"))
+        best = self._page(self.search(query, limit=anchors, **options).select(F.col("document_id").alias("anchor_id"), F.col("rank").alias("anchor_rank")))
         near = lifecycle.neighbours(docs, best.select(F.col("anchor_id").alias("document_id")), before, after).join(best, "anchor_id")
         relation = F.when(F.col("distance") == 0, "anchor").when(F.col("distance") > 0, "after").otherwise("before")
         placed = near.withColumn("relation", relation).withColumn("priority", cx.gather_priority(relation, F.col("anchor_rank"), F.abs("distance"), intent == "workflow"))
         once = placed.groupBy("document_id").agg(F.min(F.struct("priority", "relation", "distance")).alias("p")).orderBy("p.priority", "document_id").limit(most)
-        rows = once.select("document_id", "p.priority", "p.relation", "p.distance").join(docs, "document_id")
+        rows = self._page(once.select("document_id", "p.priority", "p.relation", "p.distance")).join(docs, "document_id")
         if max_tokens is not None:
             sized = rows.select(F.lit(0).alias("packet_id"), F.row_number().over(Window.orderBy("priority", "document_id")).alias("place"), cx.estimated_tokens(F.col("text")).alias("tokens"), "document_id")
-            rows = rows.join(sized.join(session.filled(sized, max_tokens), ["packet_id", "place"]).select("document_id"), "document_id", "left_semi")
+            rows = rows.join(self._page(sized.join(session.filled(sized, max_tokens), ["packet_id", "place"]).select("document_id")), "document_id", "left_semi")
         strong = anchors_.extracted(rows.select("document_id", "version", "text")).where("type != 'value'").groupBy("document_id").agg(F.collect_set("folded").alias("anchors"))
         items = rows.join(strong, "document_id", "left").select(F.lit(0).alias("packet_id"), F.col("document_id").alias("item_id"), F.col("subject_key").alias("subject"), "text", "anchors")
         links = docs.where("supersedes IS NOT NULL").select(F.col("document_id").alias("id"), "supersedes")
-        pairs = feedback.possible_conflicts(items, links)
+        pairs = self._page(feedback.possible_conflicts(items, links))
         both = pairs.select(F.col("left_id").alias("document_id"), F.col("right_id").alias("o")).union(pairs.select("right_id", "left_id"))
         out = rows.join(both.groupBy("document_id").agg(F.array_sort(F.collect_set("o")).alias("conflicts")), "document_id", "left")
         return out.select("document_id", "version", "relation", "distance", "created_at", "text", F.coalesce("conflicts", F.array().cast("array<bigint>")).alias("conflicts")).orderBy("created_at", "document_id")
