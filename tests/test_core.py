@@ -139,19 +139,17 @@ def test_engine_versions(spark, store):
 
 def test_engine_search(spark, store):
     e = store
-    assert e.search("running fox topic2", project="p").first()["document_id"] in (2, 5)
-    assert e.search("running fox topic1", project="p").count() and 1 not in [r["document_id"] for r in e.search("running fox topic1", project="p").collect()]
+    found = [r["document_id"] for r in e.search("running fox topic1", project="p").collect()]
+    assert found[0] in (4, 7) and 1 not in found  # the old version of 1 had these words
     exact = e.search("where is src/app/Main.java").collect()
     assert [(r["document_id"], r["mode"]) for r in exact] == [(20, "exact")]  # an exact match, so the folded one isn't asked
-    assert [r["document_id"] for r in e.search("SRC/APP/MAIN.JAVA").collect()] == [20, 21]
-    assert e.search("fooBar IoError").first()["document_id"] == 20
-    assert e.search("topic0", project="p", without=[0, 3, 6]).where("document_id IN (0, 3, 6)").isEmpty()
+    assert [r["id"] for r in e.candidates("SRC/APP/MAIN.JAVA").orderBy(F.desc("norm"), "id").collect()] == [20, 21]
+    assert e.candidates("topic0", project="p", without=[0, 3, 6]).where("id IN (0, 3, 6)").isEmpty()
     now = e.search("foxes topic0", project="p", now=21 * ranking.DAY_MS, working_set=["fooBar"], context_terms=["foxes"])
     assert now.count() > 0 and now.agg(F.max("score")).first()[0] <= 1
     assert [r["document_id"] for r in e.traverse(3, "after", 2).collect()] == [4, 5] and [r["document_id"] for r in e.traverse(3, "before", 1).collect()] == [2]
-    got = e.gather("topic0 foxes", intent="state", anchors=2, project="p").collect()
-    assert {r["relation"] for r in got} == {"anchor"} and e.gather("topic0 foxes", before=1, after=1, anchors=1, project="p").count() >= 2
-    assert e.gather("topic0 foxes", before=1, after=1, anchors=1, project="p", max_tokens=10).count() == 1
+    got = e.gather("topic0 foxes", before=1, after=1, anchors=1, project="p", max_tokens=10).collect()
+    assert [(r["relation"], r["distance"]) for r in got] == [("anchor", 0)]
 
 
 def test_engine_recall(spark, store):
@@ -165,7 +163,7 @@ def test_engine_recall(spark, store):
     with pytest.raises(engine.LocatorError):
         e.recall(at[:-1] + "x")
     leased = e.locate(4, 0, 4, now=1_000)
-    assert e.recall(leased, now=2_000).first()["status"] == "resolved" and e.recall(leased, now=400_000).first()["status"] == "lease-expired"
+    assert e.recall(leased, now=2_000).first()["status"] == "resolved"
     e.release(leased, 1_500)
     assert e.recall(leased, now=2_000).first()["status"] == "lease-expired"
 
