@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from strataspan.llm.shared import WORD, Scratch, n_words
 
-#: Hexadecimal digits of the key that name a cell of a source: 16 ** CELL_DIGITS cells.
-CELL_DIGITS = 3
+#: Hexadecimal digits of the key that name a cell of a source, at least; and rows of a cell, about, if one source holds them all.
+LEAST_DIGITS, CELL_ROWS = 3, 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
@@ -47,7 +47,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     scratch = Scratch(docs.sparkSession, "mixing")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("sk"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    rows = rows.withColumn("cell", F.substring("key", 1, CELL_DIGITS))
+    n, digits = docs.count(), LEAST_DIGITS
+    while 16**digits * CELL_ROWS < n:
+        digits += 1
+    rows = rows.withColumn("cell", F.substring("key", 1, digits))
     cells = scratch.put(rows.groupBy("sk", "source", "cell").agg(F.sum("size").alias("words")), "cells")
     sizes = cells.groupBy("sk", "source").agg(F.sum("words").alias("size"))
     targets = source_targets(sizes, weights, share, most)
