@@ -66,7 +66,7 @@ def components(nodes, links):
 
 def test_components(spark):
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
     got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     real = [e for e in edges if e[0] != e[1]]
     exp = components({x for e in real for x in e}, real)
