@@ -295,9 +295,9 @@ def last_two_turns(t):
     return session.last_turns(t.conversations, 2).select("conv_id", "turn", "role", "text")
 
 
-@query(f"""WITH {_EV} SELECT document_id, CASE WHEN kind IN ('tool-result', 'tool-argument') AND (tool = 'archive_search' OR ends_with(tool, '__archive_search')) THEN TRUE ELSE FALSE END AS echo FROM (SELECT *, CASE document_id % 3 WHEN 0 THEN 'archive_search' WHEN 1 THEN 'mcp__archive_search' ELSE 'other' END AS tool FROM ev)""")
+@query(f"""WITH {_EV} SELECT document_id, CASE WHEN kind IN ('tool-result', 'tool-argument') AND (tool = 'archive_search' OR ends_with(tool, '__archive_search')) THEN TRUE ELSE FALSE END AS echo FROM (SELECT *, CASE document_id % 3 WHEN 0 THEN 'archive_search' WHEN 1 THEN 'client__archive_search' ELSE 'other' END AS tool FROM ev)""")
 def echo_documents(t):
-    tool = F.when(F.col("document_id") % 3 == 0, "Archive_Search").when(F.col("document_id") % 3 == 1, "mcp__archive_search").otherwise("other")
+    tool = F.when(F.col("document_id") % 3 == 0, "Archive_Search").when(F.col("document_id") % 3 == 1, "client__archive_search").otherwise("other")
     return t.evidence().select("document_id", cx.echo_of(F.col("kind"), tool, ["archive_search"]).alias("echo"))
 
 

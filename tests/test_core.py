@@ -171,7 +171,7 @@ def test_engine_recall(spark, store):
 def test_engine_keeps_and_forgets(spark, tmp_path):
     e = engine.Engine(spark, str(tmp_path / "store"), own_tools=("archive_search",))
     docs = spark.createDataFrame([(i, "p" if i < 6 else "q", f"s{i % 2}", "turn", i * 1000, f"secret note {i} here", None) for i in range(8)], SCHEMA).withColumn("tool", F.lit(None).cast("string"))
-    echo = spark.createDataFrame([(50, "p", "s0", "tool-result", 1, "secret echo", None, "mcp__archive_search")], SCHEMA + ", tool string")
+    echo = spark.createDataFrame([(50, "p", "s0", "tool-result", 1, "secret echo", None, "client__archive_search")], SCHEMA + ", tool string")
     e.admit(docs.unionByName(echo))
     assert 50 not in [r["document_id"] for r in e.search("secret echo", limit=20).collect()] and e.count() == 9
     assert (e.pin("a", 0, 1), e.pin("a", 0, 2), e.pin("a", 0, 3, False), e.pin("b", 1, 1), e.pin("c", 1, 1, False)) == ("pinned", "already-pinned", "unpinned", "pinned", "not-found")
