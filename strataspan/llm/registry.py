@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from strataspan.llm import chat_format, exact_dedup, line_dedup, mixing, ngram_jaccard, packing, quality_rules, secret_scan, token_counts, topk_search
+from strataspan.llm import chat_format, exact_dedup, importance, line_dedup, mixing, ngram_jaccard, packing, quality_rules, secret_scan, token_counts, topk_search
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_chat_format": chat_format.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op13_importance_resampling": importance.OP13_SQL,
 }
