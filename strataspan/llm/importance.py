@@ -33,11 +33,11 @@ def lower_words(text: Column) -> Column:
 
 def features(words: Column, longest: int) -> Column:
     """All runs of 1 to longest consecutive words, joined by one space."""
-    runs = [words]
-    for n in range(2, longest + 1):
+    def of(n: int) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1))), lambda i: i + (n - 1) <= F.size(words))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-    return runs[0] if longest == 1 else F.concat(*runs)
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    return words if longest == 1 else F.concat(words, *[of(n) for n in range(2, longest + 1)])
 
 
 def bucketed(texts: DataFrame, buckets: int, longest: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from strataspan.llm import chat_format, decontaminate, exact_dedup, importance, line_dedup, mixing, ngram_jaccard, packing, quality_rules, secret_scan, token_counts, topk_search
+from strataspan.llm import chat_format, decontaminate, exact_dedup, importance, line_dedup, mixing, ngram_jaccard, packing, quality_rules, secret_scan, token_align, token_counts, topk_search
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_token_alignment": token_align.op11_token_alignment,
     "op12_decontamination": decontaminate.op12_decontamination,
     "op13_importance_resampling": importance.op13_importance_resampling,
 }

@@ -12,7 +12,10 @@ links. Repeated rows are documents of their own. Empty tables give empty ones. E
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +62,9 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int | None] = {}
-        self.chars, self.n_a, self.n_b, self.n_groups, self.n_links, self.fine, self.groups, self.pairs = 0, [], [], [], [], [], [], []
+        self.number: dict[str, int] = {}
+        self.chars, self.groups, self.pairs = 0, [], []
+        self.totals = np.empty((0, 5), dtype=np.int64)  # fine, tokens of A, of B, groups, links
 
     def merged(self, text: bytes, a: list[int], b: list[int]) -> tuple[bool, int, int, str, list[int]]:
         """(whether both give the text back, groups, links, groups as text, pairs) of the tokens of one stretch; a pair is a * 2^20 + b."""
@@ -89,65 +93,50 @@ class Aligner:
         """Aligns stretches, each of which begins with a space, and numbers them on."""
         a = [e.ids for e in self.a.encode_batch(stretches, add_special_tokens=False)]
         b = self.b.encode([s[1:] for s in stretches], num_threads=1)
+        totals = []
         for s, x, y in zip(stretches, a, b, strict=True):
             fine, n_groups, n_links, groups, pairs = self.merged(s.encode(), x, y)
-            self.number[s] = len(self.fine)
-            self.chars += len(s)
-            for to, v in ((self.fine, fine), (self.n_a, len(x)), (self.n_b, len(y)), (self.n_groups, n_groups), (self.n_links, n_links), (self.groups, groups), (self.pairs, pairs)):
-                to.append(v)
-
-    def numbers(self, text: str) -> list[int | str]:
-        """The numbers of a text's stretches; a stretch without a number stands for itself."""
-        parts = text.split(" ")
-        known = list(map(self.number.get, map(" ".__add__, parts)))
-        if None in known:
-            whole = stretches(parts)
-            known = list(map(self.number.get, whole))
-            if None in known:
-                return [s if k is None else k for s, k in zip(whole, known, strict=True)]
-        return known
-
-    def aligned(self, texts: list[str]) -> tuple[list[list[int]], dict]:
-        """The stretches of each text, by number; none for a text that either side doesn't give back."""
-        if len(self.fine) > MOST_STRETCHES or self.chars > MOST_CHARS:
+            self.number[s] = len(self.groups)
+            self.groups.append(groups)
+            self.pairs.append(array("q", pairs).tobytes())
+            totals.append((fine, len(x), len(y), n_groups, n_links))
+        self.chars += sum(map(len, stretches))
+        self.totals = np.concatenate([self.totals, np.array(totals, dtype=np.int64).reshape(-1, 5)])
+
+    def aligned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, offsets): the stretches of text i have the numbers from offsets[i] to offsets[i + 1]; a text that either side doesn't give back has none."""
+        if len(self.groups) > MOST_STRETCHES or self.chars > MOST_CHARS:
             self.forget()
-        found = [self.numbers(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(s for f in found for s in f if isinstance(s, str)))
+        found = [stretches(t) if t else [] for t in texts]
+        new = sorted(s for s in set(chain.from_iterable(found)) if s not in self.number)
         for i in range(0, len(new), 1000):
             self.learn(new[i : i + 1000])
-        out = []
-        for text, own in zip(texts, found, strict=True):
-            own = [self.number[s] if isinstance(s, str) else s for s in own]
-            if not all(map(self.fine.__getitem__, own)):
-                # a stretch alone isn't given back: only the whole text counts
-                whole = " " + text
-                if whole not in self.number:
-                    self.learn([whole])
-                own = [self.number[whole]] if self.fine[self.number[whole]] else []
-            out.append(own)
-        return out
-
-
-def _cuts(part: str) -> bool:
-    """Whether a space behind this part begins a stretch: it isn't empty and doesn't end with white space or with what some libraries take for it."""
-    return part != "" and not (part[-1].isspace() or part[-1] in "᠎​‌‍⁠﻿")
-
-
-def stretches(parts: list[str]) -> list[str]:
-    """The stretches of a text that was split at its spaces; each begins with a space. Spaces that end the text belong to the last one."""
-    out, own = [], [parts[0]]
-    for p in parts[1:]:
-        if _cuts(own[-1]):
-            out.append(" " + " ".join(own))
-            own = [p]
-        else:
-            own.append(p)
-    last = " " + " ".join(own)
-    if out and last.strip(" ") == "":
-        out[-1] += last
-    else:
-        out.append(last)
-    return out
+        own = [list(map(self.number.__getitem__, f)) for f in found]
+        fine = self.totals[:, 0] == 1
+        if not fine.all():
+            odd = set(np.flatnonzero(~fine).tolist())
+            for i, text in enumerate(texts):
+                if not odd.isdisjoint(own[i]):
+                    # a stretch alone isn't given back: only the whole text counts
+                    if " " + text not in self.number:
+                        self.learn([" " + text])
+                    k = self.number[" " + text]
+                    own[i] = [k] if self.totals[k, 0] else []
+        offsets = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(own), dtype=np.int64, count=int(offsets[-1])), offsets
+
+
+#: Behind one of these no stretch begins: white space, or what some libraries take for it.
+_OPEN = r"\s\u180e\u200b-\u200d\u2060\ufeff"
+_ODD = re.compile(rf"^ |[{_OPEN}] | $")
+_STRETCH = re.compile(rf"(?<=[^{_OPEN}])(?= +[^ ])")
+
+
+def stretches(text: str) -> list[str]:
+    """The stretches of a text behind one space; each begins with a space. Spaces that end the text belong to the last one."""
+    if _ODD.search(text) is None:
+        return list(map(" ".__add__, text.split(" ")))
+    return _STRETCH.split(" " + text)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -163,42 +152,38 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 _ALIGNED = "uid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<struct<a:int,b:int,n:int>>"
 
 
-def _ragged(values: list[list[int]], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the chosen lists in one array, and the number of each."""
-    chosen = [values[i] for i in which.tolist()]
-    sizes = np.fromiter(map(len, chosen), dtype=np.int64, count=len(chosen))
-    return np.fromiter((x for c in chosen for x in c), dtype=np.int64, count=int(sizes.sum())), sizes
-
-
-def _pairs_of(own: list[list[int]], al: Aligner) -> pa.Array:
+def _pairs_of(numbers: np.ndarray, offsets: np.ndarray, al: Aligner) -> pa.Array:
     """The distinct pairs of each text and how often each is linked there."""
-    docs = np.repeat(np.arange(len(own)), [len(o) for o in own])
-    keys, counts = np.unique(docs << 32 | np.fromiter((s for o in own for s in o), dtype=np.int64, count=len(docs)), return_counts=True)
-    pairs, sizes = _ragged(al.pairs, keys & 0xFFFFFFFF)
+    n = len(offsets) - 1
+    docs = np.repeat(np.arange(n), np.diff(offsets))
+    keys, counts = np.unique(docs << 32 | numbers, return_counts=True)
+    which = keys & 0xFFFFFFFF
+    pairs, sizes = np.frombuffer(b"".join(map(al.pairs.__getitem__, which.tolist())), dtype=np.int64), al.totals[which, 4]
     doc, times = np.repeat(keys >> 32, sizes), np.repeat(counts, sizes)
-    order = np.lexsort((pairs, doc))
+    order = np.argsort(doc << 40 | pairs, kind="stable")  # a pair has 40 bits
     doc, pairs, times = doc[order], pairs[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pairs[1:] != pairs[:-1])])) if len(doc) else np.empty(0, np.int64)
     sums = np.add.reduceat(times, first) if len(first) else np.empty(0, np.int64)
     doc, pairs = doc[first], pairs[first]
-    offsets = np.searchsorted(doc, np.arange(len(own) + 1))
     flat = pa.StructArray.from_arrays([pa.array(pairs >> 20, pa.int32()), pa.array(pairs & 0xFFFFF, pa.int32()), pa.array(sums, pa.int32())], names=["a", "b", "n"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), flat)
 
 
 def _align(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = aligner(a_path, b_path)
         for whole in batches:
-            sizes = np.asarray(whole.column("text").cast(pa.large_string()).fill_null("").to_numpy(zero_copy_only=False).astype(object))
-            part, at = np.cumsum([len(t) for t in sizes]) // SLICE, 0
+            texts = whole.column("text").to_pylist()
+            part, at = np.cumsum([len(t or "") for t in texts]) // SLICE, 0
             for cut in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]:
                 if cut <= at:
                     continue
-                own = al.aligned(list(sizes[at:cut]))
-                totals = [[sum(map(v.__getitem__, o)) for o in own] for v in (al.n_a, al.n_b, al.n_groups, al.n_links)]
-                groups = [";".join(map(al.groups.__getitem__, o)) for o in own]
-                cols = [whole.column("uid").slice(at, cut - at), whole.column("doc_id").slice(at, cut - at), *[pa.array(t, pa.int64()) for t in totals], pa.array(groups, pa.string()), _pairs_of(own, al)]
+                numbers, offsets = al.aligned(texts[at:cut])
+                sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(al.totals[numbers], axis=0)])
+                totals = sums[offsets[1:]] - sums[offsets[:-1]]
+                names = list(map(al.groups.__getitem__, numbers.tolist()))
+                groups = [";".join(names[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                cols = [whole.column("uid").slice(at, cut - at), whole.column("doc_id").slice(at, cut - at), *[pa.array(totals[:, k]) for k in range(1, 5)], pa.array(groups, pa.string()), _pairs_of(numbers, offsets, al)]
                 yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
                 at = cut
 
