@@ -7,6 +7,7 @@ import hashlib
 import hmac
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,22 +15,16 @@ from pyspark.sql import types as T
 from strataspan.functions import columns as cx
 from strataspan.functions import text as tx
 from strataspan.operators import anchors as anchors_
-from strataspan.operators import bm25f, context, exact, feedback, hints, lexical, lifecycle, protection, ranking, segments, session, simhash
+from strataspan.operators import bm25f, context, exact, feedback, hints, lexical, lifecycle, protection, ranking, segments, session, simhash, stored
 from strataspan.sources.tables import TableStore
 
 
-def _windowed(docs: DataFrame) -> DataFrame:
-    """Windows of stemmed and weighted tokens of documents that keep within the limits of the index."""
-    tokens = bm25f.field_tokens(docs).join(docs.select("document_id", "version", "project", "created_at"), ["document_id", "version"])
-    wins = bm25f.windows(tokens)
-    return wins.join(bm25f.index_status(wins).where("status = 'complete'").select("document_id", "version"), ["document_id", "version"], "left_semi")
-
-
-#: Index handlers that admission runs by default: name and DataFrame transform.
+#: Index handlers that admission runs by default, besides the lexical index: name and DataFrame transform.
 HANDLERS = {
-    "chunks": segments.physical_chunks, "windows": segments.byte_windows, "signatures": lambda docs: simhash.signatures(docs, "version"),
-    "postings": lambda docs: bm25f.postings(_windowed(docs)), "lengths": lambda docs: bm25f.lengths(_windowed(docs)), "anchors": lambda docs: exact.postings(anchors_.extracted(docs)),
+    "chunks": segments.physical_chunks, "windows": segments.byte_windows, "signatures": lambda docs: simhash.signatures(docs, "version"), "anchors": lambda docs: exact.postings(anchors_.extracted(docs)),
 }
+#: Attempts to write what another writer's commits have overtaken.
+ATTEMPTS = 16
 
 
 class LocatorError(ValueError):
@@ -73,17 +68,25 @@ class Engine:
         return docs.select(*[F.col(f.name).cast(f.dataType) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], *(["version"] if "version" in docs.columns else []))
 
     def _appended(self, name: str, rows: DataFrame) -> int:
-        generation = self.store.published() + 1
+        generation = self.store.claim()
         self.store.append(name, rows, generation)
-        self.store.publish(generation)
+        self.store.commit(generation)
         return generation
 
     def admit(self, docs: DataFrame, handlers: dict | None = None) -> int:
         """Appends documents whose content isn't the newest one of their id, as the next versions, builds their index tables and publishes the generation.
 
-        Several contents of one id in a batch become versions in order of source time, then of content. Output of the archive's own tools is stored, but not indexed.
+        Several contents of one id in a batch become versions in order of source time, then of content. Output of the archive's own tools is stored, but not indexed. If another writer commits documents or
+        retirements meanwhile, the work is done again on what is there then, so no two writers give one version number and statistics count each version once.
         """
-        generation = self.store.published() + 1
+        for _ in range(ATTEMPTS):
+            since, generation = self.store.last_commit(), self.store.claim()
+            self._admit(docs, handlers, generation)
+            if self.store.commit(generation, lambda since=since: not self.store.touched(("documents", "retired"), since)):
+                return generation
+        raise RuntimeError(f"other writers were first {ATTEMPTS} times")
+
+    def _admit(self, docs: DataFrame, handlers: dict | None, generation: int) -> None:
         fresh = self._whole(docs.drop("version")).withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["document_id", "content_hash"])
         old = self._optional("documents")
         if old is not None:
@@ -94,31 +97,72 @@ class Engine:
         order = Window.partitionBy("document_id").orderBy("created_at", "content_hash")
         fresh = fresh.withColumn("version", (F.col("base") + F.row_number().over(order)).cast("int")).drop("base")
         self.store.append("documents", fresh, generation)
-        written = self.spark.read.parquet(f"{self.store.path}/documents/generation={generation}")
+        written = self._written("documents", generation)
         visible = written.where(~cx.echo_of(F.col("kind"), F.col("tool"), self.own_tools)) if self.own_tools else written
         for name, build in (HANDLERS if handlers is None else handlers).items():
             self.store.append(name, build(visible), generation)
-        explicit = written.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("document_id"), "project", "created_at", F.col("document_id").alias("by"))
-        if old is not None and not explicit.isEmpty():
-            known = lifecycle.newest_versions(old).select("document_id", "version", F.col("project").alias("_p"), F.col("created_at").alias("_t"))
-            gone = explicit.join(known, "document_id").where("project = _p AND created_at > _t AND by != document_id")
-            self.store.append("retired", gone.select("document_id", "version", F.lit("superseded").alias("status")), generation)
-        self.store.publish(generation)
-        return generation
-
-    def commit(self, name: str, records: DataFrame, request_id: str, must_be_absent: DataFrame | None = None, keys: tuple[str, ...] = ("document_id",)) -> str:
-        """Appends records to a table as one generation: committed, or duplicate if this request was committed before, or conflict if a key that must be absent is there."""
-        done = self._optional("requests")
-        if done is not None and not done.where(F.col("request_id") == request_id).isEmpty():
-            return "duplicate"
-        there = self._optional(name)
-        if must_be_absent is not None and there is not None and not there.join(must_be_absent.select(*keys).distinct(), list(keys), "left_semi").isEmpty():
-            return "conflict"
-        generation = self.store.published() + 1
-        self.store.append(name, records, generation)
-        self.store.append("requests", self.spark.range(1).select(F.lit(request_id).alias("request_id")), generation)
-        self.store.publish(generation)
-        return "committed"
+        gone = []
+        if old is not None:
+            known = self.documents().select("document_id", "version", F.col("project").alias("_p"), F.col("created_at").alias("_t"))
+            gone.append(known.join(written.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "version"))
+            explicit = written.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("document_id"), "project", "created_at", F.col("document_id").alias("by"))
+            if not explicit.isEmpty():
+                named = explicit.join(known, "document_id").where("project = _p AND created_at > _t AND by != document_id").select("document_id", "version").distinct()
+                self.store.append("retired", named.withColumn("status", F.lit("superseded")), generation)
+                gone.append(named)
+        if handlers is None:
+            self._index_terms(visible, written, gone, generation)
+
+    def _written(self, name: str, generation: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store.path}/{name}/generation={generation}")
+
+    def _index_terms(self, visible: DataFrame, written: DataFrame, gone: list[DataFrame], generation: int) -> None:
+        """Forward rows, and from these postings, blocks and the statistics' deltas: of the newest versions written, and of those that they replace."""
+        self.store.append("forward", stored.forward(visible), generation, order=("document_id", "version"))
+        fwd = self._written("forward", generation)
+        self.store.append("postings", stored.postings(fwd), generation, **stored.LAYOUT)
+        self.store.append("blocks", stored.blocks(self._written("postings", generation)), generation, order=("bucket", "term"))
+        newest = written.groupBy("document_id").agg(F.max("version").alias("version"))
+        added = fwd.join(newest, ["document_id", "version"], "left_semi")
+        self._count(added, gone, generation)
+
+    def _count(self, added: DataFrame | None, gone: list[DataFrame], generation: int) -> None:
+        """Appends the statistics' deltas of forward rows that are added and of versions (document_id, version) that were live and are so no longer."""
+        signed = [] if added is None else [(added, 1)]
+        if gone and self.store.has("forward"):
+            lost = gone[0]
+            for more in gone[1:]:
+                lost = lost.unionByName(more)
+            signed.append((self.store.read("forward").join(lost.distinct(), ["document_id", "version"], "left_semi"), -1))
+        if signed:
+            for name, build, keys in (("term_stats", stored.term_deltas, ("bucket", "term")), ("corpus_stats", stored.corpus_deltas, ())):
+                parts = [build(rows, sign) for rows, sign in signed]
+                self.store.append(name, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), generation, order=keys)
+
+    def commit(self, name: str, records: DataFrame, request_id: str, must_be_absent: DataFrame | None = None, keys: tuple[str, ...] = ("document_id",), must_match: DataFrame | None = None) -> str:
+        """Appends records to a table as one generation: committed, or duplicate if this request was committed before, or conflict if a key that must be absent is there or a row that must match
+        isn't. Whatever another writer commits before is seen: the conditions hold at the commit itself."""
+        said = []
+
+        def allowed() -> bool:
+            said[:] = ["committed"]
+            done, there = self._optional("requests"), self._optional(name)
+            if done is not None and not done.where(F.col("request_id") == request_id).isEmpty():
+                said[:] = ["duplicate"]
+            elif must_be_absent is not None and there is not None and not there.join(must_be_absent.select(*keys).distinct(), list(keys), "left_semi").isEmpty():
+                said[:] = ["conflict"]
+            elif must_match is not None:
+                none = must_match if there is None else must_match.exceptAll(there.select(*must_match.columns).distinct())
+                if not none.isEmpty():
+                    said[:] = ["conflict"]
+            return said[0] == "committed"
+
+        if allowed():
+            generation = self.store.claim()
+            self.store.append(name, records, generation)
+            self.store.append("requests", self.spark.range(1).select(F.lit(request_id).alias("request_id")), generation)
+            self.store.commit(generation, allowed)
+        return said[0]
 
     def checkpoint(self, path: str) -> list[str]:
         """Copies every table, as published, to another folder; returns their names."""
@@ -151,8 +195,15 @@ class Engine:
         return docs if not without else docs.where(~F.col("document_id").isin(without))
 
     def retire(self, documents: DataFrame, status: str) -> int:
-        """Appends tombstones for (document_id, version): superseded, expired or deleted."""
-        return self._appended("retired", documents.select("document_id", "version", F.lit(status).alias("status")))
+        """Appends tombstones for (document_id, version): superseded, expired or deleted. What was live leaves the statistics of the lexical index."""
+        for _ in range(ATTEMPTS):
+            since, generation = self.store.last_commit(), self.store.claim()
+            self.store.append("retired", documents.select("document_id", "version", F.lit(status).alias("status")), generation)
+            lost = self.documents().select("document_id", "version").join(self._written("retired", generation).select("document_id", "version").distinct(), ["document_id", "version"], "left_semi")
+            self._count(None, [lost], generation)
+            if self.store.commit(generation, lambda since=since: not self.store.touched(("documents", "retired"), since)):
+                return generation
+        raise RuntimeError(f"other writers were first {ATTEMPTS} times")
 
     def status(self, asked: DataFrame) -> DataFrame:
         """(document_id, version, status) of asked versions: resolved, superseded (also by a newer version), expired, deleted or missing."""
@@ -183,29 +234,50 @@ class Engine:
         return self.spark.createDataFrame(rows.collect(), rows.schema)
 
     def candidates(self, query: str, project: str | None = None, limit: int = 10, sessions: list[str] | None = None, without: list[int] | None = None) -> DataFrame:
-        """(id, mode, norm, version, coverage, max_idf, margin) of the stored indexes: exact anchors first; without any, stemmed BM25F. Only live documents in scope take part."""
+        """(id, mode, norm, version, coverage, max_idf, margin, match_start, match_end) of the stored indexes: those with the query's exact anchors, and the best by stemmed BM25F; a document may be found by
+        both. Only live documents in scope take part. The bytes of the first match come from the postings."""
         docs = self._scoped(self.documents(), project, sessions, without).select("document_id", "version")
-        plan = exact.plan(self.spark, [(0, query)])
-        wanted = F.pmod(F.xxhash64("folded"), F.lit(bm25f.BUCKETS)).cast("int")
+        plan, found = exact.plan(self.spark, [(0, query)]), None
         if not plan.isEmpty():
-            buckets = [r[0] for r in plan.select(wanted).distinct().collect()]  # at most 32 anchors
+            buckets = [r[0] for r in plan.select(bm25f.bucket(F.col("folded"))).distinct().collect()]  # at most 32 anchors
             post = self.store.read("anchors").where(F.col("bucket").isin(buckets)).join(docs, ["document_id", "version"], "left_semi")
-            hits = exact.lookup(post, plan, k=limit)
-            if not hits.isEmpty():
-                return hits.select(F.col("document_id").alias("id"), F.lit("exact").alias("mode"), F.col("score").alias("norm"), "version", "coverage", F.lit(1.0).alias("max_idf"), F.lit(1.0).alias("margin"))
-        terms = tx.query_terms(query)
-        asked = self.spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")
-        post = self.store.read("postings").where(F.col("bucket").isin([r[0] for r in asked.select(bm25f.bucket(F.col("term"))).distinct().collect()] or [-1]))
-        lens = self.store.read("lengths")
-        if project is not None:
-            post, lens = post.where(F.col("project") == project), lens.where(F.col("project") == project)
-        hidden = self.store.read("documents").select("document_id", "version").join(docs, ["document_id", "version"], "left_anti")
-        best = bm25f.search(post, lens, asked, limit, hidden)
+            first = post.join(F.broadcast(plan.select("folded").distinct()), "folded").groupBy("document_id", "version").agg(F.min(F.struct("start_byte", F.octet_length("normalized").alias("n"))).alias("p"))
+            hits = exact.lookup(post, plan, k=limit).join(first, ["document_id", "version"])
+            found = hits.select(F.col("document_id").alias("id"), F.lit("exact").alias("mode"), F.col("score").alias("norm"), "version", "coverage", F.lit(1.0).alias("max_idf"), F.lit(1.0).alias("margin"), F.col("p.start_byte").cast("long").alias("match_start"), (F.col("p.start_byte") + F.col("p.n")).cast("long").alias("match_end"))
+        asked = self.spark.createDataFrame([(0, t) for t in tx.query_terms(query)], "query_id int, term string")
+        best = self._lexical(asked, project, docs, limit)
         order = best.orderBy(F.desc("score"), "document_id").limit(limit)
-        return order.select(F.col("document_id").alias("id"), F.lit("lexical").alias("mode"), F.col("normalized").alias("norm"), "version", "coverage", "max_idf", "margin")
+        words = order.select(F.col("document_id").alias("id"), F.lit("lexical").alias("mode"), F.col("normalized").alias("norm"), "version", "coverage", "max_idf", "margin", F.col("match_start").cast("long"), F.col("match_end").cast("long"))
+        return words if found is None else found.unionByName(words)
 
-    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None, sessions: list[str] | None = None, without: list[int] | None = None, working_set: list[str] | None = None, context_terms: list[str] | None = None, expand: bool = False) -> DataFrame:
-        """(document_id, version, score, mode, ranking_score, rank): the pool of candidates, with expansion of weak results, decay, importance and bounded boosts, fused and cut to the limit.
+    def _lexical(self, asked: DataFrame, project: str | None, docs: DataFrame, limit: int) -> DataFrame:
+        """stored.search() of terms (query_id, term), from the folders of their buckets only."""
+        buckets = [r[0] for r in asked.select(bm25f.bucket(F.col("term"))).distinct().collect()] or [-1]  # BUCKETS at most
+        tables = [self.store.read(n).where(F.col("bucket").isin(buckets)) for n in ("postings", "blocks", "term_stats")] + [self.store.read("corpus_stats")]
+        if project is not None:
+            tables = [t.where(F.col("project") == project) for t in tables]
+        return stored.search(*tables, asked, limit, docs)
+
+    def snippets(self, rows: DataFrame, most: int = 280) -> DataFrame:
+        """(document_id, version, snippet) of a page of rows (document_id, version, match_start, match_end): up to most characters with the match in brackets. Only the chunks around it are read."""
+        page = self._page(rows.select("document_id", "version", "match_start", "match_end").where("match_start IS NOT NULL"))
+        ids = [r["document_id"] for r in page.select("document_id").distinct().collect()]
+        left = page.select("document_id", "version", F.greatest(F.lit(0), F.col("match_start") - 3 * most).alias("start"), F.col("match_start").alias("end"))
+        right = page.select("document_id", "version", F.col("match_start").alias("start"), (F.col("match_end") + 3 * most).alias("end"))
+        chunks = self.store.read("chunks").where(F.col("document_id").isin(ids))
+        got = segments.read_range(chunks, left.unionByName(right).where("start < end").distinct())
+        before = got.select("document_id", "version", F.col("end").alias("match_start"), F.col("content").alias("before"))
+        behind = got.select("document_id", "version", F.col("start").alias("match_start"), F.col("content").alias("behind"))
+        met = page.join(before, ["document_id", "version", "match_start"], "left").join(behind, ["document_id", "version", "match_start"])
+
+        @F.pandas_udf("string")
+        def shown(before: pd.Series, behind: pd.Series, size: pd.Series) -> pd.Series:
+            return pd.Series([tx.excerpt((a or "") + b, len(a or ""), len(a or "") + len(b.encode()[:n].decode("utf-8", "ignore")), most) for a, b, n in zip(before, behind, size, strict=True)])
+
+        return met.select("document_id", "version", shown("before", "behind", F.col("match_end") - F.col("match_start")).alias("snippet"))
+
+    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None, sessions: list[str] | None = None, without: list[int] | None = None, working_set: list[str] | None = None, context_terms: list[str] | None = None, expand: bool = False, snippet_chars: int = 280) -> DataFrame:
+        """(document_id, version, score, mode, ranking_score, rank, match_start, match_end, snippet): the pool of candidates of all modes, with expansion of weak results, decay, importance and bounded boosts, fused and cut to the limit.
 
         score is what the mode says, decayed by age if now is given; ranking_score is the fused one after all boosts, by which rows are ordered.
         """
@@ -233,17 +305,22 @@ class Engine:
             entries = self.spark.createDataFrame([(0, k, v) for k, v in tx.working_set(working_set)], "query_id int, type string, normalized string")
             boost = context.boosted(boost, exact.working_set_matches(self._live(self.store.read("anchors")), entries).select("query_id", "id"), context.WORKING_SET_BOOST)
         tiers = ranking.tiered(boost.where("mode = 'exact'").select("query_id", "id", F.col("norm").alias("score")), boost.limit(0).select("query_id", "id", F.col("norm").alias("score")), boost.where("mode != 'exact'").select("query_id", "mode", "id", "norm"), limit)
-        shown = met.groupBy("id").agg(F.max(F.struct("norm", "mode", "version")).alias("b"))
-        out = tiers.join(shown, "id").select(F.col("id").alias("document_id"), "b.version", F.col("b.norm").alias("score"), "b.mode", F.col("fusion_score").alias("ranking_score"), "rank")
+        shown = met.groupBy("id").agg(F.max(F.struct((F.col("mode") == "exact").alias("exact"), "norm", "mode", "version", "match_start", "match_end")).alias("b"))
+        out = tiers.join(shown, "id").select(F.col("id").alias("document_id"), "b.version", F.col("b.norm").alias("score"), "b.mode", F.col("fusion_score").alias("ranking_score"), "rank", "b.match_start", "b.match_end")
+        if snippet_chars:
+            page = self._page(out)
+            out = page.join(self.snippets(page, snippet_chars), ["document_id", "version"], "left")
         return out.orderBy("rank")
 
     def expansion(self, query: str, pool: DataFrame, project: str | None = None, feedback_docs: int = 3, most: int = 8) -> list[str]:
         """The rarest terms of the best documents that the query doesn't have."""
         top = pool.orderBy(F.desc("norm"), "id").limit(feedback_docs).select(F.col("id").alias("document_id"), "version")
-        post = self.store.read("postings")
-        post = post if project is None else post.where(F.col("project") == project)
-        own = post.join(F.broadcast(top), ["document_id", "version"], "left_semi").select("term").distinct().where(~F.col("term").isin(tx.query_terms(query) or [""]) & (F.length("term") > 3))
-        df = post.join(F.broadcast(own), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        ids = [r[0] for r in top.select("document_id").collect()]  # feedback_docs at most
+        own = self.store.read("forward").where(F.col("document_id").isin(ids)).join(F.broadcast(top), ["document_id", "version"], "left_semi")
+        terms = own.select(F.explode("terms.term").alias("term")).distinct().where(~F.col("term").isin(tx.query_terms(query) or [""]) & (F.length("term") > 3))
+        stats = self.store.read("term_stats")
+        stats = stats if project is None else stats.where(F.col("project") == project)
+        df = stats.join(terms, "term").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         return [r["term"] for r in df.orderBy("df", "term").limit(most).collect()]
 
     def gather(self, query: str, intent: str = "auto", before: int | None = None, after: int | None = None, anchors: int = 5, most: int = 24, max_tokens: int | None = None, **options) -> DataFrame:
@@ -251,7 +328,7 @@ class Engine:
         a, b = PRESETS[intent]
         before, after = a if before is None else before, b if after is None else after
         docs = self.documents()
-        best = self._page(self.search(query, limit=anchors, **options).select(F.col("document_id").alias("anchor_id"), F.col("rank").alias("anchor_rank")))
+        best = self._page(self.search(query, limit=anchors, snippet_chars=0, **options).select(F.col("document_id").alias("anchor_id"), F.col("rank").alias("anchor_rank")))
         near = lifecycle.neighbours(docs, best.select(F.col("anchor_id").alias("document_id")), before, after).join(best, "anchor_id")
         relation = F.when(F.col("distance") == 0, "anchor").when(F.col("distance") > 0, "after").otherwise("before")
         placed = near.withColumn("relation", relation).withColumn("priority", cx.gather_priority(relation, F.col("anchor_rank"), F.abs("distance"), intent == "workflow"))
@@ -374,6 +451,28 @@ class Engine:
         kept = self.store.read("documents").select("document_id", "version").join(gone, ["document_id", "version"], "left_anti")
         return protection.unreferenced_chunks(self.store.read("chunks"), kept)
 
+    def reclaim(self) -> int:
+        """Rewrites the index without what no reader can ask for any more, and removes the old files; returns the bytes that this frees, 0 if another writer committed meanwhile.
+
+        Texts, chunks, windows, signatures and anchors of expired and deleted versions go, and forward rows and postings of all versions that aren't live; statistics are folded. Nobody may be reading the old
+        generations, so this is for times without searches.
+        """
+        since, generation = self.store.last_commit(), self.store.claim()
+        hidden = self.retired().where("status IN ('expired', 'deleted')").select("document_id", "version").distinct()
+        key = ["document_id", "version"]
+        live = self.documents().select(*key)
+        changes = {n: lambda t: t.join(hidden, key, "left_anti") for n in ("chunks", "windows", "signatures", "anchors")} | {n: lambda t: t.join(live, key, "left_semi") for n in ("forward", "postings")}
+        changes |= {"term_stats": stored.folded_terms, "corpus_stats": stored.folded_corpus, "blocks": lambda _: stored.blocks(self._written("postings", generation))}
+        changes["documents"] = lambda t: t.join(hidden.withColumn("_gone", F.lit(True)), key, "left").withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in ("text", "messages", "content_hash")}).drop("_gone")
+        layout = {"postings": stored.LAYOUT, "blocks": {"order": ("bucket", "term")}, "term_stats": {"order": ("bucket", "term")}, "forward": {"order": tuple(key)}}
+        replaces = {n: self.store.compact(n, change, generation, **layout.get(n, {})) for n, change in changes.items() if self.store.has(n)}
+        if not self.store.commit(generation, lambda: not self.store.touched((*changes, "retired"), since), replaces):
+            for n in replaces:
+                self.store.delete(n, [generation])
+            return 0
+        made = sum(self.store.bytes(n, [generation]) for n in replaces)
+        return sum(self.store.delete(n, old) for n, old in replaces.items()) - made
+
     def resolve_subject(self, project: str, subject_key: str) -> DataFrame:
         return lifecycle.live_subjects(self.documents()).where((F.col("project") == project) & (F.col("subject_key") == subject_key))
 
@@ -402,11 +501,11 @@ class Engine:
         texts = self.documents().select("document_id", "version", "kind", "created_at", F.substring("text", 1, 280).alias("excerpt"))
         made = hints.decided(fresh, judged.join(texts, ["document_id", "version"], "left"), budget_tokens)
         out = fresh.select("session_id", "message_id", "message_hash").join(made, "message_id").withColumn("at_ms", F.lit(now)).select(*stored.columns)
-        generation = self.store.published() + 1
+        generation = self.store.claim()
         self.store.append("hints", out, generation)
         done = self.spark.read.parquet(f"{self.store.path}/hints/generation={generation}")
         self.store.append("exposures", done.where("document_id IS NOT NULL").select(F.col("session_id").alias("lineage"), "document_id", F.col("at_ms").alias("shown_ms")), generation)
-        self.store.publish(generation)
+        self.store.commit(generation)
         return done
 
     def statistics(self) -> DataFrame:

@@ -142,8 +142,9 @@ def test_engine_search(spark, store):
     found = [r["document_id"] for r in e.search("running fox topic1", project="p").collect()]
     assert found[0] in (4, 7) and 1 not in found  # the old version of 1 had these words
     exact = e.search("where is src/app/Main.java").collect()
-    assert [(r["document_id"], r["mode"]) for r in exact] == [(20, "exact")]  # an exact match, so the folded one isn't asked
-    assert [r["id"] for r in e.candidates("SRC/APP/MAIN.JAVA").orderBy(F.desc("norm"), "id").collect()] == [20, 21]
+    assert [(r["document_id"], r["mode"]) for r in exact] == [(20, "exact"), (21, "lexical")]  # an exact match, so the folded one isn't asked
+    assert exact[0]["snippet"] == "see [src/app/Main.java] for fooBar and IoError" and (exact[0]["match_start"], exact[0]["match_end"]) == (4, 21)
+    assert [r["id"] for r in e.candidates("SRC/APP/MAIN.JAVA").where("mode = 'exact'").orderBy(F.desc("norm"), "id").collect()] == [20, 21]
     assert e.candidates("topic0", project="p", without=[0, 3, 6]).where("id IN (0, 3, 6)").isEmpty()
     now = e.search("foxes topic0", project="p", now=21 * ranking.DAY_MS, working_set=["fooBar"], context_terms=["foxes"])
     assert now.count() > 0 and now.agg(F.max("score")).first()[0] <= 1
