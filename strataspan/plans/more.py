@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspan.functions import columns as cx
 from strataspan.functions import text as tx
-from strataspan.operators import anchors, bm25f, evaluation, exact, feedback, hints, lifecycle, protection, ranking, segments, semantic, session, structure
+from strataspan.operators import anchors, bm25f, evaluation, exact, feedback, hints, lifecycle, protection, ranking, segments, semantic, session, stored, structure
 from strataspan.plans.catalogue import _CLASS, _EV, _KEPT, _NOW, _SCORES, QUERIES, query  # noqa: F401
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOP_WORDS))
@@ -24,7 +24,7 @@ def _index(t):
     return bm25f.postings(wins), bm25f.lengths(wins)
 
 
-@query(f"""WITH {_EV}, {_WINS}, {_ASK20}, st AS (SELECT project, count(*) AS n, avg(wlen) AS av FROM ln GROUP BY 1),
+_TOP10 = f"""st AS (SELECT project, count(*) AS n, avg(wlen) AS av FROM ln GROUP BY 1),
 po AS (SELECT project, document_id, created_at, ordinal, wlen, term, count(*) AS tf, sum(w) AS wtf FROM (SELECT project, document_id, created_at, ordinal, wlen, w, unnest(part) AS term FROM ln) WHERE term IN (SELECT term FROM ask) GROUP BY ALL),
 df AS (SELECT project, term, count(*) AS df FROM po GROUP BY ALL), qn AS (SELECT query_id, count(*) AS n_terms FROM ask GROUP BY 1),
 pt AS (SELECT query_id, project, document_id, created_at, ordinal, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, ln(1 + (n - 0.5::DOUBLE) / 1.5::DOUBLE) AS top,
@@ -32,13 +32,38 @@ pt AS (SELECT query_id, project, document_id, created_at, ordinal, term, ln(1 +
 wi AS (SELECT query_id, project, document_id, created_at, ordinal, round(sum(idf * f ORDER BY term), 6) AS score, count(*) AS matched, round(max(idf / top), 6) AS max_idf FROM pt GROUP BY ALL),
 be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, project, document_id ORDER BY score DESC, matched DESC, ordinal) AS k FROM wi) WHERE k = 1),
 rk AS (SELECT *, row_number() OVER w AS rank, round(score - lead(score, 1, 0.0) OVER w, 6) AS margin FROM be WINDOW w AS (PARTITION BY query_id, project ORDER BY score DESC, matched DESC, created_at DESC, document_id))
-SELECT query_id, project, CAST(rank AS INTEGER) AS rank, document_id, ordinal, score, round(matched / n_terms, 6) AS coverage, max_idf, round(score / (score + 1), 6) AS normalized, margin FROM rk JOIN qn USING (query_id) WHERE rank <= 10""")
+SELECT query_id, project, CAST(rank AS INTEGER) AS rank, document_id, ordinal, score, round(matched / n_terms, 6) AS coverage, max_idf, round(score / (score + 1), 6) AS normalized, margin FROM rk JOIN qn USING (query_id) WHERE rank <= 10"""
+_LEFT = _WINS.replace("FROM ev)", "FROM ev WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))", 1)
+
+
+@query(f"WITH {_EV}, {_WINS}, {_ASK20}, {_TOP10}")
 def bm25f_topk(t):
     """BM25F over windows of weighted fields, the best window of a document; the statistics are those of each project's windows."""
     post, lens = _index(t)
     return bm25f.search(post, lens, bm25f.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))).drop("version")
 
 
+@query(f"WITH {_EV}, {_LEFT}, {_ASK20}, {_TOP10}")
+def search_after_delete(t):
+    """The stored index after the documents of low quality were deleted: postings and block bounds are of all documents, statistics are carried on by signed deltas; scores are those of an index
+    that never had what is gone."""
+    post, lens = _index(t)
+    post = post.withColumns({"level": stored.level(F.col("wtf"), F.col("wlen")), "gaps": F.lit(None).cast("array<int>")})
+    gone = t.labels.where("quality = 0").select(F.col("doc_id").alias("document_id"))
+
+    def terms(rows, sign):
+        return rows.groupBy("bucket", "project", "term").agg((F.lit(sign) * F.count(F.lit(1))).alias("df"))
+
+    def sums(rows, sign):
+        return rows.groupBy("project").agg((F.lit(sign) * F.count(F.lit(1))).alias("n"), (F.lit(sign) * F.sum("wlen")).alias("total"))
+
+    df = terms(post, 1).unionByName(terms(post.join(gone, "document_id", "left_semi"), -1))
+    corpus = sums(lens, 1).unionByName(sums(lens.join(gone, "document_id", "left_semi"), -1))
+    live = t.evidence().select("document_id", "version").join(gone, "document_id", "left_anti")
+    asked = bm25f.query_terms(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    return stored.search(post, stored.blocks(post), df, corpus, asked, live=live).drop("version", "match_start", "match_end")
+
+
 @query(f"WITH {_EV}, {_WINS} SELECT project, document_id, ordinal, term, count(*) AS tf, sum(w) AS wtf FROM (SELECT project, document_id, ordinal, w, unnest(part) AS term FROM ln) GROUP BY ALL")
 def bm25f_postings(t):
     return _index(t)[0].select("project", "document_id", "ordinal", "term", "tf", "wtf")
