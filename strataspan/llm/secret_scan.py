@@ -2,8 +2,8 @@
 
 The network is a small numpy model (one convolution over character classes, maximum and mean pooling, a logistic output). It is trained on labelled findings
 from a bounded sample of the documents themselves: their candidates, which the fixed patterns label, and made-up credentials and other long tokens that are
-planted in their texts. Its scores are calibrated on documents held out, and each shape of candidate has the highest threshold that keeps the required
-recall there. Candidates are read whole, long ones by overlapping windows. Spans of the patterns are always reported; the network adds spans of kind model that
+planted in their texts. Its scores are calibrated on documents held out, and each shape of candidate has a threshold that keeps the required
+recall there, or a lower one that few other tokens reach. Candidates are read whole, long ones by overlapping windows. Spans of the patterns are always reported; the network adds spans of kind model that
 overlap none of them.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans; documents without an id are scanned but not sampled. Texts are scanned
@@ -33,8 +33,11 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 #: Characters around a candidate; a longer candidate is read by overlapping windows of so many characters over all of it.
 CONTEXT, WINDOW, WIDTH, FILTERS = 20, 48, 5, 16
 #: Documents that findings are drawn from, and findings that the network is fitted on, at most.
-SAMPLE_DOCS, SAMPLE_FINDINGS = 8_000, 5_000
-RECALL = 0.95
+SAMPLE_DOCS, SAMPLE_FINDINGS = 8_000, 8_000
+#: Windows that are scored together; characters of the texts that are scanned together, about.
+SCORED, PART_CHARS = 256, 1_000_000
+#: Share of held-out credentials that each threshold keeps at least; of other tokens that may reach it, if that needn't cost credentials.
+RECALL, FALSE = 0.97, 0.005
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -118,10 +121,17 @@ class CharNet:
         cols = self._windows(x)
         h = np.maximum(cols @ self.p["k"] + self.p["kb"], 0)
         top = h.argmax(axis=1)
-        pooled = np.concatenate([np.take_along_axis(h, top[:, None, :], 1)[:, 0], h.mean(axis=1)], axis=1)
-        return cols, h, top, pooled, pooled @ self.p["w"] + self.p["b"]
+        share = self._share(x)
+        pooled = np.concatenate([np.take_along_axis(h, top[:, None, :], 1)[:, 0], (h * share).sum(axis=1)], axis=1)
+        return cols, h, top, share, pooled, pooled @ self.p["w"] + self.p["b"]
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 4e-3, seed: int = 5) -> None:
+    @staticmethod
+    def _share(x: np.ndarray) -> np.ndarray:
+        """Weights of the mean over the places of the window itself, without its context."""
+        own = x[:, WIDTH // 2 : x.shape[1] - WIDTH // 2, 12:13]
+        return own / np.maximum(own.sum(axis=1, keepdims=True), 1)
+
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 14, rate: float = 4e-3, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(p) for k, p in self.p.items()}
@@ -130,10 +140,10 @@ class CharNet:
             order = rng.permutation(len(y))
             for i in range(0, len(y), 64):
                 at = order[i : i + 64]
-                cols, h, top, pooled, z = self._forward(x[at])
+                cols, h, top, share, pooled, z = self._forward(x[at])
                 dz = ((1 / (1 + np.exp(-z)) - y[at]) / len(at)).astype(np.float32)
                 dp = dz[:, None] * self.p["w"]
-                dh = np.repeat(dp[:, None, FILTERS:] / h.shape[1], h.shape[1], axis=1)
+                dh = dp[:, None, FILTERS:] * share
                 np.put_along_axis(dh, top[:, None, :], np.take_along_axis(dh, top[:, None, :], 1) + dp[:, None, :FILTERS], 1)
                 dh *= h > 0
                 grad = {"k": cols.reshape(-1, cols.shape[2]).T @ dh.reshape(-1, FILTERS), "kb": dh.sum(axis=(0, 1)), "w": pooled.T @ dz, "b": np.array([dz.sum()])}
@@ -144,7 +154,8 @@ class CharNet:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, shapes: np.ndarray, recall: float) -> None:
-        """Platt scaling, then for each shape the highest threshold with this recall; a shape without positives gets that of all together."""
+        """Platt scaling, then for each shape a threshold with this recall: as low as the other tokens let it be, and from 0.5 on, but never above the highest one that keeps the recall. A shape without
+        positives gets that of all together."""
         z = self._forward(x)[-1]
         for _ in range(500):
             g = 1 / (1 + np.exp(-(self.scale * z + self.shift))) - y
@@ -155,7 +166,9 @@ class CharNet:
             own = np.sort(s[(shapes == k) & (y > 0.5)])
             own = own if len(own) else np.sort(s[y > 0.5])
             if len(own):
-                self.thresholds[k] = float(own[int((1 - recall) * len(own))])
+                other = s[(shapes == k) & (y <= 0.5)]
+                fine = max(0.5, float(np.quantile(other, 1 - FALSE)) + 1e-6 if len(other) else 0.5)
+                self.thresholds[k] = min(fine, float(own[int((1 - recall) * len(own))]))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self._forward(x)[-1] + self.shift)))
@@ -169,7 +182,8 @@ def made_up(rng: np.random.Generator, label: int) -> tuple[str, int, int]:
         return "".join(rng.choice(list(alphabet), int(rng.integers(a, b))))
 
     def word() -> str:
-        return "".join(draw("bcdfghlmnprstvw", 1, 3) + draw("aeiou", 1, 2) for _ in range(int(rng.integers(1, 5))))
+        ends = pick("", "", "n", "r", "st", "ng", "ck", "ll", "ty", "x", "s")
+        return "".join(draw("bcdfghjklmnpqrstvwxz", 1, 3) + draw("aeiouy", 1, 3) for _ in range(int(rng.integers(1, 5)))) + ends
 
     def pick(*x):
         return x[int(rng.integers(len(x)))]
@@ -180,6 +194,7 @@ def made_up(rng: np.random.Generator, label: int) -> tuple[str, int, int]:
             lambda: draw(low + up + dig + "+/", 30, 80) + pick("", "=", "=="),
             lambda: pick("ghp_", "gho_", "sk_live_", "pk_test_", "glpat-", "npm_") + draw(low + up + dig, 20, 40),
             lambda: pick("xoxb-", "xoxp-") + draw(dig, 10, 13) + "-" + draw(low + up + dig, 20, 30),
+            lambda: pick("xoxb-", "key-", "tok_") + draw(dig, 8, 13) + "-" + draw(low, 4, 9) + draw(up, 4, 9) + draw(dig, 6, 12),
             lambda: draw("0123456789ABCDEF", 32, 64),
             lambda: "eyJ" + draw(low + up + dig + "-_", 30, 90) + "." + draw(low + up + dig + "-_", 20, 40),
             lambda: draw(low + dig, 24, 50),
@@ -198,7 +213,9 @@ def made_up(rng: np.random.Generator, label: int) -> tuple[str, int, int]:
         lambda: "".join(word().capitalize() for _ in range(4)) + "Handler" + draw(dig, 1, 3),
         lambda: pick("ISBN", "DOI", "PO", "ID", "Tel") + "-" + "-".join(draw(dig, 3, 5) for _ in range(4)),
         lambda: draw(dig, 12, 20),
-        lambda: "_".join(word().upper() for _ in range(3)) + "_" + draw(dig, 2, 5),
+        lambda: "_".join(word().upper() for _ in range(3)) + pick("", "_" + draw(dig, 2, 5)),
+        lambda: pick("_", "-", "/", ".").join(word().upper() for _ in range(int(rng.integers(2, 6)))).ljust(12, "A"),
+        lambda: "-".join(draw("0123456789abcdef", n, n + 1) for n in (8, 4, 4, 4, 12)),
         lambda: ".".join(word() for _ in range(4)) + pick(".com", ".html", ".py", ".org/" + word()),
         lambda: "".join(word() for _ in range(5)).ljust(12, "a"),
     )
@@ -224,18 +241,21 @@ def findings_in(text: str, rng: np.random.Generator, most: int = 6) -> list[tupl
         some = [w for w in own if w[2] == label]
         for i in rng.permutation(len(some))[:n]:
             add(text, *some[i], False)
-    for label in (0, 1, 0, 1):
+    for label in (0, 1, 0, 1, 0, 1):
         token, a, b = made_up(rng, label)
         leads = ("", "key = ", "auth: ", '"', "use ", "bearer ", "credential=") if label else ("", "see ", "in ", "(", "file ", "id: ", "ref=")
         gaps = [m.start() for m in re.finditer(" ", text[:20_000])] or [0]
         at = gaps[int(rng.integers(len(gaps)))]
-        left = text[max(0, at - 60) : at] + " " + leads[int(rng.integers(len(leads)))]
-        whole = left + token + (" ", '" ', ". ", "\n", ") ")[int(rng.integers(5))] + text[at : at + 60]
+        # a third of them begins the text, a third ends it
+        # and half of them has no word that leads to it, so that it is told by itself
+        left = (text[max(0, at - 60) : at] + " " if rng.random() > 0.33 else "") + (leads[int(rng.integers(len(leads)))] if rng.random() > 0.5 else "")
+        behind = (" ", '" ', ". ", "\n", ") ")[int(rng.integers(5))] + text[at : at + 60]
+        whole = left + token + (behind if rng.random() > 0.33 else "")
         a, b = a + len(left), b + len(left)
-        # a window is a credential where at least half of it, or the whole credential, lies in it
+        # a window is a credential where seven tenths of it are so, or the whole credential lies in it
         for x, y in [w for c in candidates(whole) if c[0] < len(left) + len(token) and c[1] > len(left) for w in windows(*c)]:
             inside = min(y, b) - max(x, a)
-            if not label or inside >= min((y - x) / 2, b - a):
+            if not label or inside >= min(0.7 * (y - x), b - a):
                 add(whole, x, y, label, True)
     return out
 
@@ -278,38 +298,60 @@ def fit_net(findings: pd.DataFrame, recall: float = RECALL) -> CharNet:
 
 
 def find_spans(text: str, net: CharNet) -> list[tuple[int, int, int]]:
-    """(start, kind, end), sorted: all spans of the patterns, and of candidates that overlap none of these the stretches whose windows reach their threshold."""
-    base = base_spans(text)
-    open_end, k, asked = 0, 0, []
-    for a, b in candidates(text):
-        while k < len(base) and base[k][0] < b:
-            open_end = max(open_end, base[k][2])
-            k += 1
-        if open_end <= a:
-            asked += [(a, w) for w in windows(a, b)]
-    added: list[list[int]] = []
-    for i in range(0, len(asked), 256):
-        part = asked[i : i + 256]
-        scores = net.scores(np.stack([encoded(text, *w) for _, w in part]))
-        for (a, w), s in zip(part, scores, strict=True):
-            if s >= net.thresholds[_shape(text[w[0] : w[1]])]:
-                if added and added[-1][0] == a and added[-1][2] >= w[0]:
-                    added[-1][2] = w[1]
-                else:
-                    added.append([a, w[0], w[1]])
-    return sorted(base + [(s, 3, e) for _, s, e in added])
+    return find_all_spans([text], net)[0]
+
+
+def find_all_spans(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of each text, sorted: all spans of the patterns, and of candidates that overlap none of these the stretches whose windows reach their threshold. Windows of all texts
+    are scored together."""
+    out, asked = [], []
+    for i, text in enumerate(texts):
+        base = base_spans(text)
+        open_end, k = 0, 0
+        for a, b in candidates(text):
+            while k < len(base) and base[k][0] < b:
+                open_end = max(open_end, base[k][2])
+                k += 1
+            if open_end <= a:
+                asked += [(i, a, w) for w in windows(a, b)]
+        out.append(base)
+    added: list[tuple[int, int, int, int]] = []  # text, start of the candidate, start, end
+    for at in range(0, len(asked), SCORED):
+        part = asked[at : at + SCORED]
+        scores = net.scores(np.stack([encoded(texts[i], *w) for i, _, w in part]))
+        least = np.array([net.thresholds[_shape(texts[i][w[0] : w[1]])] for i, _, w in part])
+        for n in np.flatnonzero(scores >= least).tolist():
+            i, a, w = part[n]
+            if added and added[-1][:2] == (i, a) and added[-1][3] >= w[0]:
+                added[-1] = (*added[-1][:3], w[1])
+            else:
+                added.append((i, a, *w))
+    for i, _, s, e in added:
+        out[i].append((s, 3, e))
+    return [sorted(o) for o in out]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def _by_parts(texts: list[str], net: CharNet) -> Iterator[list[tuple[int, int, int]]]:
+    """Spans of texts, of a bounded number of characters at a time."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t)
+        if n > PART_CHARS:
+            yield from find_all_spans(part, net)
+            part, n = [], 0
+    yield from find_all_spans(part, net)
+
+
 def _scanned(net: CharNet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, joined = [[], [], [], []], [], []
-            for text in batch.column(1).to_pylist():
-                spans = find_spans(text or "", net)
+            for spans in _by_parts([t or "" for t in batch.column(1).to_pylist()], net):
                 for k in range(4):
                     counts[k].append(sum(1 for s in spans if s[1] == k))
                 digests.append(hashlib.sha256(_joined([s for s in spans if s[1] < 3]).encode()).hexdigest())

@@ -50,7 +50,7 @@ def _best(k: int):
             kind = np.int64 if float(np.abs(weight.astype(float)).max(initial=0)) * float(np.abs(asked.astype(float)).max()) * max(1, lens.max()) < 2.0**62 else object
             by = np.argsort(term, kind="stable")
             names, first = np.unique(term[by], return_index=True)
-            doc, weight, ends = doc[by], weight[by].astype(kind), np.append(first[1:], len(by))
+            doc, weight, ends = doc[by], weight[by].astype(kind), np.append(first[1:], len(by))[: len(names)]  # none, if all vectors are zero
             postings = {int(t): (doc[a:b], weight[a:b]) for t, a, b in zip(names, first, ends, strict=True)}
             for qid, query, terms, weights in zip(queries["id"].to_numpy(np.int64), queries["query"], queries["terms"], queries["weights"], strict=True):
                 scores = np.zeros(len(ids), dtype=kind)
