@@ -11,9 +11,9 @@ links. Repeated rows are documents of their own. Empty tables give empty ones. E
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,11 +26,16 @@ from strataspan.llm.shared import Scratch
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stretches that a worker remembers, and their characters together; bytes of text that are aligned at once.
-MOST_STRETCHES, MOST_CHARS, SLICE = 400_000, 20_000_000, 2 << 20
+MOST_STRETCHES, MOST_CHARS, SLICE = 250_000, 12_000_000, 1 << 20
 #: Pairs that may be broadcast, at most (about 24 bytes each).
 MOST_HOT = 1 << 20
 
 
+#: How the byte-level vocabulary tells words apart; and what is plain Latin text here: printable ASCII and the Latin letters up to U+024F.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN = re.compile(r"[ -~À-ÖØ-öø-ɏ]+")
+
+
 def byte_alphabet() -> dict[str, int]:
     """Characters that stand for bytes in a byte-level vocabulary: printable Latin-1 characters for themselves, the others for the code points from 256 on, in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -57,51 +62,98 @@ class Aligner:
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
+        self.names = [f"{i}{c}" for own, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(own)) for c in marks]
+        self.ranks = self._as_ranks(a_path)
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece goes on behind a space: texts can't be cut there")
         self.forget()
 
+    def _as_ranks(self, path: str):
+        """The same merges for a faster library, for stretches of plain Latin text, in which all of them agree what a letter is; none where ids don't follow the order of the merges or
+        where the words tried out differ."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = [vocab["".join(m)] for m in merges]
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        alphabet = byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in special}
+        if ids != sorted(ids) or min(ids) != 256 or len({vocab[c] for c in alphabet if c in vocab}) != 256:
+            return None
+        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tried = [" " + t for t in vocab if t.isascii() and t.isprintable()][::7]
+        slow = [e.ids for e in self.a.encode_batch(tried, add_special_tokens=False)]
+        return fast if [fast.encode_ordinary(t) for t in tried] == slow else None
+
+    def _ids(self, stretches: list[str]) -> list[list[int]]:
+        """A's tokens of each stretch."""
+        if self.ranks is None:
+            return [e.ids for e in self.a.encode_batch(stretches, add_special_tokens=False)]
+        out = [self.ranks.encode_ordinary(s) if _LATIN.fullmatch(s) else None for s in stretches]
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(left, self.a.encode_batch([stretches[i] for i in left], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.chars, self.groups, self.pairs = 0, [], []
         self.totals = np.empty((0, 5), dtype=np.int64)  # fine, tokens of A, of B, groups, links
 
-    def merged(self, text: bytes, a: list[int], b: list[int]) -> tuple[bool, int, int, str, list[int]]:
-        """(whether both give the text back, groups, links, groups as text, pairs) of the tokens of one stretch; a pair is a * 2^20 + b."""
-        ab, bb = self.a_bytes, self.b_bytes
-        if b"".join([ab[i] for i in a]) != text or b"".join([bb[i] for i in b]) != text:
-            return False, 0, 0, "", []
-        groups, pairs, i, j, i0, j0, at_a, at_b = [], [], 0, 0, 0, 0, 0, 0
-        end_a, end_b = len(ab[a[0]]) if a else 0, len(bb[b[0]]) if b else 0
-        while i < len(a):
-            pairs.append(a[i] << 20 | b[j])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[i0 : i + 1])) + "|" + ",".join(map(str, b[j0 : j + 1])))
-                i, j = i + 1, j + 1
-                i0, j0 = i, j
-                if i < len(a):
-                    end_a, end_b = end_a + len(ab[a[i]]), end_b + len(bb[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(ab[a[i]])
-            else:
-                j += 1
-                end_b += len(bb[b[j]])
-        return True, len(groups), len(pairs), ";".join(groups), pairs
+    def given_back(self, texts: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether both sides' bytes of each stretch are the stretch."""
+        return [b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y)) for t, x, y in zip(texts, a, b, strict=True)]
+
+    def merged(self, sizes: np.ndarray, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[str], list[bytes]]:
+        """(groups, links, groups as text, pairs) of stretches of so many bytes that both sides give back; a pair is a * 2^20 + b in 64 bits.
+
+        Both lists of ends are merged for all stretches at once, one behind the other: every stretch ends on both sides.
+        """
+        ids = [np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b)]
+        first = [np.concatenate([[0], np.cumsum(list(map(len, x)))]).astype(np.int64) for x in (a, b)]
+        ends = [np.cumsum(n[i]) for n, i in zip((self.a_size, self.b_size), ids, strict=True)]
+        both = ends[0][np.isin(ends[0], ends[1], assume_unique=True)]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        n_groups = np.diff(np.searchsorted(both, edges, "right"))
+        # the tokens of b that share a byte with each token of a
+        lo = np.searchsorted(ends[1], ends[0] - self.a_size[ids[0]], "right")
+        n = np.searchsorted(ends[1], ends[0], "left") - lo + 1
+        other = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        pairs = np.repeat(ids[0], n) << 20 | ids[1][other]
+        at = np.concatenate([[0], np.cumsum(n)])[first[0]]
+        # ids in order of their groups, those of a first, each with what stands behind it
+        group = [np.searchsorted(both, e, "left") for e in ends]
+        last = [np.isin(e, both, assume_unique=True) for e in ends]
+        codes = np.concatenate([2 * ids[0] + last[0], 2 * (len(self.a_size) + ids[1]) + last[1]])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        parts = list(map(self.names.__getitem__, codes[order].tolist()))
+        cuts = (first[0] + first[1]).tolist()
+        raw, marks = pairs.tobytes(), (8 * at).tolist()
+        return n_groups, np.diff(at), ["".join(parts[x:y])[:-1] for x, y in zip(cuts, cuts[1:], strict=False)], [raw[x:y] for x, y in zip(marks, marks[1:], strict=False)]
 
     def learn(self, stretches: list[str]) -> None:
         """Aligns stretches, each of which begins with a space, and numbers them on."""
-        a = [e.ids for e in self.a.encode_batch(stretches, add_special_tokens=False)]
+        a = self._ids(stretches)
         b = self.b.encode([s[1:] for s in stretches], num_threads=1)
-        totals = []
-        for s, x, y in zip(stretches, a, b, strict=True):
-            fine, n_groups, n_links, groups, pairs = self.merged(s.encode(), x, y)
-            self.number[s] = len(self.groups)
-            self.groups.append(groups)
-            self.pairs.append(array("q", pairs).tobytes())
-            totals.append((fine, len(x), len(y), n_groups, n_links))
+        texts = [s.encode() for s in stretches]
+        fine = np.array(self.given_back(texts, a, b))
+        totals = np.zeros((len(stretches), 5), dtype=np.int64)
+        groups, pairs = [""] * len(stretches), [b""] * len(stretches)
+        own = np.flatnonzero(fine)
+        if len(own):
+            a, b = [a[i] for i in own], [b[i] for i in own]
+            n_groups, n_links, names, raw = self.merged(np.array([len(texts[i]) for i in own]), a, b)
+            totals[own] = np.stack([np.ones(len(own), np.int64), list(map(len, a)), list(map(len, b)), n_groups, n_links], axis=1)
+            for i, x, y in zip(own.tolist(), names, raw, strict=True):
+                groups[i], pairs[i] = x, y
+        self.number.update(zip(stretches, range(len(self.groups), len(self.groups) + len(stretches)), strict=True))
+        self.groups += groups
+        self.pairs += pairs
         self.chars += sum(map(len, stretches))
-        self.totals = np.concatenate([self.totals, np.array(totals, dtype=np.int64).reshape(-1, 5)])
+        self.totals = np.concatenate([self.totals, totals])
 
     def aligned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, offsets): the stretches of text i have the numbers from offsets[i] to offsets[i + 1]; a text that either side doesn't give back has none."""
