@@ -26,7 +26,7 @@ from strataspan.llm.shared import Scratch
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stretches that a worker remembers, and their characters together; bytes of text that are aligned at once.
-MOST_STRETCHES, MOST_CHARS, SLICE = 250_000, 12_000_000, 1 << 20
+MOST_STRETCHES, MOST_CHARS, SLICE = 400_000, 20_000_000, 1 << 20
 #: Pairs that may be broadcast, at most (about 24 bytes each).
 MOST_HOT = 1 << 20
 
