@@ -76,3 +76,21 @@ def rotation(turns: DataFrame, target: int, retain: int = 4, reserve: int = 1_00
     got = placed.groupBy("conv_id").agg(F.max("k").alias("all"), F.min(F.when(fits, F.col("turn_group"))).alias("first_kept"), F.count_if(fits).alias("kept"))
     mode = F.when(F.col("kept") == 0, "compaction").when(F.col("kept") == F.least(F.col("all"), F.lit(retain)), "normal").otherwise("emergency-retention")
     return got.select("conv_id", "first_kept", "kept", mode.alias("mode"))
+
+
+def merged_newest(rows: DataFrame, lineage: DataFrame, budget: int) -> DataFrame:
+    """(root, rank, session_id, id): the rows (session_id, created_at, id) that a newest-first merge of each lineage's sessions (root, session_id, depth) reads when it may read budget rows.
+
+    Such a merge holds the next row of every session and reads on where it took one. So the nearest sessions' newest rows are read first, as far as the budget goes; what is left of it goes to the rows whose
+    predecessor in their own session is newest. That order is what this ranks, without a merge in any task: a session's first budget rows, then a lineage's first budget rows, each cut before a shuffle.
+    No session, however large, keeps a nearer or further one from being read. Ties: the larger id is newer; a session that a lineage names twice counts at its least depth.
+    """
+    line = lineage.groupBy("root", "session_id").agg(F.min("depth").alias("depth"))
+    newest = [F.desc("created_at"), F.desc("id")]
+    slim = rows.where("session_id IS NOT NULL").select("session_id", "created_at", "id")
+    few = slim.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(*newest))).where(F.col("n") <= budget)
+    before = F.lag(F.struct("created_at", "id")).over(Window.partitionBy("session_id").orderBy("n"))
+    met = few.withColumn("before", before).join(line, "session_id")
+    reads = Window.partitionBy("root").orderBy(F.col("n") > 1, F.when(F.col("n") == 1, F.col("depth")), F.when(F.col("n") == 1, F.col("session_id")), F.desc("before"), "session_id")
+    read = met.withColumn("k", F.row_number().over(reads)).where(F.col("k") <= budget)
+    return read.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(*newest, "session_id"))).select("root", "rank", "session_id", "id")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataspan.adapters import EPOCH_MS, STEP_MS
 from strataspan.functions import columns as cx
 from strataspan.functions import text as tx
-from strataspan.operators import anchors, bm25f, evaluation, exact, feedback, hints, lifecycle, protection, ranking, segments, semantic, session, stored, structure
+from strataspan.operators import anchors, bm25f, context, evaluation, exact, feedback, hints, lifecycle, protection, ranking, segments, semantic, session, stored, structure
 from strataspan.plans.catalogue import _CLASS, _EV, _KEPT, _NOW, _SCORES, QUERIES, query  # noqa: F401
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOP_WORDS))
@@ -370,3 +371,49 @@ def semantic_search(t):
     index = semantic.indexed(t.evidence())
     asked = semantic.indexed(t.benchmark.select(F.lit("b").alias("project"), F.col("item_id").alias("document_id"), F.lit(1).alias("version"), F.lit(None).cast("string").alias("session_id"), "text")).where("ordinal = 0")
     return semantic.search(index, asked.select(F.col("document_id").alias("query_id"), F.col("vector").alias("v")), 3)
+
+
+_BUDGET = 12
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS s, epoch_ms(ts) AS t, event_id AS id FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT s, list({{'t': t, 'id': id}} ORDER BY t DESC, id DESC) AS r FROM e GROUP BY s),
+line AS (SELECT a.s AS root, d AS depth, l.s, l.r FROM l a, (SELECT unnest(range(4)) AS d), l WHERE l.s = a.s - d),
+st AS (SELECT root, list(r ORDER BY depth) AS rr, list(s ORDER BY depth) AS ss FROM line GROUP BY root),
+m AS (SELECT root, 0 AS step, rr, ss, list_transform(ss, lambda x: 0) AS took, list_transform(ss, lambda x: 1) AS held, {_BUDGET} - len(ss) AS budget, 0 AS who FROM st
+  UNION ALL SELECT root, step + 1, rr, ss, list_transform(range(1, len(ss) + 1), lambda i: took[i] + CAST(i = w AS INTEGER)),
+    list_transform(range(1, len(ss) + 1), lambda i: held[i] + CAST(i = w AND budget > 0 AND held[i] < len(rr[i]) AS INTEGER)), budget - CAST(budget > 0 AND held[w] < len(rr[w]) AS INTEGER), w
+  FROM (SELECT *, list_max(list_filter(list_transform(range(1, len(ss) + 1), lambda i: CASE WHEN took[i] < held[i] THEN {{'t': rr[i][took[i] + 1].t, 'id': rr[i][took[i] + 1].id, 'i': i}} END), lambda x: x IS NOT NULL)).i AS w FROM m) WHERE w IS NOT NULL)
+SELECT root, CAST(step AS INTEGER) AS rank, ss[who] AS session_id, rr[who][took[who]].id AS id FROM m WHERE step > 0""")
+def lineage_merge(t):
+    """The rows that a newest-first merge of each user's and the three users' before sessions reads under one budget; the SQL merges step by step, holding a row of each session."""
+    e = t.events.select(F.col("user_id").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at"), F.col("event_id").alias("id"))
+    users = e.select(F.col("session_id").alias("root")).distinct().where("root IS NOT NULL")
+    lineage = users.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in range(4)]))).withColumn("session_id", F.col("root") - F.col("depth"))
+    return context.merged_newest(e, lineage, _BUDGET)
+
+
+@query(rf"""WITH {_SCORES}, o AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER w - 1 AS message, coalesce(sum(strlen(coalesce(text, '')) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+r AS (SELECT * FROM (UNPIVOT scores ON question, request, correction, answer INTO NAME relation VALUE confidence) WHERE confidence > 0),
+x AS (SELECT o.conv_id, relation, confidence, message, role, a, a + strlen(text) AS b, list_distinct(regexp_extract_all(lower(text), '{structure.WORD}')) AS ws FROM o JOIN r USING (conv_id, turn) WHERE role IN ('user', 'assistant') AND text != ''),
+q AS (SELECT conv_id AS c, min_by(regexp_extract_all(lower(text), '{structure.WORD}'), message) AS asked FROM o WHERE role = 'user' GROUP BY 1),
+k AS (SELECT c, relation, confidence, message, role, a, b, c - conv_id AS depth, x.conv_id, row_number() OVER (PARTITION BY c, relation ORDER BY confidence DESC, c - conv_id, message DESC) AS rank
+  FROM q JOIN x ON x.conv_id BETWEEN c - 2 AND c WHERE len(asked) = 0 OR list_has_any(ws, asked)),
+t AS (SELECT c, relation, confidence < 50 OR depth > 0 AS unclear FROM k WHERE rank = 1)
+SELECT c || ':latest-' || relation AS query_id, CAST(rank AS INTEGER) AS rank, conv_id AS document_id, CAST(message AS INTEGER) AS message, role, CAST(confidence AS INTEGER) AS confidence, CAST(depth AS INTEGER) AS depth,
+  CAST(a AS BIGINT) AS start_byte, CAST(b AS BIGINT) AS end_byte, CASE WHEN unclear THEN 'ambiguous' ELSE 'resolved' END AS status FROM k JOIN t USING (c, relation) WHERE rank <= 3""")
+def structural_tier(t):
+    """Every conversation asks for its four relations with the words of its first question, over itself and the two before; messages are found again in the conversation's text, in order."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
+    docs = t.conversations.groupBy(F.col("conv_id").cast("long").alias("document_id")).agg(turns.alias("m"))
+    whole = docs.select(
+        "document_id", F.lit(1).alias("version"), F.lit("p").alias("project"), F.col("document_id").cast("string").alias("session_id"), (F.lit(EPOCH_MS) + F.col("document_id") * STEP_MS).alias("created_at"), F.lit("turn").alias("kind"),
+        F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("text"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), F.lit(0).alias("score"), x["text"].alias("text"))).alias("messages"),
+    )
+    first = docs.select("document_id", F.get(F.filter("m", lambda x: x["role"] == "user"), F.lit(0))["text"].alias("t")).where("t IS NOT NULL")
+    names = F.explode(F.array(*[F.lit(f"latest-{x}") for x in ("question", "request", "correction", "answer")]))
+    asked = first.select("document_id", names.alias("relation"), F.regexp_extract_all(F.lower("t"), F.lit(structure.WORD), F.lit(0)).alias("asked_words")).withColumn("query_id", F.concat(F.col("document_id").cast("string"), F.lit(":"), "relation"))
+    lineage = asked.select("query_id", F.explode(F.array(*[F.struct((F.col("document_id") - d).cast("string").alias("session_id"), F.lit(d).alias("depth")) for d in range(3)])).alias("l")).select("query_id", "l.*")
+    found = structure.lookup(structure.stored_relations(whole), asked.drop("document_id"), lineage)
+    return found.drop("version", "legacy")
