@@ -15,14 +15,17 @@ from pyspark.sql import types as T
 from strataspan.functions import columns as cx
 from strataspan.functions import text as tx
 from strataspan.operators import anchors as anchors_
-from strataspan.operators import bm25f, context, exact, feedback, hints, lexical, lifecycle, protection, ranking, segments, session, simhash, stored
+from strataspan.operators import bm25f, context, exact, feedback, hints, lexical, lifecycle, protection, ranking, segments, session, simhash, stored, structure
 from strataspan.sources.tables import TableStore
 
 
 #: Index handlers that admission runs by default, besides the lexical index: name and DataFrame transform.
 HANDLERS = {
     "chunks": segments.physical_chunks, "windows": segments.byte_windows, "signatures": lambda docs: simhash.signatures(docs, "version"), "anchors": lambda docs: exact.postings(anchors_.extracted(docs)),
+    "relations": structure.stored_relations,
 }
+#: How index tables are written: the order of rows within a file.
+LAYOUTS = {"relations": {"order": ("relation", "project", "session_id")}}
 #: Attempts to write what another writer's commits have overtaken.
 ATTEMPTS = 16
 
@@ -100,7 +103,7 @@ class Engine:
         written = self._written("documents", generation)
         visible = written.where(~cx.echo_of(F.col("kind"), F.col("tool"), self.own_tools)) if self.own_tools else written
         for name, build in (HANDLERS if handlers is None else handlers).items():
-            self.store.append(name, build(visible), generation)
+            self.store.append(name, build(visible), generation, **LAYOUTS.get(name, {}))
         gone = []
         if old is not None:
             known = self.documents().select("document_id", "version", F.col("project").alias("_p"), F.col("created_at").alias("_t"))
@@ -258,6 +261,18 @@ class Engine:
             tables = [t.where(F.col("project") == project) for t in tables]
         return stored.search(*tables, asked, limit, docs)
 
+    def related(self, relation: str, query: str = "", project: str | None = None, sessions: list[str] | None = None, without: list[int] | None = None, limit: int = 3) -> DataFrame:
+        """structure.lookup() of one relation in the stored index: sessions are the lineage, nearest first. Files are in order of relation, project and session, so most row groups of other ones aren't read."""
+        asked = self.spark.createDataFrame([(0, relation, structure.words(query))], "query_id int, relation string, asked_words array<string>")
+        rows = self._rows("relations", structure.ROWS).where(F.col("relation") == relation)
+        rows = rows if project is None else rows.where(F.col("project") == project)
+        lineage = None
+        if sessions is not None:
+            rows = rows.where(F.col("session_id").isin(sessions))
+            lineage = self.spark.createDataFrame([(0, s, d) for d, s in enumerate(dict.fromkeys(sessions))], "query_id int, session_id string, depth int")
+        live = self._scoped(self.documents(), project, sessions, without).select("document_id", "version")
+        return structure.lookup(rows.join(live, ["document_id", "version"], "left_semi"), asked, lineage, limit)
+
     def snippets(self, rows: DataFrame, most: int = 280) -> DataFrame:
         """(document_id, version, snippet) of a page of rows (document_id, version, match_start, match_end): up to most characters with the match in brackets. Only the chunks around it are read."""
         page = self._page(rows.select("document_id", "version", "match_start", "match_end").where("match_start IS NOT NULL"))
@@ -276,12 +291,20 @@ class Engine:
 
         return met.select("document_id", "version", shown("before", "behind", F.col("match_end") - F.col("match_start")).alias("snippet"))
 
-    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None, sessions: list[str] | None = None, without: list[int] | None = None, working_set: list[str] | None = None, context_terms: list[str] | None = None, expand: bool = False, snippet_chars: int = 280) -> DataFrame:
+    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None, sessions: list[str] | None = None, without: list[int] | None = None, working_set: list[str] | None = None, context_terms: list[str] | None = None, expand: bool = False, snippet_chars: int = 280, relation: str | None = None) -> DataFrame:
         """(document_id, version, score, mode, ranking_score, rank, match_start, match_end, snippet): the pool of candidates of all modes, with expansion of weak results, decay, importance and bounded boosts, fused and cut to the limit.
 
         score is what the mode says, decayed by age if now is given; ranking_score is the fused one after all boosts, by which rows are ordered.
+        With relation (as latest-request) the stored relations take part, as a tier between exact matches and the rest; sessions are then the lineage, nearest first. Their range is the message.
         """
         pool = self.candidates(query, project, cx.pool_size(limit), sessions, without).withColumn("query_id", F.lit(0))
+        places = {}
+        if relation is not None:
+            best = self.related(relation, query, project, sessions, without, cx.pool_size(limit)).groupBy("document_id", "version").agg(F.max(F.struct("confidence", (-F.col("rank")).alias("r"), "start_byte", "end_byte")).alias("b"))
+            best = self._page(best)
+            places = {r["document_id"]: -r["b"]["r"] for r in best.collect()}  # a page; rows of one confidence keep their order
+            of = best.select(F.col("document_id").alias("id"), F.lit("structural").alias("mode"), (F.col("b.confidence") / 100).alias("norm"), "version", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("max_idf"), F.lit(1.0).alias("margin"), F.col("b.start_byte").alias("match_start"), F.col("b.end_byte").alias("match_end"), F.lit(0).alias("query_id"))
+            pool = pool.unionByName(of)
         pool = self._page(pool)
         found = pool.collect()
         lexical_only = all(r["mode"] == "lexical" for r in found)
@@ -304,8 +327,9 @@ class Engine:
         if working_set:
             entries = self.spark.createDataFrame([(0, k, v) for k, v in tx.working_set(working_set)], "query_id int, type string, normalized string")
             boost = context.boosted(boost, exact.working_set_matches(self._live(self.store.read("anchors")), entries).select("query_id", "id"), context.WORKING_SET_BOOST)
-        tiers = ranking.tiered(boost.where("mode = 'exact'").select("query_id", "id", F.col("norm").alias("score")), boost.limit(0).select("query_id", "id", F.col("norm").alias("score")), boost.where("mode != 'exact'").select("query_id", "mode", "id", "norm"), limit)
-        shown = met.groupBy("id").agg(F.max(F.struct((F.col("mode") == "exact").alias("exact"), "norm", "mode", "version", "match_start", "match_end")).alias("b"))
+        behind = F.coalesce(F.create_map(*[F.lit(x) for i, n in places.items() for x in (i, 1e-6 * n)])[F.col("id")], F.lit(0.0)) if places else F.lit(0.0)
+        tiers = ranking.tiered(boost.where("mode = 'exact'").select("query_id", "id", F.col("norm").alias("score")), boost.where("mode = 'structural'").select("query_id", "id", F.round(F.col("norm") - behind, 9).alias("score")), boost.where("mode NOT IN ('exact', 'structural')").select("query_id", "mode", "id", "norm"), limit)
+        shown = met.groupBy("id").agg(F.max(F.struct(F.when(F.col("mode") == "exact", 2).when(F.col("mode") == "structural", 1).otherwise(0).alias("tier"), "norm", "mode", "version", "match_start", "match_end")).alias("b"))
         out = tiers.join(shown, "id").select(F.col("id").alias("document_id"), "b.version", F.col("b.norm").alias("score"), "b.mode", F.col("fusion_score").alias("ranking_score"), "rank", "b.match_start", "b.match_end")
         if snippet_chars:
             page = self._page(out)
@@ -461,10 +485,10 @@ class Engine:
         hidden = self.retired().where("status IN ('expired', 'deleted')").select("document_id", "version").distinct()
         key = ["document_id", "version"]
         live = self.documents().select(*key)
-        changes = {n: lambda t: t.join(hidden, key, "left_anti") for n in ("chunks", "windows", "signatures", "anchors")} | {n: lambda t: t.join(live, key, "left_semi") for n in ("forward", "postings")}
+        changes = {n: lambda t: t.join(hidden, key, "left_anti") for n in ("chunks", "windows", "signatures", "anchors", "relations")} | {n: lambda t: t.join(live, key, "left_semi") for n in ("forward", "postings")}
         changes |= {"term_stats": stored.folded_terms, "corpus_stats": stored.folded_corpus, "blocks": lambda _: stored.blocks(self._written("postings", generation))}
         changes["documents"] = lambda t: t.join(hidden.withColumn("_gone", F.lit(True)), key, "left").withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in ("text", "messages", "content_hash")}).drop("_gone")
-        layout = {"postings": stored.LAYOUT, "blocks": {"order": ("bucket", "term")}, "term_stats": {"order": ("bucket", "term")}, "forward": {"order": tuple(key)}}
+        layout = {"postings": stored.LAYOUT, "blocks": {"order": ("bucket", "term")}, "term_stats": {"order": ("bucket", "term")}, "forward": {"order": tuple(key)}} | LAYOUTS
         replaces = {n: self.store.compact(n, change, generation, **layout.get(n, {})) for n, change in changes.items() if self.store.has(n)}
         if not self.store.commit(generation, lambda: not self.store.touched((*changes, "retired"), since), replaces):
             for n in replaces:

@@ -16,6 +16,7 @@ RESOLVED, WHOLE_BYTES = 50, 64 * 1024
 WORD = r"[\p{L}\p{N}_-]{2,}"
 _WORD = regex.compile(WORD)
 STORED = "document_id long, version int, project string, session_id string, created_at long, message int, role string, terminal boolean, legacy boolean, decision boolean, text string, start_byte long, end_byte long, words array<string>"
+ROWS = "relation string, confidence int, project string, session_id string, created_at long, document_id long, version int, message int, role string, legacy boolean, start_byte long, end_byte long, words array<string>"
 
 
 def turn_groups(messages: DataFrame) -> DataFrame:
