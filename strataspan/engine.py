@@ -6,7 +6,9 @@ import base64
 import hashlib
 import hmac
 import json
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from strataspan.functions import columns as cx
 from strataspan.functions import text as tx
 from strataspan.operators import anchors as anchors_
-from strataspan.operators import bm25f, context, exact, feedback, hints, lexical, lifecycle, protection, ranking, segments, session, simhash, stored, structure
+from strataspan.operators import bm25f, context, exact, feedback, hints, lexical, lifecycle, protection, ranking, segments, semantic, session, simhash, stored, structure
 from strataspan.sources.tables import TableStore
 
 
@@ -60,8 +62,8 @@ class Engine:
     """Documents are (document_id, version, project, session_id, kind, created_at, text, subject_key, supersedes, protect, tool, messages). Nothing is updated in place: versions,
     retirements, pins, protections, leases and renewals are rows, of which the newest holds. Every index table carries document and version."""
 
-    def __init__(self, spark: SparkSession, path: str, secret: bytes = b"local", own_tools: tuple[str, ...] = ()):
-        self.spark, self.store, self.secret, self.own_tools = spark, TableStore(spark, path), secret, own_tools
+    def __init__(self, spark: SparkSession, path: str, secret: bytes = b"local", own_tools: tuple[str, ...] = (), embedder: Callable = semantic.hashed_words):
+        self.spark, self.store, self.secret, self.own_tools, self.embedder = spark, TableStore(spark, path), secret, own_tools, embedder
 
     # Admission
 
@@ -79,13 +81,13 @@ class Engine:
     def admit(self, docs: DataFrame, handlers: dict | None = None) -> int:
         """Appends documents whose content isn't the newest one of their id, as the next versions, builds their index tables and publishes the generation.
 
-        Several contents of one id in a batch become versions in order of source time, then of content. Output of the archive's own tools is stored, but not indexed. If another writer commits documents or
-        retirements meanwhile, the work is done again on what is there then, so no two writers give one version number and statistics count each version once.
+        Several contents of one id in a batch become versions in order of source time, then of content. Output of the archive's own tools is stored, but not indexed. If another writer commits documents,
+        retirements or centroids meanwhile, the work is done again on what is there then, so no two writers give one version number and statistics count each version once.
         """
         for _ in range(ATTEMPTS):
             since, generation = self.store.last_commit(), self.store.claim()
             self._admit(docs, handlers, generation)
-            if self.store.commit(generation, lambda since=since: not self.store.touched(("documents", "retired"), since)):
+            if self.store.commit(generation, lambda since=since: not self.store.touched(("documents", "retired", "centroids"), since)):
                 return generation
         raise RuntimeError(f"other writers were first {ATTEMPTS} times")
 
@@ -104,6 +106,9 @@ class Engine:
         visible = written.where(~cx.echo_of(F.col("kind"), F.col("tool"), self.own_tools)) if self.own_tools else written
         for name, build in (HANDLERS if handlers is None else handlers).items():
             self.store.append(name, build(visible), generation, **LAYOUTS.get(name, {}))
+        centres = self._centres() if handlers is None else None
+        if centres is not None:
+            self.store.append("vectors", semantic.listed(semantic.indexed(visible, self.embedder), centres), generation, order=("list",))
         gone = []
         if old is not None:
             known = self.documents().select("document_id", "version", F.col("project").alias("_p"), F.col("created_at").alias("_t"))
@@ -273,6 +278,44 @@ class Engine:
         live = self._scoped(self.documents(), project, sessions, without).select("document_id", "version")
         return structure.lookup(rows.join(live, ["document_id", "version"], "left_semi"), asked, lineage, limit)
 
+    def _centres(self) -> np.ndarray | None:
+        """The centroids of the newest fitting, if there was one; they are a few hundred rows."""
+        found = self._optional("centroids")
+        if found is None:
+            return None
+        rows = found.where(F.col("generation") == found.agg(F.max("generation")).first()[0]).orderBy("list").collect()
+        return np.array([r["v"] for r in rows])
+
+    def fit_semantic(self, lists: int = 64) -> int:
+        """Fits centroids on a bounded sample of the live documents' spans and writes all of these by list; admissions then add their own. Done again it replaces lists and vectors. Returns the number of lists, 0 if
+        there is no span, or another writer committed documents meanwhile."""
+        since, generation = self.store.last_commit(), self.store.claim()
+        docs = self.documents()
+        visible = docs.where(~cx.echo_of(F.col("kind"), F.col("tool"), self.own_tools)) if self.own_tools else docs
+        index = semantic.indexed(visible, self.embedder)
+        centres = semantic.fitted(index, lists)
+        if not len(centres):
+            return 0
+        replaces = {n: self.store.generations(n) for n in ("vectors", "centroids") if self.store.has(n)}
+        self.store.append("vectors", semantic.listed(index, centres), generation, order=("list",))
+        self.store.append("centroids", self.spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centres)], "list int, v array<double>"), generation)
+        if not self.store.commit(generation, lambda: not self.store.touched(("documents", "vectors"), since), replaces):
+            return 0
+        for name, old in replaces.items():
+            self.store.delete(name, old)
+        return len(centres)
+
+    def broadened(self, query: str, project: str | None = None, limit: int = 10, sessions: list[str] | None = None, without: list[int] | None = None) -> DataFrame:
+        """semantic.probed() of one query over the stored vectors in scope: live documents of the project and the sessions only. Without a fitting nothing is found."""
+        docs, centres = self._scoped(self.documents(), project, sessions, without).select("document_id", "version"), self._centres()
+        v = self.embedder()([query])[0]
+        if centres is None or not np.any(v):
+            return self.spark.createDataFrame([], "query_id int, rank int, document_id long, version int, ordinal int, start_byte long, end_byte long, score double")
+        rows = self.store.read("vectors")
+        rows = rows if project is None else rows.where(F.col("project") == project)
+        asked = self.spark.createDataFrame([(0, v.tolist())], "query_id int, v array<double>")
+        return semantic.probed(rows.join(docs, ["document_id", "version"], "left_semi"), centres, asked, limit)
+
     def snippets(self, rows: DataFrame, most: int = 280) -> DataFrame:
         """(document_id, version, snippet) of a page of rows (document_id, version, match_start, match_end): up to most characters with the match in brackets. Only the chunks around it are read."""
         page = self._page(rows.select("document_id", "version", "match_start", "match_end").where("match_start IS NOT NULL"))
@@ -291,11 +334,12 @@ class Engine:
 
         return met.select("document_id", "version", shown("before", "behind", F.col("match_end") - F.col("match_start")).alias("snippet"))
 
-    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None, sessions: list[str] | None = None, without: list[int] | None = None, working_set: list[str] | None = None, context_terms: list[str] | None = None, expand: bool = False, snippet_chars: int = 280, relation: str | None = None) -> DataFrame:
+    def search(self, query: str, project: str | None = None, limit: int = 10, now: int | None = None, sessions: list[str] | None = None, without: list[int] | None = None, working_set: list[str] | None = None, context_terms: list[str] | None = None, expand: bool = False, snippet_chars: int = 280, relation: str | None = None, broaden: bool = False) -> DataFrame:
         """(document_id, version, score, mode, ranking_score, rank, match_start, match_end, snippet): the pool of candidates of all modes, with expansion of weak results, decay, importance and bounded boosts, fused and cut to the limit.
 
         score is what the mode says, decayed by age if now is given; ranking_score is the fused one after all boosts, by which rows are ordered.
         With relation (as latest-request) the stored relations take part, as a tier between exact matches and the rest; sessions are then the lineage, nearest first. Their range is the message.
+        With broaden documents that a span's meaning brings in join the pool, in a mode of their own (after fit_semantic()).
         """
         pool = self.candidates(query, project, cx.pool_size(limit), sessions, without).withColumn("query_id", F.lit(0))
         places = {}
@@ -306,6 +350,9 @@ class Engine:
             of = best.select(F.col("document_id").alias("id"), F.lit("structural").alias("mode"), (F.col("b.confidence") / 100).alias("norm"), "version", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("max_idf"), F.lit(1.0).alias("margin"), F.col("b.start_byte").alias("match_start"), F.col("b.end_byte").alias("match_end"), F.lit(0).alias("query_id"))
             pool = pool.unionByName(of)
         pool = self._page(pool)
+        if broaden:
+            near = self.broadened(query, project, cx.pool_size(limit), sessions, without)
+            pool = self._page(pool.unionByName(near.select(F.col("document_id").alias("id"), F.lit("semantic").alias("mode"), F.col("score").alias("norm"), "version", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("max_idf"), F.lit(1.0).alias("margin"), F.col("start_byte").alias("match_start"), F.col("end_byte").alias("match_end"), "query_id")))
         found = pool.collect()
         lexical_only = all(r["mode"] == "lexical" for r in found)
         if lexical_only and (expand or found and (max(r["norm"] for r in found) < WEAK_SCORE or max(r["coverage"] for r in found) < WEAK_COVERAGE)):
@@ -485,10 +532,10 @@ class Engine:
         hidden = self.retired().where("status IN ('expired', 'deleted')").select("document_id", "version").distinct()
         key = ["document_id", "version"]
         live = self.documents().select(*key)
-        changes = {n: lambda t: t.join(hidden, key, "left_anti") for n in ("chunks", "windows", "signatures", "anchors", "relations")} | {n: lambda t: t.join(live, key, "left_semi") for n in ("forward", "postings")}
+        changes = {n: lambda t: t.join(hidden, key, "left_anti") for n in ("chunks", "windows", "signatures", "anchors", "relations")} | {n: lambda t: t.join(live, key, "left_semi") for n in ("forward", "postings", "vectors")}
         changes |= {"term_stats": stored.folded_terms, "corpus_stats": stored.folded_corpus, "blocks": lambda _: stored.blocks(self._written("postings", generation))}
         changes["documents"] = lambda t: t.join(hidden.withColumn("_gone", F.lit(True)), key, "left").withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in ("text", "messages", "content_hash")}).drop("_gone")
-        layout = {"postings": stored.LAYOUT, "blocks": {"order": ("bucket", "term")}, "term_stats": {"order": ("bucket", "term")}, "forward": {"order": tuple(key)}} | LAYOUTS
+        layout = {"postings": stored.LAYOUT, "blocks": {"order": ("bucket", "term")}, "term_stats": {"order": ("bucket", "term")}, "forward": {"order": tuple(key)}} | {"vectors": {"order": ("list",)}} | LAYOUTS
         replaces = {n: self.store.compact(n, change, generation, **layout.get(n, {})) for n, change in changes.items() if self.store.has(n)}
         if not self.store.commit(generation, lambda: not self.store.touched((*changes, "retired"), since), replaces):
             for n in replaces:

@@ -1,4 +1,4 @@
-"""A semantic index: spans of documents, vectors from a pluggable embedder, exact search by cosine with a threshold, maintenance, and reranking.
+"""A semantic index: spans of documents, vectors from a pluggable embedder, exact search by cosine with a threshold, lists by centroid that a search probes, maintenance, and reranking.
 
 An embedder is a function from a list of texts to a matrix, given by name of a factory so that every Python worker makes its own. No model ships with the library; the
 default hashes words, which is enough to test everything around it.
@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspan.functions import text as tx
-from strataspan.operators import ranking
 
 #: Least cosine of a hit; rebuild from this share of dead entries and so many entries; candidates that are reranked.
 LEAST_COSINE, DEAD_RATIO, LEAST_ENTRIES, RERANKED = 0.35, 0.25, 1_000, 40
 SPAN_TOKENS, SPAN_OVERLAP, DIMENSIONS = 160, 24, 256
+#: Spans that centroids are fitted on at most; spans and queries that meet in one task; lists that a query looks into first.
+SAMPLE, BLOCK, PART, PROBES = 20_000, 50_000, 4_096, 8
 
 
 def hashed_words() -> Callable[[list[str]], np.ndarray]:
@@ -73,14 +74,105 @@ def indexed(documents: DataFrame, embedder: Callable = hashed_words) -> DataFram
 
 def search(index: DataFrame, queries: DataFrame, limit: int = 10, least: float = LEAST_COSINE) -> DataFrame:
     """(query_id, rank, document_id, version, ordinal, start_byte, end_byte, score): the best 3 * limit documents of each query (query_id, v), by their best span, at least so
-    similar. Blocks of spans meet blocks of queries once, as matrix products."""
-    keyed = index.withColumn("id", F.xxhash64("document_id", "version", "ordinal"))
-    near = ranking.nearest(keyed.select("id", F.col("vector").alias("v")), queries.select(F.col("query_id").alias("id"), "v"), k=40 * limit, least=least, own=True)
-    met = near.join(keyed.withColumnRenamed("id", "vec_id").drop("vector"), "vec_id")
-    best = met.groupBy("query_id", "document_id", "version").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("before"), "start_byte", "end_byte")).alias("b"))
+    similar. Blocks of spans meet blocks of queries once, as matrix products; no document is lost to the spans of another."""
+    return _ranked(_best_documents(index.withColumn("list", F.lit(0)), _asked(queries).withColumn("list", F.lit(0)), 3 * limit, least), 3 * limit)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """Queries with a vector that has a direction."""
+    whole = F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return queries.select("query_id", "v").where("query_id IS NOT NULL").where(F.coalesce(whole, F.lit(False)))
+
+
+def _best_documents(rows: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """(query_id, document_id, version, ordinal, start_byte, end_byte, score): for each query (query_id, v, list) the k best documents of each block of the rows of its list, each by its best span there. A document's best
+    span is in some block, where fewer than k documents can be before it, so the k best of all are among these. Lists are dealt into blocks of BLOCK spans, queries into parts of PART."""
+    spans = "document_id long, version int, ordinal int, start_byte long, end_byte long"
+    names = [x.split(" ")[0] for x in spans.split(", ")]
+    sizes = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    parts = max(1, -(-queries.count() // PART))
+    left = rows.select("list", *names, "vector").join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("document_id", "version", "ordinal"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = queries.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+
+    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            m, q = np.stack(a["vector"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
+            doc, version, ordinal = (a[c].to_numpy() for c in ("document_id", "version", "ordinal"))
+            code = a.groupby(["document_id", "version"], sort=False).ngroup().to_numpy()
+            for qid, v in zip(b["query_id"], q / np.linalg.norm(q, axis=1, keepdims=True), strict=True):
+                score = np.round(m @ v, 6)
+                near = np.flatnonzero(score >= least)
+                near = near[np.lexsort((ordinal[near], version[near], doc[near], -score[near]))]
+                near = near[np.sort(np.unique(code[near], return_index=True)[1])][:k]
+                out.append(a.iloc[near][names].assign(query_id=qid, score=score[near]))
+        return pd.concat(out)[["query_id", *names, "score"]] if out else pd.DataFrame({c: [] for c in ("query_id", *names, "score")})
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return left.groupBy("list", "block", "part").cogroup(right.select("list", "block", "part", "query_id", "v").groupBy("list", "block", "part")).applyInPandas(best, f"query_id {kind}, {spans}, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "document_id", "version").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("before"), "start_byte", "end_byte")).alias("b"))
     flat = best.select("query_id", "document_id", "version", (-F.col("b.before")).alias("ordinal"), "b.start_byte", "b.end_byte", "b.score")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "version")
-    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3 * limit).select("query_id", "rank", "document_id", "version", "ordinal", "start_byte", "end_byte", "score")
+    return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "document_id", "version", "ordinal", "start_byte", "end_byte", "score")
+
+
+def fitted(index: DataFrame, lists: int, sample: int = SAMPLE, rounds: int = 15) -> np.ndarray:
+    """Centroids (lists, dimensions) of spans, by spherical k-means in the driver over the sample spans of least hash: a bounded sample, the same in every run. The first ones are spread: each is the span
+    that is least like those before."""
+    few = index.select("vector", F.xxhash64("document_id", "version", "ordinal").alias("h"), "document_id", "ordinal").orderBy("h", "document_id", "ordinal").limit(sample)
+    got = [r["vector"] for r in few.select("vector").collect()]  # sample rows at most
+    if not got:
+        return np.zeros((0, 0))
+    x = np.array(got)
+    at, most = [0], x @ x[0]
+    while len(at) < min(lists, len(x)) and most.min() < 1 - 1e-9:
+        at.append(int(most.argmin()))
+        most = np.maximum(most, x @ x[at[-1]])
+    centres = x[at]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    return centres
+
+
+def listed(index: DataFrame, centres: np.ndarray) -> DataFrame:
+    """index with list, the number of the nearest centroid; every row has one. Centroids are lists * dimensions numbers, which every task gets."""
+    names = list(index.columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(list=(np.stack(b["vector"]) @ centres.T).argmax(axis=1).astype("int32") if len(b) else np.zeros(0, "int32"))[[*names, "list"]]
+
+    return index.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema) + ", list int")
+
+
+def probes(queries: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(query_id, v, list, nth): all lists of each query, nearest first from 1."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(q, v, int(c), n + 1) for q, v in zip(b["query_id"], b["v"], strict=True) for n, c in enumerate(np.argsort(-(centres @ v), kind="stable"))]
+            yield pd.DataFrame(rows, columns=["query_id", "v", "list", "nth"])
+
+    return _asked(queries).mapInPandas(run, f"query_id {kind}, v array<double>, list int, nth int")
+
+
+def probed(index: DataFrame, centres: np.ndarray, queries: DataFrame, limit: int = 10, least: float = LEAST_COSINE, n_probe: int = PROBES) -> DataFrame:
+    """search() over listed(): the n_probe nearest lists of a query first; a query that finds fewer than 3 * limit documents there goes on to all other lists, so it either has that many or what search() gives.
+
+    The index may be filtered before (a project, live documents): a scope is part of the scan, not taken off a finished page."""
+    want, all_ = 3 * limit, probes(queries, centres)
+    first = _ranked(_best_documents(index, all_.where(F.col("nth") <= n_probe).drop("nth"), want, least), want)
+    n = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    short = all_.where(F.col("nth") > n_probe).join(n, "query_id", "left").where(F.coalesce("n", F.lit(0)) < want).drop("n", "nth")
+    return _ranked(first.drop("rank").unionByName(_best_documents(index, short, want, least)), want)
 
 
 def maintenance(index: DataFrame, live: DataFrame) -> DataFrame:
