@@ -34,12 +34,12 @@ def structural_scores(messages: DataFrame) -> DataFrame:
 
 def _scores(text: Column, role: Column, terminal: Column) -> list[Column]:
     """question, request, correction and answer of a message; terminal says whether it is the last one of an assistant."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = tx.trimmed(F.coalesce(text, F.lit("")))
     some, user = t != "", role == "user"
     return [
-        F.when(~some | ~user, 0).when(F.contains(t, F.lit("?")), 100).when(t.rlike("(?i)" + tx.QUESTION_PREFIX), 85).otherwise(10).alias("question"),
-        F.when(~some | ~user, 0).when(t.rlike("(?i)" + tx.REQUEST_PREFIX), 100).otherwise(10).alias("request"),
-        F.when(some & user & t.rlike("(?i)" + tx.CORRECTION_CUE), 100).otherwise(0).alias("correction"),
+        F.when(~some | ~user, 0).when(F.contains(t, F.lit("?")), 100).when(t.rlike(tx.cue(tx.QUESTION_PREFIX)), 85).otherwise(10).alias("question"),
+        F.when(~some | ~user, 0).when(t.rlike(tx.cue(tx.REQUEST_PREFIX)), 100).otherwise(10).alias("request"),
+        F.when(some & user & t.rlike(tx.cue(tx.CORRECTION_CUE)), 100).otherwise(0).alias("correction"),
         F.when(~some | (role != "assistant"), 0).when(terminal, 100).otherwise(75).alias("answer"),
     ]
 
