@@ -132,7 +132,7 @@ def collectable_chunks(t):
 
 @query("SELECT DISTINCT user_id AS document_id, CAST(1 AS INTEGER) AS version, CAST(floor(epoch_ms(ts) / 3600000) AS BIGINT) AS bucket FROM events")
 def access_buckets(t):
-    return protection.accesses(t.events.select(F.col("user_id").alias("document_id"), F.lit(1).alias("version"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")))
+    return protection.accesses(t.events.select(F.col("user_id").alias("document_id"), F.lit(1).alias("version"), cx.epoch_ms(F.col("ts")).alias("at_ms")))
 
 
 @query(f"WITH {_EV}, r AS (SELECT session_id, document_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, document_id DESC) AS turn_rank FROM ev WHERE kind = 'turn') SELECT session_id, document_id, CAST(turn_rank AS INTEGER) AS turn_rank FROM r WHERE turn_rank <= 4")
@@ -163,7 +163,7 @@ def message_intents(t):
 SELECT event_id, EXISTS (SELECT 1 FROM x WHERE x.lineage = h.lineage AND x.document_id = h.document_id AND x.shown_ms < h.at_ms AND h.at_ms - x.shown_ms < 86400000) AS seen FROM h""")
 def hint_cooldown(t):
     """Whether a source was shown in the same lineage within the day before."""
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    at = cx.epoch_ms(F.col("ts"))
     e = t.events.select("event_id", "event_type", F.col("user_id").alias("lineage"), (F.col("event_id") % 20).alias("document_id"), at.alias("at_ms"))
     return hints.surfaced(e.where("event_type != 'view'").drop("event_type"), e.where("event_type = 'view'").select("lineage", "document_id", F.col("at_ms").alias("shown_ms"))).select("event_id", "seen")
 
@@ -177,7 +177,7 @@ def hint_budgets(t):
 
 @query("""WITH h AS (SELECT user_id AS session_id, event_id AS message_id, epoch_ms(ts) AS at_ms FROM events), l AS (SELECT session_id, max(at_ms) AS last FROM h GROUP BY 1), n AS (SELECT max(at_ms) AS now FROM h) SELECT session_id, message_id FROM h JOIN l USING (session_id), n WHERE last < now - 86400000""")
 def abandoned_hints(t):
-    h = t.events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    h = t.events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("message_id"), cx.epoch_ms(F.col("ts")).alias("at_ms"))
     return hints.abandoned(h, h, h.agg(F.max("at_ms")).first()[0], 86_400_000).select("session_id", "message_id")
 
 
@@ -387,7 +387,7 @@ m AS (SELECT root, 0 AS step, rr, ss, list_transform(ss, lambda x: 0) AS took, l
 SELECT root, CAST(step AS INTEGER) AS rank, ss[who] AS session_id, rr[who][took[who]].id AS id FROM m WHERE step > 0""")
 def lineage_merge(t):
     """The rows that a newest-first merge of each user's and the three users' before sessions reads under one budget; the SQL merges step by step, holding a row of each session."""
-    e = t.events.select(F.col("user_id").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at"), F.col("event_id").alias("id"))
+    e = t.events.select(F.col("user_id").alias("session_id"), cx.epoch_ms(F.col("ts")).alias("created_at"), F.col("event_id").alias("id"))
     users = e.select(F.col("session_id").alias("root")).distinct().where("root IS NOT NULL")
     lineage = users.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in range(4)]))).withColumn("session_id", F.col("root") - F.col("depth"))
     return context.merged_newest(e, lineage, _BUDGET)

@@ -28,3 +28,14 @@ def test_cues_end_at_ascii_edges(spark, tmp_path, name):
     talk = [(i, 0, "user", t) for i, t in enumerate(TURNS)] + [(i, 1, "assistant", t) for i, t in enumerate(TURNS)] + [(99, 0, "user", None)]
     got, want = rows_of(spark, tmp_path, name, {"conversations": (talk, "conv_id long, turn long, role string, text string")})
     assert got == want and len(got) > 20
+
+
+EDGES = ["2024-01-01 00:59:59.9994", "2024-01-01 00:59:59.9995", "2024-01-01 00:59:59.9999", "2024-01-01 01:00:00", "1969-12-31 23:59:59.9996", "1969-12-31 23:59:59.9995", "1969-12-31 22:59:59.9994"]
+
+
+@pytest.mark.parametrize("name", ["access_buckets", "hour_buckets", "lineage_merge"])
+def test_milliseconds_are_rounded(spark, tmp_path, name):
+    events = [(i, 7 + i % 2, t, "view", float(i)) for i, t in enumerate(EDGES)]
+    df = [r[:2] + (spark.sql(f"SELECT TIMESTAMP_NTZ '{r[2]}'").first()[0],) + r[3:] for r in events]
+    got, want = rows_of(spark, tmp_path, name, {"events": (df, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")})
+    assert got == want and got
