@@ -13,14 +13,14 @@ from strataspan.functions.text import terms
 def signatures(docs: DataFrame, *keys: str) -> DataFrame:
     """(document_id, keys, token_count, simhash, status); keys may name further columns, as the version. Each bit is the sign of the sum of term frequencies over the terms' fingerprints.
 
-    A term is fingerprinted once for each document that has it and votes with its frequency. The 64 sums are aggregated as columns in one hash aggregation, map-side first: a row for each document and task is shuffled.
+    Each occurrence votes by itself, so no row of a term is shuffled. Votes for a bit are counted, those of bits b and b + 32 in the halves of one number, in one hash aggregation, map-side first: a row for each document and task is shuffled.
     """
     own = ["document_id", *keys]
-    tokens = docs.select(*own, F.explode_outer(terms("text")).alias("term")).groupBy(*own, "term").agg(F.count("term").alias("tf"))
     print_ = F.conv(F.substring(F.sha1(F.col("term").cast("binary")), 1, 16), 16, -10).cast("long")
-    votes = tokens.select(*own, "tf", print_.alias("fp"))
-    sums = votes.groupBy(*own).agg(F.sum("tf").alias("token_count"), *[F.sum(F.when(F.getbit("fp", F.lit(b)) == 1, F.col("tf")).otherwise(-F.col("tf"))).alias(f"b{b}") for b in range(64)])
-    bits = [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b in range(64)]
+    votes = docs.select(*own, F.explode_outer(terms("text")).alias("term")).select(*own, print_.alias("fp"))
+    sums = votes.groupBy(*own).agg(F.count("fp").alias("token_count"), *[F.sum(F.shiftright("fp", b).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"b{b}") for b in range(32)])
+    ones = [F.col(f"b{b}").bitwiseAND(F.lit((1 << 32) - 1)) for b in range(32)] + [F.shiftrightunsigned(f"b{b}", 32) for b in range(32)]
+    bits = [F.when(2 * n > F.col("token_count"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for b, n in enumerate(ones)]
     out = bits[0]
     for x in bits[1:]:
         out = out.bitwiseOR(x)

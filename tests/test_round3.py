@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from strataspan.operators import bm25f, lexical, simhash, stored
 
 
 def rows_of(spark, tmp_path, name, tables):
@@ -39,3 +40,47 @@ def test_milliseconds_are_rounded(spark, tmp_path, name):
     df = [r[:2] + (spark.sql(f"SELECT TIMESTAMP_NTZ '{r[2]}'").first()[0],) + r[3:] for r in events]
     got, want = rows_of(spark, tmp_path, name, {"events": (df, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")})
     assert got == want and got
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
+
+
+def documents(spark):
+    rows = [(i, 1, "p", 1, "turn", "one two two three " * (i % 4)) for i in range(40)]
+    return spark.createDataFrame(rows, "document_id long, version int, project string, created_at long, kind string, text string")
+
+
+def test_signatures_group_once(spark):
+    assert plan_of(simhash.signatures(documents(spark)))[0].count("Aggregate") == 1
+
+
+def test_window_postings_are_not_shuffled(spark):
+    post = bm25f.postings(bm25f.windows(bm25f.plain_tokens(documents(spark))))
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    assert {(r["term"], r["tf"], r["wtf"]) for r in post.where("document_id = 3").collect()} == {("one", 3, 3.0), ("two", 6, 6.0), ("three", 3, 3.0)}
+
+
+@pytest.mark.parametrize("kind", ["lexical", "bm25f", "stored"])
+def test_scores_are_summed_without_lists(spark, kind):
+    docs, asked = documents(spark), spark.createDataFrame([(0, "two"), (0, "one")], "query_id long, term string")
+    wins = bm25f.windows(bm25f.plain_tokens(docs))
+    post, lens = bm25f.postings(wins), bm25f.lengths(wins)
+    if kind == "lexical":
+        got = lexical.search(docs, asked)
+    elif kind == "bm25f":
+        got = bm25f.search(post, lens, asked)
+    else:
+        post = post.withColumns({"level": stored.level(F.col("wtf"), F.col("wlen")), "gaps": F.lit(None).cast("array<int>")})
+        df = post.groupBy("bucket", "project", "term").agg(F.count(F.lit(1)).alias("df"))
+        got = stored.search(post, stored.blocks(post), df, lens.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("wlen").alias("total")), asked)
+    assert "collect_list" not in plan_of(got)[0]
+    assert [r["document_id"] for r in got.orderBy("rank").collect()][:3] in ([3, 7, 11], [39, 35, 31], [1, 5, 9]) or got.count() == 10
+
+
+def test_expansion_explodes_first_documents_only(spark):
+    docs, asked = documents(spark), spark.createDataFrame([(0, "two")], "query_id long, term string")
+    best = spark.createDataFrame([(0, 1, 3)], "query_id long, rank int, document_id long")
+    tree = plan_of(lexical.expansion_terms(docs, best, asked))[0]
+    assert tree.rindex("Join Inner, (document_id") > tree.index("Generate explode(array_distinct")
+    assert {r["term"] for r in lexical.expansion_terms(docs, best, asked).collect()} == {"one", "three"}
