@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspan.functions import text as tx
+from strataspan.functions.batches import map_slices
 
 
 def token_windows(docs: DataFrame, size: int = 900, overlap: int = 135) -> DataFrame:
@@ -29,7 +30,7 @@ def byte_windows(docs: DataFrame, size: int = 900, overlap: float = 0.15) -> Dat
             rows = [(d, v, *w) for d, v, t in zip(b["document_id"], b["version"], b["text"], strict=True) for w in tx.windows(t or "", size, overlap)]
             yield pd.DataFrame(rows, columns=["document_id", "version", "ordinal", "start_byte", "end_byte"])
 
-    return versioned(docs).mapInPandas(run, "document_id long, version int, ordinal int, start_byte long, end_byte long")
+    return map_slices(versioned(docs), run, "document_id long, version int, ordinal int, start_byte long, end_byte long")
 
 
 def versioned(docs: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def physical_chunks(docs: DataFrame, most: int = 65_536, least_line: int = 16_38
                 rows += [(d, v, i, a, e, raw[a:e].decode()) for i, a, e in tx.chunks(t or "", most, least_line)]
             yield pd.DataFrame(rows, columns=["document_id", "version", "ordinal", "start_byte", "end_byte", "content"])
 
-    cut = versioned(docs).mapInPandas(run, "document_id long, version int, ordinal int, start_byte long, end_byte long, content string")
+    cut = map_slices(versioned(docs), run, "document_id long, version int, ordinal int, start_byte long, end_byte long, content string")
     return cut.withColumn("chunk_id", F.concat(F.lit("sha256:"), F.sha2("content", 256)))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspan.functions import text as tx
+from strataspan.functions.batches import map_slices
 
 #: A relation is resolved from this confidence; a text without messages is kept as a whole up to so many bytes.
 RESOLVED, WHOLE_BYTES = 50, 64 * 1024
@@ -107,7 +108,7 @@ def stored_relations(docs: DataFrame) -> DataFrame:
             yield _stored_frame(rows)
 
     slim = docs.select("document_id", "version", "project", "session_id", "created_at", "kind", "text", "messages")
-    each = slim.mapInPandas(run, STORED)
+    each = map_slices(slim, run, STORED)
     found = each.select("*", *_scores(F.col("text"), F.col("role"), F.col("terminal"))).drop("text")
     names = {"latest-question": "question", "latest-request": "request", "latest-correction": "correction", "latest-answer": "answer"}
     of = [F.struct(F.lit(r).alias("relation"), F.when(F.col("legacy") | F.col("decision"), 0).otherwise(F.col(c)).cast("int").alias("confidence"), (F.col("legacy") | ~F.col("decision") & (F.col(c) > 0)).alias("has")) for r, c in names.items()]
