@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspan.functions import text as tx
+from strataspan.functions.batches import map_slices
 
 #: Least cosine of a hit; rebuild from this share of dead entries and so many entries; candidates that are reranked.
 LEAST_COSINE, DEAD_RATIO, LEAST_ENTRIES, RERANKED = 0.35, 0.25, 1_000, 40
@@ -25,19 +26,20 @@ SAMPLE, BLOCK, PART, PROBES = 20_000, 50_000, 4_096, 8
 
 def hashed_words() -> Callable[[list[str]], np.ndarray]:
     """An embedder: every distinct stemmed word adds one signed dimension."""
-    memo: dict[str, tuple[int, int]] = {}
+    memo: dict[str, list[tuple[str, int, int]]] = {}
 
-    def at(term: str) -> tuple[int, int]:
-        if term not in memo:
-            h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
-            memo[term] = (h % DIMENSIONS, 1 if h >> 63 else -1)
-        return memo[term]
+    def of(word: str) -> list[tuple[str, int, int]]:
+        if word not in memo:
+            if len(memo) >= 100_000:
+                memo.clear()
+            hashes = [(t, int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")) for t, _ in tx.analysed(word)]
+            memo[word] = [(t, h % DIMENSIONS, 1 if h >> 63 else -1) for t, h in hashes]
+        return memo[word]
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), DIMENSIONS))
         for row, text in zip(out, texts, strict=True):
-            for term in {t for t, _ in tx.analysed(text)}:
-                i, sign = at(term)
+            for _, i, sign in {x for w in set(tx._WORD.findall(text)) for x in of(w)}:
                 row[i] += sign
         return out
 
@@ -69,12 +71,16 @@ def indexed(documents: DataFrame, embedder: Callable = hashed_words) -> DataFram
                 yield out[out["vector"].notna()]
 
     slim = documents.select("project", F.col("document_id").cast("long"), F.col("version").cast("int"), "session_id", "text")
-    return slim.mapInPandas(run, "project string, document_id long, version int, session_id string, ordinal int, start_byte long, end_byte long, vector array<double>")
+    return map_slices(slim, run, "project string, document_id long, version int, session_id string, ordinal int, start_byte long, end_byte long, vector array<double>")
 
 
 def search(index: DataFrame, queries: DataFrame, limit: int = 10, least: float = LEAST_COSINE) -> DataFrame:
     """(query_id, rank, document_id, version, ordinal, start_byte, end_byte, score): the best 3 * limit documents of each query (query_id, v), by their best span, at least so
-    similar. Blocks of spans meet blocks of queries once, as matrix products; no document is lost to the spans of another."""
+    similar. Up to PART queries are a page that every task gets, so that spans stay where they are and are made once; of more queries, parts meet blocks of spans once. Either way as matrix products, and no document is
+    lost to the spans of another."""
+    page = _asked(queries).limit(PART + 1).collect()  # a page: PART + 1 queries at most
+    if len(page) <= PART:
+        return _ranked(_best_of_page(index, page, queries.schema["query_id"].dataType.simpleString(), 3 * limit, least), 3 * limit)
     return _ranked(_best_documents(index.withColumn("list", F.lit(0)), _asked(queries).withColumn("list", F.lit(0)), 3 * limit, least), 3 * limit)
 
 
@@ -112,6 +118,32 @@ def _best_documents(rows: DataFrame, queries: DataFrame, k: int, least: float) -
     return left.groupBy("list", "block", "part").cogroup(right.select("list", "block", "part", "query_id", "v").groupBy("list", "block", "part")).applyInPandas(best, f"query_id {kind}, {spans}, score double")
 
 
+def _best_of_page(rows: DataFrame, page: list, kind: str, k: int, least: float) -> DataFrame:
+    """_best_documents() for a page of queries: the k best documents of each slice of the rows."""
+    names = ["document_id", "version", "ordinal", "start_byte", "end_byte"]
+    asked = [r["query_id"] for r in page]
+    q = np.array([r["v"] for r in page], dtype=np.float64)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
+        for a in frames:
+            out, m = [], np.stack(a["vector"]).astype(np.float64)
+            doc, version, ordinal = (a[c].to_numpy() for c in ("document_id", "version", "ordinal"))
+            code = a.groupby(["document_id", "version"], sort=False).ngroup().to_numpy()
+            for n, qid in enumerate(asked):
+                score = np.round(m @ unit[n], 6)
+                near = np.flatnonzero(score >= least)
+                if len(near):
+                    near = near[np.lexsort((ordinal[near], version[near], doc[near], -score[near]))]
+                    near = near[np.sort(np.unique(code[near], return_index=True)[1])][:k]
+                    out.append(a.iloc[near][names].assign(query_id=qid, score=score[near]))
+            if out:
+                yield pd.concat(out)[["query_id", *names, "score"]]
+
+    slim = rows.select(*names, "vector")
+    return map_slices(slim, run, f"query_id {kind}, document_id long, version int, ordinal int, start_byte long, end_byte long, score double", 4_096)
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "document_id", "version").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("before"), "start_byte", "end_byte")).alias("b"))
     flat = best.select("query_id", "document_id", "version", (-F.col("b.before")).alias("ordinal"), "b.start_byte", "b.end_byte", "b.score")
