@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.token_counts import whole_counts
+from strataspan.llm.token_counts import counting
 
 SIZES = (512, 1024, 2048, 4096)
 #: Cost of a bin besides its length: an overhead, and length * length / SPAN. Pieces in a batch.
@@ -111,13 +111,26 @@ def _packed(sizes: Sequence[int], batch: int):
     return run
 
 
+_PLACES = "doc_id long, piece int, bin_id long, bin_size int, start int, length int"
+
+
 def pack(measured: DataFrame, sizes: Sequence[int] = SIZES, batch: int = BATCH) -> DataFrame:
     """doc_id, piece, bin_id, bin_size, start, length (tokens): a row for each piece of the documents (doc_id, n_tokens)."""
     slim = measured.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long"))
-    return slim.mapInArrow(_packed(tuple(sizes), batch), "doc_id long, piece int, bin_id long, bin_size int, start int, length int")
+    return slim.mapInArrow(_packed(tuple(sizes), batch), _PLACES)
+
+
+def pack_texts(docs: DataFrame, tokenizer_path: str, sizes: Sequence[int] = SIZES, batch: int = BATCH) -> DataFrame:
+    """pack() of the token counts of docs (doc_id, text). Texts are counted and packed in one Python worker a task: two nodes would hold two at once."""
+    counted, packed = counting(tokenizer_path), _packed(tuple(sizes), batch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(b.select(["doc_id", "n_tokens"]) for b in counted(batches))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PLACES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
-    return pack(whole_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(tokenizer)))
+    return pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(tokenizer))

@@ -34,7 +34,7 @@ SEPARATORS = " \t\n\r"
 _SPLIT = re.compile(r"[^ \t\n\r]+")
 
 #: Words longer than this are encoded each time; so many words are remembered at most.
-LONG_WORD, CACHE_WORDS = 64, 1_000_000
+LONG_WORD, CACHE_WORDS = 64, 500_000
 
 
 class WordPrefixes:
@@ -99,13 +99,22 @@ class PrefixCounter:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.words: dict[str, int] = {"": 0}
+        self.before: dict[str, int] = {}  # those remembered before; what is met again moves to words
         self.inner: dict[str, list[int]] = {}
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
-        self.within = WordPrefixes(whole["model"]) if whole["model"].get("type") == "BPE" else None
+        self.path, self.is_bpe, self._within = path, whole["model"].get("type") == "BPE", None
         self.special = [t["content"] for t in whole.get("added_tokens") or ()]
         self._try_out()
 
+    @property
+    def within(self) -> WordPrefixes | None:
+        """Merges and vocabulary as Python objects, which only cut words need: counts of whole texts go without their memory."""
+        if self.is_bpe and self._within is None:
+            with open(self.path, encoding="utf-8") as f:
+                self._within = WordPrefixes(json.load(f)["model"])
+        return self._within
+
     def _try_out(self) -> None:
         words = ["it's", "Word", "12ab", "--x", "ſé", "日本", "a'", "'ll", "\x0b!", *self.special, "z"]
         alone = self._encode(words)
@@ -127,10 +136,12 @@ class PrefixCounter:
 
     def counts_of(self, words: list[str]) -> np.ndarray:
         """Counts of distinct words; those not too long are remembered."""
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": 0}
-        new = [w for w in words if w not in self.words]
-        found = dict(zip(new, self._encode(new), strict=True)) if new else {}
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.before = {"": 0}, self.words
+        missing = [w for w in words if w not in self.words]
+        found = {w: self.before[w] for w in missing if w in self.before}
+        new = [w for w in missing if w not in found]
+        found.update(zip(new, self._encode(new), strict=True))
         self.words.update((w, n) for w, n in found.items() if len(w) <= LONG_WORD)
         return np.fromiter((found[w] if w in found else self.words[w] for w in words), dtype=np.int64, count=len(words))
 
@@ -203,21 +214,22 @@ def _counter(path: str) -> PrefixCounter:
     return held[path]
 
 
-def _groups(sizes: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _groups(sizes: np.ndarray, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many bytes together."""
     group = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
-def _tabled(path: str, whole: bool):
+def counting(path: str, whole: bool = True):
+    """For mapInArrow over (doc_id, text): the rows of whole_counts(), or those of prefix_tables()."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            n_bytes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
             for a, b in _groups(n_bytes):
-                offsets, ends, tokens = counter.tables(texts[a:b])
+                offsets, ends, tokens = counter.tables(pc.fill_null(batch.column(1)[a:b], ""))
                 if whole:
                     n = np.concatenate((tokens, [0]))[offsets[1:] - 1]  # a text has at least one cell
                     yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_bytes[a:b]), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
@@ -232,12 +244,12 @@ def prefix_tables(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_bytes, word_ends (characters) and prefix_tokens of each row of docs (doc_id, text): a cell for each piece between single separators, which
     says where it ends and how many tokens the text has up to there."""
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInArrow(_tabled(tokenizer_path, False), "doc_id long, n_bytes long, word_ends array<int>, prefix_tokens array<int>")
+    return slim.mapInArrow(counting(tokenizer_path, False), "doc_id long, n_bytes long, word_ends array<int>, prefix_tokens array<int>")
 
 
 def whole_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row of docs (doc_id, text): the last cells of the tables alone."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tabled(tokenizer_path, True), "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(counting(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
 
 
 def stored_tables(docs: DataFrame, tokenizer_path: str) -> DataFrame:
