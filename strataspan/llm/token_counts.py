@@ -1,8 +1,8 @@
 """Token counts by prefix dynamic programming.
 
-The table of a text holds the exact token count of every prefix that ends with a word: the count of the prefix before the word plus the word's own count, the
-library being asked once for each distinct word of a batch that isn't remembered. Tables are stored; counts, limits, truncation and budgets are read from
-them without encoding again. Prefixes that end inside a word add a second table, of the word's characters: the encoding of a prefix of a word is
+The table of a text holds the exact token count of every prefix that ends with a word: the count of the prefix before the word plus the word's own count. Distinct
+words of plain Latin letters, digits and signs are counted for each batch by tiktoken with the same merges, where the file allows that; for the others the library is asked once for each that isn't
+remembered. Tables are stored; counts, limits, truncation and budgets are read from them without encoding again. Prefixes that end inside a word add a second table, of the word's characters: the encoding of a prefix of a word is
 the encoding of a shorter one and one more token, the one whose join with the last token before it the merges leave as it is, so counts follow
 by dynamic programming over the word's ends. (Only words with letters beyond ASCII, an apostrophe or a special string are left to the library there,
 since their normal forms and pieces may change with the end.)
@@ -34,7 +34,14 @@ SEPARATORS = " \t\n\r"
 _SPLIT = re.compile(r"[^ \t\n\r]+")
 
 #: Words longer than this are encoded each time; so many words are remembered at most.
-LONG_WORD, CACHE_WORDS = 64, 500_000
+LONG_WORD, CACHE_WORDS = 64, 200_000
+#: Texts of about so many bytes are counted at once, and so many plain words: what a worker holds besides its Arrow batch.
+GROUP_BYTES, SLICE_WORDS = 3 << 20, 20_000
+
+#: The steps before the merges that PlainWords knows.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PIECES = {"type": "Sequence", "pretokenizers": [_SPLITTER, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 class WordPrefixes:
@@ -89,6 +96,98 @@ class WordPrefixes:
         return out
 
 
+def _byte_values() -> dict[str, int]:
+    """Characters that stand for bytes in a byte-level vocabulary: printable Latin-1 characters for themselves, the others for the code points from 256 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class PlainWords:
+    """Counts of words of printable ASCII and the Latin letters up to U+024F by tiktoken, under a byte-level BPE of merges with a suffix at a word's end.
+
+    tiktoken merges what is in the vocabulary when joined, the library only what its merges name. Both give the same if every token, left to the merges alone, becomes
+    that token: as long as no merge has crossed its edges, its inside has gone the way it goes alone, so two neighbours that join to it are the pair that the merges name.
+    That is tried out for every token. MARK stands for the suffix; a byte and MARK are joined before all else, since the library has them as one symbol.
+    """
+
+    MARK, END = "\x01", "\n"
+    #: In normal form C, with a lower case of one letter up to U+02AF: no U+0130, U+023A or U+023E. Longer words (bytes) are left to the library.
+    PLAIN, LONGEST = "^[!-~À-ÖØ-öø-įı-ȹȻ-Ƚȿ-ɏ]*$", 256
+    _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ʯ]+|[0-9]|[^a-zß-öø-ʯ0-9\n]+")
+
+    def __init__(self, whole: dict):
+        import tiktoken
+
+        model, value = whole["model"], _byte_values()
+        suffix, mark = model["end_of_word_suffix"], self.MARK.encode()
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        rank = {m: i for i, m in enumerate(merges)}
+
+        def symbols(token: str) -> list[str]:
+            bare = token.removesuffix(suffix)
+            return list(bare) if bare == token else [*bare[:-1], bare[-1] + suffix]
+
+        def alone(token: str) -> list[str]:
+            own = symbols(token)
+            while len(own) > 1:
+                ranks = [rank.get(pair, len(rank)) for pair in zip(own, own[1:])]
+                i = min(ranks)
+                if i == len(rank):
+                    break
+                i = ranks.index(i)
+                own[i : i + 2] = [own[i] + own[i + 1]]
+            return own
+
+        def raw(token: str) -> bytes:
+            bare = token.removesuffix(suffix)
+            return bytes(value[c] for c in bare) + (mark if bare != token else b"")
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + mark: 256 + b for b in range(256)}
+        for i, (a, b) in enumerate(merges):
+            token = raw(a + b)
+            if mark[0] not in token[:-1] and token not in ranks:
+                if alone(a + b) != [a + b]:
+                    raise ValueError(f"the merges don't lead to {a + b!r}")
+                ranks[token] = 512 + i
+        self.special = [t["content"] for t in whole.get("added_tokens") or ()]
+        self.encoding = tiktoken.Encoding("plain_words", pat_str=r"[^\x01\n]+\x01|\n", mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, whole: dict, encode) -> PlainWords | None:
+        """None where the file has other steps than these, or words that are tried out have other counts."""
+        model = whole["model"]
+        odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if model.get("type") != "BPE" or odd or not model.get("end_of_word_suffix") or whole.get("normalizer") != _NORMAL or whole.get("pre_tokenizer") != _PIECES:
+            return None
+        try:
+            own = cls(whole)
+        except (KeyError, ValueError):
+            return None
+        tried = [t.removesuffix(model["end_of_word_suffix"]) for t in [*model["vocab"]][::16]] + ["it's", "IT'S'd''ll", "a1b22c", "ÀÉǅzǆ", "x,y;--z", "Straße", "þÞŊŋ'Ŀ"]
+        tried = pa.array(tried, pa.large_string())
+        tried = tried.filter(own.among(tried))
+        return own if own.counts(tried).tolist() == encode(tried.to_pylist()) else None
+
+    def among(self, words: pa.Array) -> pa.Array:
+        """Which of the words these are."""
+        plain = pc.and_(pc.match_substring_regex(words, self.PLAIN), pc.less_equal(pc.binary_length(words), self.LONGEST))
+        for s in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, s)))
+        return plain
+
+    def counts(self, words: pa.Array) -> np.ndarray:
+        """Counts of large strings, all of them such words."""
+        out = [np.empty(0, np.int64)]
+        for i in range(0, len(words), SLICE_WORDS):
+            joined = pc.binary_join_element_wise(words[i : i + SLICE_WORDS], pa.scalar(self.END, words.type), pa.scalar("", words.type))
+            text = str(memoryview(joined.buffers()[2])[: np.frombuffer(joined.buffers()[1], dtype=np.int64)[len(joined)]], "utf-8")
+            marked = self._PIECE.sub(r"\g<0>" + self.MARK, text.lower())
+            ends = np.flatnonzero(self.encoding.encode_to_numpy(marked, disallowed_special=()) == ord(self.END))
+            out.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(out)
+
+
 class PrefixCounter:
     """Token counts of prefixes under one tokenizers file."""
 
@@ -106,6 +205,7 @@ class PrefixCounter:
         self.path, self.is_bpe, self._within = path, whole["model"].get("type") == "BPE", None
         self.special = [t["content"] for t in whole.get("added_tokens") or ()]
         self._try_out()
+        self.plain = PlainWords.of(whole, self._encode)
 
     @property
     def within(self) -> WordPrefixes | None:
@@ -145,9 +245,20 @@ class PrefixCounter:
         self.words.update((w, n) for w, n in found.items() if len(w) <= LONG_WORD)
         return np.fromiter((found[w] if w in found else self.words[w] for w in words), dtype=np.int64, count=len(words))
 
-    def tables(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(offsets, word_ends, prefix_tokens) of a string array without nulls: text i has the entries offsets[i] to offsets[i + 1] - 1, one for each piece
-        between single separators, which may be empty."""
+    def counts_in(self, words: pa.Array) -> np.ndarray:
+        """Counts of distinct words, large strings: only those that aren't plain become Python strings."""
+        if self.plain is None or not len(words):
+            return self.counts_of(words.to_pylist())
+        is_plain, out = self.plain.among(words), np.empty(len(words), dtype=np.int64)
+        at = is_plain.to_numpy(zero_copy_only=False)
+        out[at] = self.plain.counts(words.filter(is_plain))
+        if not at.all():
+            out[~at] = self.counts_of(words.filter(pc.invert(is_plain)).to_pylist())
+        return out
+
+    def _cells(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(offsets, pieces, counts) of a string array without nulls: text i has the entries offsets[i] to offsets[i + 1] - 1, one for each piece between single
+        separators, which may be empty."""
         texts = texts.cast(pa.large_string())
         raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8).copy()
         raw[(raw == 9) | (raw == 10) | (raw == 13)] = 32
@@ -157,7 +268,17 @@ class PrefixCounter:
         words = split.values[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         named = words.dictionary_encode()
-        count = self.counts_of(named.dictionary.to_pylist())[named.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        return offsets, words, self.counts_in(named.dictionary)[named.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        """Counts of whole texts, a string array without nulls."""
+        offsets, _, count = self._cells(texts)
+        total = np.concatenate(([0], np.cumsum(count)))
+        return np.diff(total[offsets])
+
+    def tables(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, word_ends, prefix_tokens) of a string array without nulls: the ends of _cells() and the counts up to there."""
+        offsets, words, count = self._cells(texts)
         chars = pc.utf8_length(words).to_numpy().astype(np.int64) + 1
 
         def along(x: np.ndarray) -> np.ndarray:
@@ -214,7 +335,7 @@ def _counter(path: str) -> PrefixCounter:
     return held[path]
 
 
-def _groups(sizes: np.ndarray, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
+def _groups(sizes: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many bytes together."""
     group = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
@@ -229,11 +350,11 @@ def counting(path: str, whole: bool = True):
         for batch in batches:
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
             for a, b in _groups(n_bytes):
-                offsets, ends, tokens = counter.tables(pc.fill_null(batch.column(1)[a:b], ""))
+                texts = pc.fill_null(batch.column(1)[a:b], "")
                 if whole:
-                    n = np.concatenate((tokens, [0]))[offsets[1:] - 1]  # a text has at least one cell
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_bytes[a:b]), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_bytes[a:b]), pa.array(counter.totals(texts))], names=["doc_id", "n_bytes", "n_tokens"])
                     continue
+                offsets, ends, tokens = counter.tables(texts)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ends, tokens)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n_bytes[a:b]), *lists], names=["doc_id", "n_bytes", "word_ends", "prefix_tokens"])
 
