@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from strataspan.llm import token_counts
+from strataspan.llm import line_dedup, similar, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,3 +33,25 @@ def test_other_words_are_left_to_the_library(counter):
     chars = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA0, 0x2B0), 0x300, 0x307, 0x3A3, 0x4E00, 0xAC00, 0x1F600)]
     texts = [f"{form.format(c)} \t{c}\n" for c in chars for form in ("{}", "a{}b", "1{}'s", "E{}T", "x-{}")] + ["x\x01y", "a<|endoftext|>b", "<|startoftext|>", "é" * 200, "z" * 5000]
     assert counter.totals(pa.array(texts)).tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@pytest.mark.parametrize("columns", [3, 2048])
+def test_shared_grams_are_counted_for_all_pairs_at_once(monkeypatch, columns):
+    """Frequent and rare elements, within one block and between two, against sets."""
+    monkeypatch.setattr(similar, "COLUMNS", columns)
+    rng = random.Random(6)
+    own = [set(rng.sample(range(40), rng.randint(0, 12))) | {rng.randrange(1000, 1400) for _ in range(rng.randint(0, 30))} | {rng.randrange(1 << 40)} for _ in range(90)] + [set(), set()]
+    sets = [np.array(sorted(s), dtype=np.uint64) for s in own]
+    for left in (None, 30):
+        both = similar.shared_counts(sets, left)
+        pairs = [(i, j) for j in range(len(own)) for i in range(j) if left is None or i < left <= j]
+        assert all(both[i, j] == len(own[i] & own[j]) for i, j in pairs) and max(both[i, j] for i, j in pairs) > 5
+    assert similar.shared_counts([]).shape == (0, 0) and not list(similar.similar_in_cell([], 0.8)) and not list(similar.similar_in_cell(sets[-2:], 0.8))
+
+
+def test_grams_of_many_lines(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(line_dedup, "CHUNK", 50)
+    lines = ["x", "日本語", *["".join(rng.choices("abé ", k=rng.randint(0, 80))) for _ in range(40)]]
+    of = line_dedup.line_grams()
+    assert [s.tolist() for s in of.many(lines)] == [of(x).tolist() for x in lines] and of.many([]) == []
