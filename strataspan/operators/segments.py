@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspan.functions import text as tx
-from strataspan.functions.batches import map_slices
+from strataspan.functions.batches import SLICE, map_slices
 
 
 def token_windows(docs: DataFrame, size: int = 900, overlap: int = 135) -> DataFrame:
@@ -33,33 +34,41 @@ def byte_windows(docs: DataFrame, size: int = 900, overlap: float = 0.15) -> Dat
     return map_slices(versioned(docs), run, "document_id long, version int, ordinal int, start_byte long, end_byte long")
 
 
-def versioned(docs: DataFrame) -> DataFrame:
-    """(document_id, version, text); version 1 where docs have none."""
+def versioned(docs: DataFrame, *keys: str) -> DataFrame:
+    """(document_id, version, text, keys); version 1 where docs have none."""
     version = F.col("version").cast("int") if "version" in docs.columns else F.lit(1)
-    return docs.select(F.col("document_id").cast("long"), version.alias("version"), "text")
+    return docs.select(F.col("document_id").cast("long"), version.alias("version"), "text", *keys)
 
 
-def physical_chunks(docs: DataFrame, most: int = 65_536, least_line: int = 16_384) -> DataFrame:
-    """(document_id, version, ordinal, start_byte, end_byte, chunk_id, content): content-addressed pieces."""
+def physical_chunks(docs: DataFrame, most: int = 65_536, least_line: int = 16_384, *keys: str) -> DataFrame:
+    """(document_id, version, keys, ordinal, start_byte, end_byte, content, chunk_id): content-addressed pieces; null and empty texts have none. keys name further columns, as what tells rows of one id apart."""
+    own = ["document_id", "version", *keys]
+    slim = versioned(docs, *keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, v, t in zip(b["document_id"], b["version"], b["text"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            owner, pieces = [], []
+            for n, t in enumerate(b.column("text").to_pylist()):
                 raw = (t or "").encode()
-                rows += [(d, v, i, a, e, raw[a:e].decode()) for i, a, e in tx.chunks(t or "", most, least_line)]
-            yield pd.DataFrame(rows, columns=["document_id", "version", "ordinal", "start_byte", "end_byte", "content"])
-
-    cut = map_slices(versioned(docs), run, "document_id long, version int, ordinal int, start_byte long, end_byte long, content string")
+                cut = tx.chunks(t or "", most, least_line)
+                owner += [n] * len(cut)
+                pieces += [(i, a, e, raw[a:e].decode()) for i, a, e in cut]
+            ordinal, start, end, content = zip(*pieces, strict=True) if pieces else ([],) * 4
+            kept = [b.column(c).take(pa.array(owner, pa.int64())) for c in own]  # ids stay as they are, nulls too
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ordinal, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(content, pa.string())], names=[*own, "ordinal", "start_byte", "end_byte", "content"])
+
+    kinds = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in own)
+    cut = slim.mapInArrow(run, kinds + "ordinal int, start_byte long, end_byte long, content string")
     return cut.withColumn("chunk_id", F.concat(F.lit("sha256:"), F.sha2("content", 256)))
 
 
-def reconstructed(chunks: DataFrame) -> DataFrame:
-    """(document_id, version, n_chunks, byte_length, content_hash, gap_free) of documents put together from their chunks."""
-    parts = chunks.groupBy("document_id", "version").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start_byte", "end_byte", "content"))).alias("p"))
+def reconstructed(chunks: DataFrame, *keys: str) -> DataFrame:
+    """(document_id, version, keys, n_chunks, byte_length, content_hash, gap_free) of documents put together from their chunks."""
+    own = ["document_id", "version", *keys]
+    parts = chunks.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("ordinal", "start_byte", "end_byte", "content"))).alias("p"))
     text = F.array_join(F.transform("p", lambda c: c["content"]), "")
     gaps = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: F.when(i == 1, F.col("p")[0]["start_byte"] == 0).otherwise(F.col("p")[i - 1]["start_byte"] == F.col("p")[F.greatest(i - 2, F.lit(0))]["end_byte"]))
-    return parts.select("document_id", "version", F.size("p").cast("long").alias("n_chunks"), F.octet_length(text).cast("long").alias("byte_length"), F.sha2(text, 256).alias("content_hash"), gaps.alias("gap_free"))
+    return parts.select(*own, F.size("p").cast("long").alias("n_chunks"), F.octet_length(text).cast("long").alias("byte_length"), F.sha2(text, 256).alias("content_hash"), gaps.alias("gap_free"))
 
 
 def read_range(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
