@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataspan.functions import text as tx
-from strataspan.functions.batches import map_slices
+from strataspan.functions.batches import SLICE, map_slices
 
 #: Least cosine of a hit; rebuild from this share of dead entries and so many entries; candidates that are reranked.
 LEAST_COSINE, DEAD_RATIO, LEAST_ENTRIES, RERANKED = 0.35, 0.25, 1_000, 40
@@ -74,6 +75,19 @@ def indexed(documents: DataFrame, embedder: Callable = hashed_words) -> DataFram
     return map_slices(slim, run, "project string, document_id long, version int, session_id string, ordinal int, start_byte long, end_byte long, vector array<double>")
 
 
+def embedded(queries: DataFrame, embedder: Callable = hashed_words) -> DataFrame:
+    """(query_id, v) of queries (query_id, text): a vector of each whole text, however long it is; zeros where it has no word."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = embedder()
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            made = embed([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.tolist(), pa.list_(pa.float64()))], names=["query_id", "v"])
+
+    return queries.select("query_id", "text").mapInArrow(run, f"query_id {kind}, v array<double>")
+
+
 def search(index: DataFrame, queries: DataFrame, limit: int = 10, least: float = LEAST_COSINE) -> DataFrame:
     """(query_id, rank, document_id, version, ordinal, start_byte, end_byte, score): the best 3 * limit documents of each query (query_id, v), by their best span, at least so
     similar. Up to PART queries are a page that every task gets, so that spans stay where they are and are made once; of more queries, parts meet blocks of spans once. Either way as matrix products, and no document is

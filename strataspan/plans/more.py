@@ -367,10 +367,9 @@ def session_checkpoints(t):
 
 @query()
 def semantic_search(t):
-    """Spans of all documents embedded, asked by every benchmark text."""
+    """Spans of all documents embedded, asked by every benchmark text as a whole."""
     index = semantic.indexed(t.evidence())
-    asked = semantic.indexed(t.benchmark.select(F.lit("b").alias("project"), F.col("item_id").alias("document_id"), F.lit(1).alias("version"), F.lit(None).cast("string").alias("session_id"), "text")).where("ordinal = 0")
-    return semantic.search(index, asked.select(F.col("document_id").alias("query_id"), F.col("vector").alias("v")), 3)
+    return semantic.search(index, semantic.embedded(t.benchmark.select(F.col("item_id").alias("query_id"), "text")), 3)
 
 
 _BUDGET = 12
