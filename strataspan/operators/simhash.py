@@ -46,7 +46,8 @@ def similar_pairs(sigs: DataFrame, most: int = 3) -> DataFrame:
     left, right = keyed.withColumnRenamed("simhash", "l"), keyed.withColumnRenamed("simhash", "r")
     differ = F.col("l").bitwiseXOR(F.col("r"))
     first = F.array_position(F.array(*[differ.bitwiseAND(F.lit(m)) == 0 for m in masks]), True) - 1
-    near = left.join(right, ["table", "key"]).where("l < r").withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= most) & (first == F.col("table")))
+    # by a shuffle: sizes are guessed as if a signature had one key, so that a side of 20 keys each would be broadcast and held in the driver
+    near = left.join(right.hint("merge"), ["table", "key"]).where("l < r").withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= most) & (first == F.col("table")))
     return near.select(F.col("l").alias("left_simhash"), F.col("r").alias("right_simhash"), F.col("distance").cast("long"))
 
 

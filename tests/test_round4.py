@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import __spark_entry__
-from strataspan.operators import ranking, semantic
+from strataspan.operators import ranking, semantic, simhash
 from test_round3 import rows_of
 
 DOCUMENTS = "doc_id long, text string, lang string, source string"
@@ -67,3 +67,9 @@ def test_nearest_in_parts_against_all_pairs(spark, monkeypatch):
             near = sorted(((-round(float(unit[i] @ unit[j]), 9), rows[j][0]) for j in range(300) if rows[j][0] != i))
             want |= {(i, k + 1, j, round(-s, 6)) for k, (s, j) in enumerate([x for x in near if -x[0] >= least][:n])}
         assert got == want
+
+
+def test_signatures_meet_by_a_shuffle(spark):
+    sigs = spark.createDataFrame([(i, "complete") for i in range(30)], "simhash long, status string")
+    plan = simhash.similar_pairs(sigs)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
