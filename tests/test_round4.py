@@ -71,7 +71,7 @@ def test_nearest_in_parts_against_all_pairs(spark, monkeypatch):
 
 
 def test_signatures_meet_by_a_shuffle(spark):
-    sigs = spark.createDataFrame([(i, "complete") for i in range(30)], "simhash long, status string")
+    sigs = spark.range(30).selectExpr("id AS simhash", "'complete' AS status")  # of a known, small size
     plan = simhash.similar_pairs(sigs)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
